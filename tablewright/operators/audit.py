@@ -149,10 +149,14 @@ def row_identifier(df: DataFrame, order: str, columns: Sequence[str] | None = No
 
 
 def temporal_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Date and time columns, by type; with rows in time order a random split can see the future."""
+    """Date and time columns, by type; with rows in time order a random split can see the future.
+    The value is the number of filled rows."""
     names = [c for c in (columns or df.columns) if c in columns_of(df, "temporal")]
-    rows = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
-    return finding(rows, "temporal_column", "warning", F.col("column"), F.lit(1.0), _say("a date or time column"))
+    if not names:
+        empty = df.sparkSession.createDataFrame([], "column string, filled bigint")
+        return finding(empty, "temporal_column", "warning", F.col("column"), F.col("filled"), _say(""))
+    rows = rows_per_column({c: {"filled": F.count(q(c))} for c in names}, df)
+    return finding(rows, "temporal_column", "warning", F.col("column"), F.col("filled"), _say("a date or time column"))
 
 
 def identifier_like(stats: DataFrame, text: Sequence[str], share: float = IDENTIFIER_SHARE) -> DataFrame:
