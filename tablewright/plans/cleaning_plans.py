@@ -86,12 +86,12 @@ FORMULA_SQL = """
 
 
 @query("formula_column", f"""
-SELECT l_orderkey, l_partkey, round(unit, 4) AS unit, returned, either, round(logs, 6) AS logs, round(root, 6) AS root, opposite, power
+SELECT l_orderkey, l_partkey, unit, returned, either, round(logs, 6) AS logs, round(root, 6) AS root, opposite, power
 FROM (SELECT l_orderkey, l_partkey, {FORMULA_SQL} FROM ({SQL_LINE_GAPS}))""")
 def formula_columns_(spark, folder):
     lines = line_gaps(spark, folder)
     built = {n: formula_column(f, types_of(lines)) for n, f in FORMULAS.items()}
-    rounded = {"unit": 4, "logs": 6, "root": 6}
+    rounded = {"logs": 6, "root": 6}
     return lines.select("l_orderkey", "l_partkey", *[
         (F.round(c, rounded[n]) if n in rounded else c).alias(n) for n, c in built.items()])
 

@@ -6,10 +6,13 @@ from tablewright.operators import sampling as S
 from tablewright.plans.base import LINE_KEY, SQL_LABELLED, SQL_LINE_TOTAL, labelled_documents, line_total, query, sql_hash, table
 
 KEYS = ", ".join(LINE_KEY)
-CHECK = [F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("orders"), F.sum("l_partkey").alias("parts")]
 SQL_CHECK = "count(*) AS n, sum(l_orderkey)::BIGINT AS orders, sum(l_partkey)::BIGINT AS parts"
 
 
+def check():
+    return [F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("orders"), F.sum("l_partkey").alias("parts")]
+
+
 def _quotas(source: str, label: str, total: str) -> str:
     """Common table expressions: ``quota(label, k)`` by largest remainder, ties to the smaller label."""
     return f"""src AS ({source}), sizes AS (SELECT {label} AS label, count(*) AS n FROM src GROUP BY 1),
@@ -27,7 +30,7 @@ def _ranked(label: str, seed: int) -> str:
        + f" SELECT late, {SQL_CHECK} FROM ranked JOIN quota ON late = label WHERE r <= k GROUP BY late")
 def working_set(spark, folder):
     rows, _ = S.working_set(line_total(spark, folder), "late", LINE_KEY, n=3000)
-    return rows.groupBy("late").agg(*CHECK)
+    return rows.groupBy("late").agg(*check())
 
 
 @query("uniform_sample", f"SELECT {KEYS} FROM lineitem ORDER BY {sql_hash(42, LINE_KEY)}, {KEYS} LIMIT 5000")
@@ -38,14 +41,14 @@ def uniform_sample(spark, folder):
 @query("train_test_split", f"WITH {_quotas('SELECT * FROM lineitem', 'l_returnflag', 'ceil(sum(n) * 0.2::DOUBLE)')}, {_ranked('l_returnflag', 42)}"
        + f" SELECT l_returnflag, r <= k AS is_test, {SQL_CHECK} FROM ranked JOIN quota ON l_returnflag = label GROUP BY ALL")
 def train_test_split(spark, folder):
-    return S.train_test_split(table(spark, folder, "lineitem"), "l_returnflag", LINE_KEY).groupBy("l_returnflag", "is_test").agg(*CHECK)
+    return S.train_test_split(table(spark, folder, "lineitem"), "l_returnflag", LINE_KEY).groupBy("l_returnflag", "is_test").agg(*check())
 
 
 @query("early_stopping_slice", f"WITH {_quotas('SELECT * FROM lineitem', 'l_returnflag', 'ceil(sum(n) * 0.1::DOUBLE)')}, {_ranked('l_returnflag', 44)}"
        + f" SELECT l_returnflag, r <= k AS is_validation, {SQL_CHECK} FROM ranked JOIN quota ON l_returnflag = label GROUP BY ALL")
 def early_stopping_slice(spark, folder):
     cut = S.early_stopping_slice(table(spark, folder, "lineitem"), "l_returnflag", LINE_KEY)
-    return cut.groupBy("l_returnflag", "is_validation").agg(*CHECK)
+    return cut.groupBy("l_returnflag", "is_validation").agg(*check())
 
 
 @query("fold_sizes", f"""
@@ -53,7 +56,7 @@ WITH src AS (SELECT *, count(*) OVER (PARTITION BY l_returnflag) AS n FROM linei
 SELECT l_returnflag, ((r > n // 5)::INT + (r > n * 2 // 5)::INT + (r > n * 3 // 5)::INT + (r > n * 4 // 5)::INT) AS fold,
        {SQL_CHECK} FROM ranked GROUP BY ALL""")
 def fold_sizes(spark, folder):
-    return S.with_folds(table(spark, folder, "lineitem"), "l_returnflag", LINE_KEY).groupBy("l_returnflag", "fold").agg(*CHECK)
+    return S.with_folds(table(spark, folder, "lineitem"), "l_returnflag", LINE_KEY).groupBy("l_returnflag", "fold").agg(*check())
 
 
 @query("fold_sizes_reg", f"""
@@ -62,7 +65,7 @@ SELECT ((r > n // 5)::INT + (r > n * 2 // 5)::INT + (r > n * 3 // 5)::INT + (r >
        {SQL_CHECK} FROM ranked GROUP BY ALL""")
 def fold_sizes_reg(spark, folder):
     lines = table(spark, folder, "lineitem")
-    return S.with_folds(lines, "l_extendedprice", LINE_KEY, classification=False).groupBy("fold").agg(*CHECK)
+    return S.with_folds(lines, "l_extendedprice", LINE_KEY, classification=False).groupBy("fold").agg(*check())
 
 
 DOC_FOLDS = f"""
