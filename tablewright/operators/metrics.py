@@ -62,7 +62,8 @@ def _per_class(counts: DataFrame) -> DataFrame:
     sides = counts.select(F.inline(F.array(
         F.struct(F.col("label").alias("class"), n.alias("actual"), F.lit(0).cast("bigint").alias("predicted"),
                  F.when(F.col("label") == F.col("prediction"), n).otherwise(0).alias("hits")),
-        F.struct(F.col("prediction"), F.lit(0).cast("bigint"), n, F.lit(0).cast("bigint")),
+        F.struct(F.col("prediction").alias("class"), F.lit(0).cast("bigint").alias("actual"), n.alias("predicted"),
+                 F.lit(0).cast("bigint").alias("hits")),
     )))
     sums = sides.groupBy("class").agg(
         F.sum("actual").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hits").alias("hits"))
@@ -101,7 +102,7 @@ def actual_vs_predicted(preds: DataFrame, label: str = "label", prediction: str
     """How often each class occurs and is predicted, largest classes first."""
     per = confusion_counts(preds, label, prediction).select(F.inline(F.array(
         F.struct(F.col("label").alias("class"), F.col("n").alias("a"), F.lit(0).cast("bigint").alias("p")),
-        F.struct(F.col("prediction"), F.lit(0).cast("bigint"), F.col("n")),
+        F.struct(F.col("prediction").alias("class"), F.lit(0).cast("bigint").alias("a"), F.col("n").alias("p")),
     ))).groupBy("class").agg(F.sum("a").alias("actual"), F.sum("p").alias("predicted"))
     return per.orderBy(F.desc("actual"), "class").limit(n)
 

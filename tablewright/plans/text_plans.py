@@ -16,10 +16,10 @@ STRIPPED = "replace(replace(replace(text, 'Article 2', ' '), 'RFC 26', ' '), 'sr
 # look-behind lets a number follow it directly.
 TOKENS = r"(^|[^\p{L}\p{N}_.])(-?\d[\d,]*(?:\.\d+)?%?)"
 SQL_CLAIMS = f"""
-SELECT doc_id, at - 1 AS position, token, try_cast(replace(replace(token, ',', ''), '%', '') AS DOUBLE) AS value,
+SELECT doc_id, spot - 1 AS position, token, try_cast(replace(replace(token, ',', ''), '%', '') AS DOUBLE) AS value,
        CASE WHEN contains(token, '.') THEN length(split_part(replace(token, '%', ''), '.', 2)) ELSE 0 END AS decimals,
        suffix(token, '%') AS percent
-FROM (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS at FROM (
+FROM (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS spot FROM (
   SELECT doc_id, regexp_extract_all(replace({STRIPPED}, '%', '% '), '{TOKENS}', 2) AS toks FROM documents))"""
 
 
@@ -247,8 +247,8 @@ def best_match(spark, folder):
 WITH renamed AS (SELECT CASE trim(p_brand) WHEN 'Brand#4' THEN 'Brand#40' ELSE trim(p_brand) END AS b, p_partkey, p_type, p_size FROM part
                  WHERE trim(p_brand) <> '' AND trim(p_brand) NOT IN ('Brand#3', 'Brand#7')),
 last AS (SELECT b, arg_max(p_type, p_partkey) AS p_type, arg_max(p_size, p_partkey) AS p_size FROM renamed GROUP BY b),
-spine AS (SELECT p_brand, min(p_partkey) AS at FROM (SELECT p_brand, p_partkey FROM part UNION ALL SELECT 'Brand#40', -1) GROUP BY 1)
-SELECT row_number() OVER (ORDER BY at) AS no, p_brand, coalesce(last.p_type, CASE p_brand WHEN 'Brand#3' THEN 'RARE' ELSE 'STANDARD' END) AS p_type,
+spine AS (SELECT p_brand, min(p_partkey) AS spot FROM (SELECT p_brand, p_partkey FROM part UNION ALL SELECT 'Brand#40', -1) GROUP BY 1)
+SELECT row_number() OVER (ORDER BY spot) AS no, p_brand, coalesce(last.p_type, CASE p_brand WHEN 'Brand#3' THEN 'RARE' ELSE 'STANDARD' END) AS p_type,
        coalesce(last.p_size, CASE p_brand WHEN 'Brand#3' THEN 9 ELSE 1 END) AS p_size, last.b IS NULL AS added
 FROM spine LEFT JOIN last ON p_brand = b""")
 def reconcile_dimension(spark, folder):
@@ -267,7 +267,7 @@ SELECT p_partkey, CASE WHEN contains(lower(p_name), 'bolt') THEN 'Fixed' WHEN co
       CASE WHEN contains(lower(p_type), 'promo') THEN '"if_promo":"show-price"' END,
       CASE WHEN contains(lower(p_name), 'ring') OR contains(lower(p_name), 'hot') THEN '"if_ring":"show-size"' END], lambda x: x IS NOT NULL), ',') || '}'
     ELSE '{"if_any":"show-name"}' END AS rules,
-  CASE WHEN contains(lower(p_name), 'blue') OR contains(lower(p_name), 'red') OR contains(lower(p_name), 'gear') OR contains(lower(p_type), 'large') THEN
+  CASE WHEN contains(lower(p_name), 'blue') OR contains(lower(p_name), 'red') OR contains(lower(p_name), 'gear') OR contains(lower(p_name || ' ' || p_type), 'large') THEN
     array_to_string(list_filter([CASE WHEN contains(lower(p_name || ' ' || p_type), 'blue') OR contains(lower(p_name || ' ' || p_type), 'red') THEN 'Colour' END,
       CASE WHEN contains(lower(p_name || ' ' || p_type), 'gear') THEN 'Moving' END,
       CASE WHEN contains(lower(p_name || ' ' || p_type), 'large') THEN 'Bulky' END], lambda x: x IS NOT NULL)[1:2], ' + ')
