@@ -9,13 +9,28 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import as_text, q
 
-HASH_BITS = 60  # fifteen hex digits, so that the number stays a positive BIGINT
+HASH_DIGITS = 32
 
 
 def row_hash(keys: Sequence[str], seed: int) -> Column:
-    """A 60-bit number from the seed and the key columns (``seed:k1:k2``)."""
+    """128 bits, as hex text, from the seed and the key columns (``seed:k1:k2``).
+
+    Fixed-length hex sorts like the number it writes, so it is compared as it is.
+    """
     parts = [F.lit(str(seed))] + [F.coalesce(q(k).cast("string"), F.lit("")) for k in keys]
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("bigint")
+    return F.md5(F.concat_ws(":", *parts))
+
+
+def fold_edges(folds: int) -> list[str]:
+    """Where the range of an eight-digit hex number is cut into equal parts."""
+    return [format(i * 16 ** 8 // folds, "08x") for i in range(1, folds)]
+
+
+def hash_fold(keys: Sequence[str], seed: int, folds: int) -> Column:
+    """A fold number from 0, by range of the hash."""
+    h = F.substring(row_hash(keys, seed), 1, 8)
+    first, *rest = fold_edges(folds)
+    return sum(((h >= e).cast("int") for e in rest), (h >= first).cast("int"))
 
 
 def default_key(df: DataFrame, key: Sequence[str] | None) -> list[str]:

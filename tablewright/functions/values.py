@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,10 +19,19 @@ MISSING_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-DATE_FORMATS = (
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy/MM/dd", "MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "dd MMM yyyy", "MMM dd, yyyy", "yyyyMMdd",
-)
+# Date formats, each with the shape a value must have before it is parsed at all.
+DATE_FORMATS = {
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6}$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "MM/dd/yyyy HH:mm:ss": r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$",
+    "dd MMM yyyy": r"^\d{2} [A-Z][a-z]{2} \d{4}$",
+    "MMM dd, yyyy": r"^[A-Z][a-z]{2} \d{2}, \d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+}
 DATE_PARTS = ("year", "month", "day", "day_of_week", "hour")
 
 
@@ -82,12 +91,19 @@ def code_label(value: Column, data_type: T.DataType) -> Column:
     )
 
 
-def parse_timestamp(value: Column, data_type: T.DataType, formats: Iterable[str] = DATE_FORMATS) -> Column:
-    """Text as a timestamp by the first format that fits; NULL where none does."""
+def parse_timestamp(value: Column, data_type: T.DataType, formats: Mapping[str, str] = DATE_FORMATS) -> Column:
+    """Text as a timestamp by the first format that fits; NULL where none does.
+
+    A value is parsed only by formats whose shape it has: a failed parse raises inside
+    the parser, which costs far more than the test of the shape.
+    """
     if kind(data_type) == "temporal":
         return value
     trimmed = text(value)
-    return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)).cast("timestamp_ntz") for f in formats])
+    return F.coalesce(*[
+        F.when(trimmed.rlike(shape), F.try_to_timestamp(trimmed, F.lit(f)).cast("timestamp_ntz"))
+        for f, shape in formats.items()
+    ])
 
 
 def date_part(stamp: Column, part: str) -> Column:

@@ -6,7 +6,7 @@ text-pattern checks add one aggregate for all text columns together.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -166,19 +166,19 @@ def identifier_like(stats: DataFrame, text: Sequence[str], share: float = IDENTI
                    _say(F.col("unique"), " distinct values in ", filled, " rows"))
 
 
-def text_patterns(df: DataFrame, columns: Sequence[str], formats: Sequence[str] = V.DATE_FORMATS) -> DataFrame:
+def text_patterns(df: DataFrame, columns: Sequence[str], formats: Mapping[str, str] = V.DATE_FORMATS) -> DataFrame:
     """Per text column, the share of values that are numbers once decoration is removed, and the
     share of the other values that read as dates. Every value counts; nothing is sampled."""
     exprs = {}
     for c in columns:
         value = q(c).cast("string")
         bare = F.regexp_replace(value, V.NUMBER_DECORATION, "")
-        plain = V.number_text(value).isNotNull()
+        plain = value.rlike(V.NUMBER_PATTERN)
         stamp = V.parse_timestamp(value, df.schema[c].dataType, formats).isNotNull()
         exprs[c] = {
             "filled": F.count(value),
             "numbers": F.count_if(bare.rlike(V.NUMBER_PATTERN)),
-            "words": F.count_if(value.isNotNull() & ~plain),
+            "words": F.count_if(~plain),
             "dates": F.count_if(~plain & stamp),
         }
     sums = rows_per_column(exprs, df)

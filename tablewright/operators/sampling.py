@@ -1,20 +1,25 @@
-"""Reproducible samples, splits and folds with exact sizes, without sorting the table.
+"""Reproducible samples, splits and folds of set sizes, without sorting the table.
 
-Every row has a pseudo-random number from its key. Counting the rows per class and
-leading bits of that number (a small histogram) tells in which bucket each wanted
-size is reached. Rows in all other buckets are decided where they are, with no
-shuffle; only the few rows of the border buckets are ranked. One class may hold
-any share of the table: its rows spread over all buckets.
+Every row has a pseudo-random number from its key. A histogram of its leading bits
+tells in which bucket each wanted size is reached, and a second look at those few
+buckets gives the exact number to cut at. After that a sample, a split or a fold is a
+comparison with literals: a projection with no shuffle, the same on every run. One
+class may hold any share of the table, as its rows spread over all buckets.
+
+Rows of equal keys have equal numbers and stay together, so copies never straddle a
+split. Only where exactly n rows are asked for is such a group divided.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.hashing import HASH_BITS, default_key, row_hash
+from tablewright.functions.hashing import default_key, row_hash
 from tablewright.functions.kinds import q
 from tablewright.operators.task import TaskError
 
@@ -27,7 +32,7 @@ MAX_FOLDS = 5
 ROWS_PER_FOLD = 10
 EARLY_STOPPING_SHARE = 0.1
 MIN_ROWS_PER_CLASS = 3
-BUCKET_BITS = 16
+MAX_BUCKET_DIGITS = 5  # hex digits: a million buckets
 
 
 def class_table(df: DataFrame, target: str, limit: int = MAX_STRATA) -> list[tuple[object, int]] | None:
@@ -58,69 +63,117 @@ def shares(sizes: Sequence[int], total: int) -> list[int]:
     return out
 
 
-def segments(
-    df: DataFrame,
-    key: Sequence[str],
-    cuts: Sequence[tuple[object, Sequence[int]]],
-    by: str | None = None,
-    name: str = "segment",
+@dataclass(frozen=True)
+class Cut:
+    """Where a class is cut: rows up to ``at`` come before, and ``over`` of the rows at it are too many."""
+
+    at: str
+    over: int
+
+
+def find_cuts(
+    df: DataFrame, key: Sequence[str], sizes: Sequence[tuple[object, Sequence[int]]], by: str | None = None,
     seed: int = SEED,
-    bits: int = BUCKET_BITS,
-) -> DataFrame:
-    """Cut each class, in hash order, after the given running sizes; ``name`` is the piece, from 0.
+) -> dict[object, list[Cut]]:
+    """Per class, the hash numbers below which the given running sizes of rows lie.
 
-    ``cuts`` holds ``(class, [size1, size1 + size2, ...])`` for at most a few hundred
-    classes, so the table of borders built from it is small enough to broadcast.
-    Rows whose class is not listed are dropped.
+    Both steps are map-side combined aggregates; what reaches the driver is one row per
+    class and cut, for at most a few hundred classes.
     """
-    hashed = df.withColumn("__h", row_hash(key, seed))
-    bucket = F.shiftright("__h", HASH_BITS - bits)
-    hashed = hashed.withColumn("__b", bucket)
     label: Column = q(by) if by else F.lit(0)
-    spark = df.sparkSession
+    most = max((n for _, cuts in sizes for n in cuts), default=0)
+    digits = min(max(most.bit_length() // 8, 2), MAX_BUCKET_DIGITS)  # about as many buckets as rows in one
+    hashed = df.select(label.alias("label"), row_hash(key, seed).alias("h"))
+    hashed = hashed.withColumn("bucket", F.substring("h", 1, digits))
+    wanted = [(value if by else 0, piece, int(n)) for value, cuts in sizes for piece, n in enumerate(cuts)]
     label_type = df.schema[by].dataType.simpleString() if by else "int"
+    goals = df.sparkSession.createDataFrame(wanted, f"label {label_type}, piece int, goal bigint")
+
+    def reached(counts: DataFrame, groups: list[str], order: str, goals_: DataFrame) -> DataFrame:
+        upto = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        steps = counts.withColumn("upto", F.sum("n").over(upto))
+        hit = (F.col("upto") >= F.col("goal")) & (F.col("upto") - F.col("n") < F.col("goal"))
+        return steps.join(F.broadcast(goals_), groups).filter(hit)
+
+    histogram = hashed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    borders = reached(histogram, ["label"], "bucket", goals).select(
+        "label", "piece", "bucket", (F.col("goal") - F.col("upto") + F.col("n")).alias("goal")).collect()
+    out: dict[object, list[Cut]] = {value: [Cut("", 0)] * len(cuts) for value, cuts in sizes}
+    if not borders:
+        return out
+    places = df.sparkSession.createDataFrame(borders, f"label {label_type}, piece int, bucket string, goal bigint")
+    narrow = hashed.join(F.broadcast(places.select("label", "bucket").distinct()), ["label", "bucket"], "left_semi")
+    numbers = narrow.groupBy("label", "bucket", "h").agg(F.count(F.lit(1)).alias("n"))
+    for r in reached(numbers, ["label", "bucket"], "h", places).collect():
+        value = r["label"] if by else sizes[0][0]
+        out[value][r["piece"]] = Cut(r["h"], r["upto"] - r["goal"])
+    return out
+
+
+def segment_of(cuts: dict[object, list[Cut]], h: Column, by: str | None = None) -> Column:
+    """The piece a row falls in by its hash ``h``, from 0; NULL for a class that was not cut."""
+    def pieces(borders: list[Cut]) -> Column:
+        return sum(((h > F.lit(c.at)).cast("int") for c in borders[1:]), (h > F.lit(borders[0].at)).cast("int"))
+
+    if by is None:
+        return pieces(next(iter(cuts.values())))
+    out: Column | None = None
+    for value, borders in cuts.items():
+        test = q(by) == F.lit(value)
+        out = F.when(test, pieces(borders)) if out is None else out.when(test, pieces(borders))
+    return F.lit(None).cast("int") if out is None else out
 
-    wanted = [(value if by else 0, piece, int(size)) for value, sizes in cuts for piece, size in enumerate(sizes)]
-    goals = spark.createDataFrame(wanted, f"__l {label_type}, __piece int, __goal bigint")
-    histogram = hashed.groupBy(label.alias("__l"), "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__l").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    reached = histogram.withColumn("__upto", F.sum("__n").over(before))
-    borders = (
-        goals.join(reached, "__l", "left")
-        .filter((F.col("__upto") >= F.col("__goal")) & (F.col("__upto") - F.col("__n") < F.col("__goal")))
-        .select("__l", "__piece", F.col("__b"), (F.col("__goal") - F.col("__upto") + F.col("__n")).alias("__need"))
-    )
-    # A size of zero has its border before the first bucket.
-    empty = goals.filter("__goal <= 0").select(
-        "__l", "__piece", F.lit(-1).cast("bigint").alias("__b"), F.lit(0).cast("bigint").alias("__need"))
-    per_class = (
-        borders.unionByName(empty).groupBy("__l")
-        .agg(F.collect_list(F.struct("__b", "__need")).alias("__borders"))
-    )
-    joined = hashed.join(
-        F.broadcast(per_class.withColumnRenamed("__l", "__label")), label == F.col("__label")  # <= MAX_STRATA rows
-    )
-
-    def past(rank: Column | None) -> Column:
-        def one(border: Column) -> Column:
-            beyond = F.col("__b") > border["__b"]
-            if rank is not None:
-                beyond = beyond | ((F.col("__b") == border["__b"]) & (rank > border["__need"]))
-            return beyond
-        return F.size(F.filter("__borders", one)).alias(name)
-
-    on_border = F.exists("__borders", lambda b: b["__b"] == F.col("__b"))
-    keep = [q(c) for c in df.columns]
-    easy = joined.filter(~on_border).select(*keep, past(None))
-    tied = Window.partitionBy("__label", "__b").orderBy("__h", *[q(k) for k in key])
-    ranked = joined.filter(on_border).withColumn("__rank", F.row_number().over(tied))
-    return easy.unionByName(ranked.select(*keep, past(F.col("__rank"))))
+
+def segments(
+    df: DataFrame, key: Sequence[str], sizes: Sequence[tuple[object, Sequence[int]]], by: str | None = None,
+    name: str = "segment", seed: int = SEED,
+) -> DataFrame:
+    """Cut each class, in hash order, after the given running sizes; rows of other classes are dropped."""
+    if not sizes or not any(list(cuts) for _, cuts in sizes):
+        return df.withColumn(name, F.lit(0))
+    cuts = find_cuts(df, key, sizes, by, seed)
+    # The hash has a column of its own, so that it is computed once per row.
+    hashed = df.withColumn("__h", row_hash(key, seed))
+    cut = hashed.select(*[q(c) for c in df.columns], segment_of(cuts, F.col("__h"), by).alias(name))
+    return cut.filter(q(name).isNotNull()) if by else cut
+
+
+def take(df: DataFrame, key: Sequence[str], sizes: Sequence[tuple[object, int]], by: str | None = None,
+         seed: int = SEED) -> DataFrame:
+    """Exactly the given number of rows of each class, in hash order.
+
+    Where rows of one key reach over the border, they are told apart by their other
+    columns; rows that are equal in everything are written as often as they are needed,
+    by as many tasks as it takes.
+    """
+    cuts = find_cuts(df, key, [(value, [n]) for value, n in sizes], by, seed)
+    hashed = df.withColumn("__h", row_hash(key, seed))
+    chosen = hashed.filter(segment_of(cuts, F.col("__h"), by) == 0)
+    tied = {value: cut[0] for value, cut in cuts.items() if cut[0].over}
+    if not tied:
+        return chosen.drop("__h")
+    at_border = {
+        value: (F.col("__h") == F.lit(cut.at)) & (q(by) == F.lit(value) if by else F.lit(True)) for value, cut in tied.items()
+    }
+    out = chosen.filter(~reduce(lambda a, b: a | b, at_border.values())).drop("__h")
+    for value, cut in tied.items():
+        group = chosen.filter(at_border[value]).drop("__h")
+        need = group.count() - cut.over
+        if set(key) != set(df.columns):
+            part = take(group, df.columns, [(0, need)], seed=seed)
+        else:
+            one = group.limit(1).withColumn("__copy", F.lit(0))
+            copies = df.sparkSession.range(need).select(F.lit(0).alias("__copy"))
+            part = copies.join(F.broadcast(one), "__copy").select(*[q(c) for c in df.columns])  # one row
+        out = out.unionByName(part)
+    return out
 
 
 def uniform_sample(df: DataFrame, n: int, key: Sequence[str] | None = None, seed: int = SEED) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer), the same ones on every run."""
-    cut = segments(df, default_key(df, key), [(0, [n])], seed=seed)
-    return cut.filter("segment = 0").drop("segment")
+    if df.count() <= n:
+        return df
+    return take(df, default_key(df, key), [(0, n)], seed=seed)
 
 
 def working_set(
@@ -143,10 +196,8 @@ def working_set(
     key = default_key(df, key)
     if stratify:
         quota = shares([c for _, c in classes], n)
-        cut = segments(present, key, [(v, [k]) for (v, _), k in zip(classes, quota)], by=target, seed=seed)
-    else:
-        cut = segments(present, key, [(0, [n])], seed=seed)
-    return cut.filter("segment = 0").drop("segment"), info
+        return take(present, key, [(v, k) for (v, _), k in zip(classes, quota)], target, seed), info
+    return take(present, key, [(0, n)], seed=seed), info
 
 
 def _split(

@@ -16,6 +16,7 @@ from tablewright.operators import models, tuning
 from tablewright.operators import metrics as M
 from tablewright.operators.sampling import fold_count, require_class_sizes, train_test_split, with_folds
 from tablewright.operators.task import TaskError, assess_imbalance
+from tablewright.session import spread
 
 
 @dataclass
@@ -62,8 +63,8 @@ def sweep(df: DataFrame, target: str, task: str, candidates: Sequence[str] = ("b
         require_class_sizes(train, target, 2)
     folds = fold_count(train, target, classification)
     # Read by every fold of every candidate; kept on disk where it does not fit in memory.
-    data = with_folds(train, target, key, classification, folds).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = data.count()
+    rows = train.count()
+    data = spread(with_folds(train, target, key, classification, folds), rows).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(name: str, params: dict, fold: int) -> float:
         return models.fold_score(name, task, params, data, target, features, fold, metric, labels, balanced, key,
@@ -85,8 +86,8 @@ def sweep(df: DataFrame, target: str, task: str, candidates: Sequence[str] = ("b
             continue
         scores[name] = found
         mean = sum(found) / len(found)
-        spread = tuning.noise(found) * len(found) ** 0.5
-        log.append((name, "ok", round(mean, 4), round(spread, 4), None))
+        deviation = tuning.noise(found) * len(found) ** 0.5
+        log.append((name, "ok", round(mean, 4), round(deviation, 4), None))
     schema = "name string, status string, cv_mean double, cv_std double, reason string"
     table = spark.createDataFrame(log, schema)
     if not scores:

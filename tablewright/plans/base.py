@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.functions.hashing import fold_edges
+
 Plan = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Plan] = {}
@@ -32,7 +34,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def sql_hash(seed: int, keys: list[str]) -> str:
     """The statement for :func:`tablewright.functions.hashing.row_hash`."""
-    return f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 15))::BIGINT"
+    return f"md5(concat_ws(':', '{seed}', {', '.join(keys)}))"
+
+
+def sql_fold(seed: int, keys: list[str], folds: int) -> str:
+    """The statement for :func:`tablewright.functions.hashing.hash_fold`."""
+    h = f"substr({sql_hash(seed, keys)}, 1, 8)"
+    return "(" + " + ".join(f"({h} >= '{e}')::INT" for e in fold_edges(folds)) + ")"
 
 
 # -- shared views of the tables, with planted gaps, leaks and targets ------------------------
@@ -158,11 +166,11 @@ def fold_scores(spark: SparkSession, folder: str) -> DataFrame:
     """A log of fold scores: suppliers stand for trials and line numbers for folds."""
     return table(spark, folder, "lineitem").groupBy(
         F.col("l_suppkey").alias("trial"), F.col("l_linenumber").alias("fold")
-    ).agg(F.round(F.avg("l_discount") * 10, 6).alias("score"))
+    ).agg(F.avg(F.sqrt(F.col("l_discount") + F.col("l_tax"))).alias("score"))
 
 
 SQL_FOLD_SCORES = """
-    SELECT l_suppkey AS trial, l_linenumber AS fold, round(avg(l_discount) * 10, 6) AS score
+    SELECT l_suppkey AS trial, l_linenumber AS fold, avg(sqrt(l_discount + l_tax)) AS score
     FROM lineitem GROUP BY 1, 2"""
 
 

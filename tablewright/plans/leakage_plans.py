@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import leakage as L
 from tablewright.plans.base import (
-    LINE_KEY, SQL_LINE_NET, SQL_LINE_TOTAL, line_net, line_total, query, sql_hash,
+    LINE_KEY, SQL_LINE_NET, SQL_LINE_TOTAL, line_net, line_total, query, sql_fold,
 )
 
-FOLD = f"{sql_hash(0, LINE_KEY)} % 3"
+FOLD = sql_fold(0, LINE_KEY, 3)
 QUARTERS = "[" + ", ".join(f"{i / 16}" for i in range(17)) + "]"
 
 

@@ -169,17 +169,17 @@ def champion(spark, folder):
 
 
 def _with_status(spark, folder):
-    failed = F.col("cv_noise") > 0.03
+    failed = F.col("cv_noise") > 0.0035
     return candidates(spark, folder).withColumn("status", F.when(failed, "failed").otherwise("ok")).withColumn(
         "reason", F.when(failed, "unstable"))
 
 
-@query("leaderboard", f"SELECT name, cv_mean, cv_std FROM ({CANDIDATES}) WHERE NOT cv_noise > 0.03::DOUBLE ORDER BY cv_mean DESC, name LIMIT 15")
+@query("leaderboard", f"SELECT name, cv_mean, cv_std FROM ({CANDIDATES}) WHERE NOT cv_noise > 0.0035::DOUBLE ORDER BY cv_mean DESC, name LIMIT 15")
 def leaderboard(spark, folder):
     return M.leaderboard(_with_status(spark, folder), "accuracy", M.MAX_BARS).select("name", "cv_mean", "cv_std")
 
 
-@query("excluded_candidates", f"SELECT name, 'failed' AS status, 'unstable' AS reason FROM ({CANDIDATES}) WHERE cv_noise > 0.03::DOUBLE")
+@query("excluded_candidates", f"SELECT name, 'failed' AS status, 'unstable' AS reason FROM ({CANDIDATES}) WHERE cv_noise > 0.0035::DOUBLE")
 def excluded_candidates(spark, folder):
     return M.excluded(_with_status(spark, folder))
 
@@ -189,10 +189,10 @@ def leaderboard_lower_is_better(spark, folder):
     return M.leaderboard(candidates(spark, folder), "rmse", M.MAX_BARS).select("name", "cv_mean")
 
 
-@query("beats_baseline", f"SELECT name, cv_mean > 0.5::DOUBLE + 0.01::DOUBLE AS beats, round(0.6 - cv_mean, 4) AS overfit_gap FROM ({CANDIDATES})")
+@query("beats_baseline", f"SELECT name, cv_mean > 0.28::DOUBLE + 0.01::DOUBLE AS beats, round(0.6 - cv_mean, 4) AS overfit_gap FROM ({CANDIDATES})")
 def beats_baseline(spark, folder):
     return candidates(spark, folder).select(
-        "name", M.beats_baseline(F.col("cv_mean"), F.lit(0.5)).alias("beats"),
+        "name", M.beats_baseline(F.col("cv_mean"), F.lit(0.28)).alias("beats"),
         M.overfit_gap(F.lit(0.6), F.col("cv_mean")).alias("overfit_gap"))
 
 

@@ -8,8 +8,9 @@ from tablewright.operators import neighbours as K
 from tablewright.operators import sampling as S
 from tablewright.operators import scoring
 from tablewright.operators.features import engineer
-from tablewright.plans.base import LINE_KEY, labelled_documents, line_total, query, sql_hash, table
+from tablewright.plans.base import LINE_KEY, labelled_documents, line_total, query, sql_fold, sql_hash, table
 from tablewright.plans.sampling_plans import DOC_FOLDS
+from tablewright.session import spread
 
 
 @query("baseline_cv", f"""
@@ -37,7 +38,7 @@ def baseline_cv_reg(spark, folder):
 
 
 @query("knn_vote", f"""
-WITH e AS (SELECT vec_id, label, embedding, {sql_hash(7, ['vec_id'])} % 5 AS part FROM embeddings),
+WITH e AS (SELECT vec_id, label, embedding, {sql_fold(7, ['vec_id'], 5)} AS part FROM embeddings),
 d AS (SELECT q.vec_id, t.vec_id AS n, t.label,
              sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))) AS dist
       FROM e q JOIN e t ON q.part = 0 AND t.part <> 0),
@@ -46,8 +47,8 @@ w AS (SELECT vec_id, label, sum(CASE WHEN z > 0 THEN (dist = 0)::INT ELSE 1 / di
       FROM (SELECT *, max((dist = 0)::INT) OVER (PARTITION BY vec_id) AS z FROM k WHERE r <= 15) GROUP BY ALL)
 SELECT vec_id, first(label ORDER BY round(w, 9) DESC, label) AS prediction, round(max(w) / sum(w), 6) AS share FROM w GROUP BY vec_id""")
 def knn_vote(spark, folder):
-    from tablewright.functions.hashing import row_hash
-    rows = table(spark, folder, "embeddings").withColumn("part", F.pmod(row_hash(["vec_id"], 7), F.lit(5)))
+    from tablewright.functions.hashing import hash_fold
+    rows = table(spark, folder, "embeddings").withColumn("part", hash_fold(["vec_id"], 7, 5))
     near = K.nearest(rows.filter("part = 0"), rows.filter("part <> 0"), "vec_id", "embedding", "label")
     return K.vote(near).select(F.col("key").alias("vec_id"), "prediction", F.round("share", 6).alias("share"))
 
@@ -73,7 +74,8 @@ FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
 
 
 def _cv(spark, folder, name, folds, **how):
-    data = S.with_folds(_late(spark, folder), "late", LINE_KEY, folds=folds).cache()
+    rows = _late(spark, folder)
+    data = spread(S.with_folds(rows, "late", LINE_KEY, folds=folds), rows.count()).cache()
     labels = ["late", "on time"]
     found = L.cross_validate(lambda k: L.fold_score(name, "classification", L.DEFAULTS[name], data, "late", FEATURES, k,
                                                     "accuracy", labels, key=LINE_KEY, **how), folds)

@@ -36,3 +36,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     elif not shared and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, rows: int, few: int = 5_000_000) -> DataFrame:
+    """A table of few rows over all cores, for work that is heavy per row.
+
+    A single small file is read by one task, whatever the cluster. A table of more rows
+    has tasks enough and is returned as it is.
+    """
+    if rows > few:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
