@@ -16,6 +16,7 @@ from tablewright.functions import values as V
 from tablewright.functions.kinds import columns_of, is_integer, q
 from tablewright.operators import leakage, task as task_ops
 from tablewright.operators.profile import profile, rows_per_column
+from tablewright.session import spread
 
 # Fixed values.
 RARE_CLASS_ROWS = 10
@@ -169,6 +170,7 @@ def identifier_like(stats: DataFrame, text: Sequence[str], share: float = IDENTI
 def text_patterns(df: DataFrame, columns: Sequence[str], formats: Mapping[str, str] = V.DATE_FORMATS) -> DataFrame:
     """Per text column, the share of values that are numbers once decoration is removed, and the
     share of the other values that read as dates. Every value counts; nothing is sampled."""
+    df = spread(df.select(*[q(c) for c in columns]), df.count())
     exprs = {}
     for c in columns:
         value = q(c).cast("string")

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from tablewright.functions import values as V
 from tablewright.functions.kinds import columns_of, kinds, q
 from tablewright.operators.cleaning import CleaningSpec, column_sources, merge_labels, merged_rows, prepare
-from tablewright.operators.leakage import distinct_counts
 from tablewright.operators.ordering import position, quantiles
 from tablewright.operators.profile import profile, rows_per_column, value_counts
 
@@ -152,24 +151,41 @@ def medians(df: DataFrame, columns: Sequence[str], rows: int | None = None) -> D
 
 
 def scales(df: DataFrame, columns: Sequence[str], rows: int | None = None) -> DataFrame:
-    """``(column, median, mean, std)``: mean and population deviation once gaps hold the median."""
-    middle = {r["column"]: r["median"] for r in medians(df, columns, rows).collect()}
+    """``(column, median, mean, std)``: mean and population deviation once gaps hold the median.
+
+    Filling moves the moments by a known amount, so one pass gives all three.
+    """
+    marks = quantiles(df, columns, [0.5], rows)
     exprs = {}
     for c in columns:
-        filled = F.coalesce(q(c).cast("double"), F.lit(middle[c] if middle[c] is not None else 0.0))
-        exprs[c] = {"median": F.first(F.lit(middle[c])), "mean": F.avg(filled), "std": F.stddev_pop(filled)}
-    return rows_per_column(exprs, df)
+        v = q(c).cast("double")
+        exprs[c] = {"n": F.count(v), "rows": F.count(F.lit(1)), "m": F.avg(v), "v": F.var_pop(v), "marks": marks[c]}
+    seen = rows_per_column(exprs, df).select("*", F.col("marks")[0].alias("median"))
+    gaps = F.col("rows") - F.col("n")
+    mean = (F.col("n") * F.col("m") + gaps * F.col("median")) / F.col("rows")
+    moved = seen.withColumn("mean", mean)
+    own = F.col("n") * (F.col("v") + (F.col("m") - F.col("mean")) ** 2)
+    filled = gaps * (F.col("median") - F.col("mean")) ** 2
+    return moved.select("column", "median", "mean", F.sqrt((own + filled) / F.col("rows")).alias("std"))
+
+
+def commonest(df: DataFrame, columns: Sequence[str], limit: int) -> DataFrame:
+    """``(column, level, n, rank)``: at most ``limit`` levels per column, the most frequent first, ties by value.
+
+    Spark keeps that many per task before the shuffle.
+    """
+    counts = value_counts(df, columns).filter("value IS NOT NULL")
+    by_size = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    ranked = counts.withColumn("rank", F.row_number().over(by_size)).filter(F.col("rank") <= limit)
+    return ranked.select("column", F.col("value").alias("level"), "n", "rank")
 
 
 def frequent_levels(df: DataFrame, columns: Sequence[str], limit: int = POOLED_LEVELS) -> DataFrame:
     """``(column, level, n)``: all levels of a short column, else the ``limit - 1`` most frequent."""
-    counts = value_counts(df, columns).filter("value IS NOT NULL")
-    by_size = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-    ranked = counts.withColumn("rank", F.row_number().over(by_size)).filter(F.col("rank") <= limit + 1)
     longest = Window.partitionBy("column")
-    kept = ranked.withColumn("longest", F.max("rank").over(longest)).filter(
+    kept = commonest(df, columns, limit + 1).withColumn("longest", F.max("rank").over(longest)).filter(
         (F.col("longest") <= limit) | (F.col("rank") <= limit - 1))
-    return kept.select("column", F.col("value").alias("level"), "n")
+    return kept.select("column", "level", "n")
 
 
 def level_codes(df: DataFrame, column: str, rows: int | None = None) -> DataFrame:
@@ -209,29 +225,31 @@ class Encoder:
         text = [c for c in features if c not in numeric]
         rows = df.count() if rows is None else rows
         enc = Encoder(style, numeric, text)
+        # One bounded list of levels per column says what fills gaps, which levels there are, and whether there are more.
+        limit = POOLED_LEVELS if style == "scaled" else LITERAL_LEVELS
+        levels: dict[str, list[str]] = {c: [] for c in text}
         if text:
-            enc.fill = {r["column"]: r["value"] for r in most_frequent(df, text).collect()}
+            for r in sorted(commonest(df, text, limit + 1).collect(), key=lambda r: r["rank"]):
+                levels[r["column"]].append(r["level"])
+        enc.fill = {c: found[0] for c, found in levels.items() if found}
         if style == "scaled":
             if numeric:
                 for r in scales(df, numeric, rows).collect():
                     enc.scale[r["column"]] = (r["median"] or 0.0, r["mean"] or 0.0, r["std"] or 1.0)
-            found = frequent_levels(df, text).collect() if text else []
-            enc.levels = {c: sorted(r["level"] for r in found if r["column"] == c) for c in text}
-            full = distinct_counts(df, text, POOLED_LEVELS)
-            enc.pooled = [c for c in text if full[c] > POOLED_LEVELS]
+            enc.pooled = [c for c in text if len(levels[c]) > limit]
+            enc.levels = {c: sorted(levels[c][:limit - 1] if c in enc.pooled else levels[c]) for c in text}
             return enc
         if numeric:
             ends = rows_per_column(
                 {c: {"lo": F.min(q(c).cast("double")), "hi": F.max(q(c).cast("double"))} for c in numeric}, df)
             enc.below = {r["column"]: (r["lo"] or 0.0) - 1.0 - ((r["hi"] or 0.0) - (r["lo"] or 0.0)) for r in ends.collect()}
-        many = distinct_counts(df, text, LITERAL_LEVELS)
         for c in text:
-            if style == "tree" and many[c] <= ONE_HOT_LEVELS:
-                enc.levels[c] = [r["level"] for r in level_codes(df, c, rows).orderBy("code").collect()]
-            elif many[c] <= LITERAL_LEVELS:
-                enc.codes[c] = [r["level"] for r in level_codes(df, c, rows).orderBy("code").collect()]
-            else:
+            if len(levels[c]) > limit:
                 enc.tables[c] = level_codes(df, c, rows)
+            elif style == "tree" and len(levels[c]) <= ONE_HOT_LEVELS:
+                enc.levels[c] = sorted(levels[c])
+            else:
+                enc.codes[c] = sorted(levels[c])
         return enc
 
     def _columns(self) -> list[Column]:

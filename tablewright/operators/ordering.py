@@ -104,40 +104,49 @@ def order_statistics(
         return F.when(keep, value)
 
     ready: dict[tuple[str, int], tuple[float | None, float | None, int]] = {}
+    slack = 2.0 / _SKETCH_ACCURACY
     while open_:
-        keys = list(open_)
+        # Ranks of a column that share a bracket share its sketch.
+        shared: dict[tuple, list[int]] = {}
+        for (c, k), (lo, hi, below, rows) in open_.items():
+            shared.setdefault((c, lo, hi, below, rows), []).append(k)
         sketch = []
-        for i, (c, k) in enumerate(keys):
-            lo, hi, below, rows = open_[keys[i]]
-            share, slack = (k - below) / max(rows - 1, 1), 2.0 / _SKETCH_ACCURACY
-            marks = [max(0.0, share - slack), min(1.0, share + slack)]
+        for i, ((c, lo, hi, below, rows), ranks) in enumerate(shared.items()):
+            at = [(k - below) / max(rows - 1, 1) for k in ranks]
+            marks = [m for s in at for m in (max(0.0, s - slack), min(1.0, s + slack))]
             sketch.append(F.percentile_approx(inside(c, lo, hi), marks, _SKETCH_ACCURACY).alias(f"s{i}"))
-            sketch.append(F.approx_count_distinct(inside(c, lo, hi), 0.02).alias(f"d{i}"))
+            sketch.append(F.approx_count_distinct(inside(c, lo, hi), 0.05).alias(f"d{i}"))
         seen = df.agg(*sketch).first()
-        checks = []
-        for i, (c, _) in enumerate(keys):
-            value = q(c).cast("double")
-            checks.append(F.count_if(value < seen[f"s{i}"][0]).alias(f"b{i}"))
-            checks.append(F.count_if(value <= seen[f"s{i}"][1]).alias(f"e{i}"))
-        exact = df.agg(*checks).first()
+        narrowed: dict[tuple[str, int], tuple[float, float]] = {}
+        for i, ((c, lo, hi, below, rows), ranks) in enumerate(shared.items()):
+            for j, k in enumerate(ranks):
+                if seen[f"d{i}"] <= bracket_values:
+                    ready[(c, k)] = (lo, hi, below)
+                else:
+                    narrowed[(c, k)] = (seen[f"s{i}"][2 * j], seen[f"s{i}"][2 * j + 1])
+        if not narrowed:
+            break
+        borders = sorted({(c, v, side) for (c, _), pair in narrowed.items() for side, v in enumerate(pair)})
+        counters = [
+            F.count_if(q(c).cast("double") <= v if side else q(c).cast("double") < v).alias(f"n{i}")
+            for i, (c, v, side) in enumerate(borders)
+        ]
+        exact = df.agg(*counters).first()
+        counted = {border: exact[f"n{i}"] for i, border in enumerate(borders)}
         following = {}
-        for i, (c, k) in enumerate(keys):
-            lo, hi, below, rows = open_[keys[i]]
-            if seen[f"d{i}"] <= bracket_values:
-                ready[keys[i]] = (lo, hi, below)
-                continue
-            new_lo, new_hi = seen[f"s{i}"]
-            n_below, n_upto = exact[f"b{i}"], exact[f"e{i}"]
+        for (c, k), (new_lo, new_hi) in narrowed.items():
+            lo, hi, below, rows = open_[(c, k)]
+            n_below, n_upto = counted[(c, new_lo, 0)], counted[(c, new_hi, 1)]
             if not n_below <= k:  # the sketch was off: keep the old border
                 new_lo, n_below = lo, below
             if not k < n_upto:
                 new_hi, n_upto = hi, below + rows
             if new_lo is not None and new_lo == new_hi:
-                found[keys[i]] = new_lo
+                found[(c, k)] = new_lo
             elif n_upto - n_below >= rows:
-                ready[keys[i]] = (lo, hi, below)
+                ready[(c, k)] = (lo, hi, below)
             else:
-                following[keys[i]] = (new_lo, new_hi, n_below, n_upto - n_below)
+                following[(c, k)] = (new_lo, new_hi, n_below, n_upto - n_below)
         open_ = following
 
     if ready:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import q
 from tablewright.operators.matching import containing
+from tablewright.session import spread
 
 # Fixed values.
 K1, B = 1.5, 0.75
@@ -46,7 +47,9 @@ def idf(documents: int, containing_: Column) -> Column:
 
 def term_statistics(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """``(term, df, idf)`` of every word of the corpus."""
-    documents, _ = corpus_size(docs, text)
+    documents = docs.count()
+    docs = spread(docs.select(text.alias("__text")), documents)
+    text = F.col("__text")
     terms = docs.select(F.explode(F.array_distinct(words(text))).alias("term"))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", "df", F.round(idf(documents, F.col("df")), 6).alias("idf"))
@@ -75,6 +78,8 @@ def _top(scores: DataFrame, k: int) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: Column, queries: DataFrame, query_key: str, query_text: str,
          k: int = TOP, prune: bool | None = None) -> DataFrame:
     """``(query, doc, score, rank)``: the k best documents per query, ties in document order."""
+    docs = spread(docs.select(q(key), text.alias("__text")), docs.count())
+    text = F.col("__text")
     documents, mean = corpus_size(docs, text)
     asked = query_terms(queries, query_key, query_text)
     found = postings(docs, key, text, asked)
