@@ -213,8 +213,8 @@ def fit(name: str, task: str, params: Mapping[str, object], train: DataFrame, ta
         boost.update(validationIndicatorCol="is_validation", validationTol=0.001)
     booster = GBTClassifier(**boost) if classification else GBTRegressor(**boost)
     if classification and len(labels) > 2:
-        weighted = {"weightCol": "__weight"} if balanced else {}
-        fitted.model = OneVsRest(classifier=booster, featuresCol="features", labelCol="__y", **weighted).fit(data)
+        rest = OneVsRest(classifier=booster, featuresCol="features", labelCol="__y", weightCol="__weight")
+        fitted.model = rest.fit(data)
         fitted.trees = trees or max_trees
     else:
         fitted.model = booster.fit(data)
