@@ -16,7 +16,7 @@ from tablewright.functions import values as V
 from tablewright.functions.kinds import columns_of, is_integer, q
 from tablewright.operators import leakage, task as task_ops
 from tablewright.operators.profile import profile, rows_per_column
-from tablewright.session import spread
+from tablewright.session import settled, spread
 
 # Fixed values.
 RARE_CLASS_ROWS = 10
@@ -220,16 +220,17 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 def column_findings(df: DataFrame, target: str | None = None, stats: DataFrame | None = None) -> list[DataFrame]:
     """The checks that read the profile, plus the text patterns of columns that are not identifiers."""
     features = [c for c in df.columns if c != target]
-    stats = profile(df, features) if stats is None else stats
+    stats = settled(profile(df, features) if stats is None else stats)  # one row per column
     text = [c for c in features if c in columns_of(df, "text", "boolean", "nested")]
     out = [constant_columns(stats), high_missing(stats), identifier_like(stats, text),
            temporal_columns(df, features)]
     plain = [c for c in text if c in columns_of(df, "text")]
     if plain:
-        patterns = text_patterns(df, plain)
-        filled = F.col("rows") - F.col("missing")
-        judged = stats.filter((F.col("unique") > 1) & (F.col("unique") < IDENTIFIER_SHARE * filled)).select("column")
-        patterns = patterns.join(F.broadcast(judged), "column", "left_semi")  # one row per column
+        judged = [r["column"] for r in stats.collect()
+                  if r["unique"] > 1 and r["unique"] < IDENTIFIER_SHARE * (r["rows"] - r["missing"])]
+        plain = [c for c in plain if c in judged]
+    if plain:
+        patterns = settled(text_patterns(df, plain))  # one row per column
         out += [numeric_stored_as_text(patterns), dates_stored_as_text(patterns)]
     return out
 
@@ -238,7 +239,7 @@ def audit(df: DataFrame, target: str, task: str, key: Sequence[str] | None = Non
           order: str | None = None, leaks: bool = True) -> DataFrame:
     """The whole report: target, rows, columns, and (optionally) leakage."""
     features = [c for c in df.columns if c != target]
-    counts = duplicate_counts(df, target)
+    counts = settled(duplicate_counts(df, target))  # one row
     findings = [target_missing(df, target), duplicate_rows(df, counts), conflicting_rows(df, target, counts)]
     if task == "classification":
         findings += [class_imbalance(df, target), rare_classes(df, target)]

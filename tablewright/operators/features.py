@@ -123,16 +123,15 @@ def engineer(df: DataFrame, target: str, spec: CleaningSpec | None = None, drops
 def form_values(df: DataFrame, columns: Sequence[str] | None = None, limit: int = FORM_CHOICES) -> DataFrame:
     """Per text column of at most ``limit`` values: its trimmed values, numbers first and in number order."""
     words = list(columns or columns_of(df, "text"))
-    trimmed = df.select(*[V.text(q(c)).alias(c) for c in words])
-    values = value_counts(trimmed, words).filter("value IS NOT NULL AND value <> ''")
-    # Only columns that are known to be short are collected into arrays.
-    short = values.groupBy("column").agg(F.count(F.lit(1)).alias("choices")).filter(F.col("choices") <= limit)
+    trimmed = df.select(*[F.when(V.text(q(c)) != "", V.text(q(c))).alias(c) for c in words])
+    # One value more than the limit shows that a column is too long; no more than that is ever gathered.
+    values = commonest(trimmed, words, limit + 1).withColumnRenamed("level", "value")
     as_number = V.number_text(F.col("value"))
     entry = F.struct(
         F.when(as_number.isNull(), 1).otherwise(0).alias("group"), F.coalesce(as_number, F.lit(0.0)).alias("number"),
         F.lower("value").alias("lower"), "value")
-    lists = values.join(F.broadcast(short), "column").groupBy("column").agg(  # one row per column
-        F.array_sort(F.collect_list(entry)).alias("entries"))
+    lists = values.groupBy("column").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    lists = lists.filter(F.size("entries") <= limit)
     return lists.select("column", F.transform("entries", lambda e: e["value"]).alias("choices"))
 
 

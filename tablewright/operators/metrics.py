@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.kinds import q
 from tablewright.operators.ordering import SMALL_ROWS, quantiles, running_totals
 from tablewright.operators.sampling import uniform_sample
+from tablewright.session import settled
 
 # Fixed values.
 MAX_BARS = 15
@@ -77,7 +78,7 @@ def _per_class(counts: DataFrame) -> DataFrame:
 
 def class_report(preds: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Precision, recall, F1 and rows of each class, then the macro and the weighted average."""
-    per = _per_class(confusion_counts(preds, label, prediction))
+    per = settled(_per_class(confusion_counts(preds, label, prediction)))  # one row per class
     scores = ["precision", "recall", "f1"]
     macro = per.agg(*[F.avg(s).alias(s) for s in scores], F.sum("support").alias("support")).select(
         F.lit("Macro average").alias("class"), *scores, "support")
@@ -118,12 +119,19 @@ def score_steps(preds: DataFrame, positive: Column, score: Column, by: Column |
     before any ordering happens.
     """
     by = F.lit("positive") if by is None else by
-    steps = preds.groupBy(by.alias("class"), score.cast("double").alias("score")).agg(
+    steps = preds.groupBy(by.cast("string").alias("class"), score.cast("double").alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
     rows = preds.count() if rows is None else rows
     run = running_totals(steps, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, ["class"], rows, small)
-    totals = steps.groupBy("class").agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
-    return run.join(F.broadcast(totals), "class")  # one row per class
+    # One row per class, and at most ten classes are drawn: the totals become literals.
+    totals = preds.groupBy(by.cast("string").alias("class")).agg(
+        F.count_if(positive).alias("p"), F.count_if(~positive).alias("n")).collect()
+    none = F.lit(0).cast("bigint")
+    positives, negatives = none, none
+    for t in totals:
+        own = F.col("class").eqNullSafe(F.lit(t["class"]))
+        positives, negatives = F.when(own, F.lit(t["p"])).otherwise(positives), F.when(own, F.lit(t["n"])).otherwise(negatives)
+    return run.withColumns({"positives": positives, "negatives": negatives})
 
 
 def roc_auc(steps: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import q
+from tablewright.session import settled
 
 MAX_RUNS = 100
 SUCCEEDED = "succeeded"
@@ -29,12 +30,13 @@ def run_history(runs: DataFrame, status: DataFrame, metrics: DataFrame, run: str
                 measured: Sequence[str] = ("model_name", "score"), succeeded: str = SUCCEEDED, n: int = MAX_RUNS) -> DataFrame:
     """The newest runs with their status; measures only where the run succeeded.
 
-    The newest runs are picked first, so the two lookups join at most ``n`` rows.
+    The newest runs are picked first: at most ``n``, so the lookups filter by their keys, which
+    the scans can push down.
     """
-    newest = runs.orderBy(q(added).desc(), q(run).desc()).limit(n)
-    picked = F.broadcast(newest)  # at most n rows
-    known = status.join(picked.select(q(run)), run, "left_semi")
-    scored = metrics.join(picked.select(q(run)), run, "left_semi").select(q(run), *[q(m) for m in measured])
+    newest = settled(runs.orderBy(q(added).desc(), q(run).desc()).limit(n))
+    keys = [r[run] for r in newest.select(q(run)).collect()]
+    known = status.filter(q(run).isin(keys))
+    scored = metrics.filter(q(run).isin(keys)).select(q(run), *[q(m) for m in measured])
     joined = newest.join(known, run, "left").join(scored, run, "left")
     shown = [F.when(q(state) == succeeded, q(m)).alias(m) for m in measured]
     return joined.select(q(run), q(added), q(state), *shown).orderBy(q(added).desc(), q(run).desc())

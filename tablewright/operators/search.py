@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import q
 from tablewright.operators.matching import containing
-from tablewright.session import spread
+from tablewright.session import checkpoint, spread
 
 # Fixed values.
 K1, B = 1.5, 0.75
@@ -70,8 +70,11 @@ def postings(docs: DataFrame, key: str, text: Column, terms: DataFrame) -> DataF
 
 
 def _top(scores: DataFrame, k: int) -> DataFrame:
-    """The best k per query: Spark keeps k per task before the shuffle, however many documents a query has."""
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+    """The best k per query: Spark keeps k per task before the shuffle, however many documents a query has.
+
+    Equal documents may differ in the last digits, by the order their parts were added in, so the
+    order is by the rounded score and then by document."""
+    best = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "doc")
     return scores.filter("score > 0").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
@@ -81,8 +84,9 @@ def bm25(docs: DataFrame, key: str, text: Column, queries: DataFrame, query_key:
     docs = spread(docs.select(q(key), text.alias("__text")), docs.count())
     text = F.col("__text")
     documents, mean = corpus_size(docs, text)
-    asked = query_terms(queries, query_key, query_text)
-    found = postings(docs, key, text, asked)
+    asked = checkpoint(query_terms(queries, query_key, query_text))
+    # The corpus is split into words once; everything below reads the postings of the asked words.
+    found = checkpoint(postings(docs, key, text, asked))
     frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0))
     weighted = found.join(frequency, "term").select(
@@ -169,8 +173,9 @@ def rule_lookup(categories: DataFrame, rules: DataFrame, category: str, rule: st
     Tier 1 is an equal name, tier 2 containment either way, tier 3 any keyword of the rule
     contained in the category; inside a tier the first rule wins.
     """
-    wanted = categories.select(q(category).alias("category")).distinct().withColumn("c", F.lower("category"))
-    known = rules.select(q(rule).alias("rule"), q(order).alias("at")).withColumn("r", F.lower("rule"))
+    # Both tables enter several branches; each is computed once.
+    wanted = checkpoint(categories.select(q(category).alias("category")).distinct().withColumn("c", F.lower("category")))
+    known = checkpoint(rules.select(q(rule).alias("rule"), q(order).alias("at")).withColumn("r", F.lower("rule")))
     names, needles = wanted.select("c").distinct(), known.select("r", "at", "rule")
     equal = names.join(needles, F.col("c") == F.col("r")).select("c", F.lit(1).alias("tier"), "at", "rule")
     inside = containing(names, needles, "c", "r").select("c", F.lit(2).alias("tier"), "at", "rule")

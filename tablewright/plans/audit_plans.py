@@ -8,6 +8,7 @@ from tablewright.plans.base import (
     SQL_LABELLED, SQL_LINE_GAPS, SQL_ORDER_FACTS, SQL_ORDER_TEXT, labelled_documents, line_gaps, order_facts,
     order_text, query, table,
 )
+from tablewright.session import settled
 
 SHOWN = ["check", "severity", "column", "value"]
 LINE = 'SELECT \'{check}\' AS "check", \'{severity}\' AS severity, {column} AS "column", {value} AS value'
@@ -161,7 +162,7 @@ GROUP BY 1""")
 def severity_counts(spark, folder):
     facts = order_facts(spark, folder).select(
         "o_orderkey", "n_name", F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("code"))
-    stats = profile(facts)
+    stats = settled(profile(facts))  # one row per column
     found = A.report([A.constant_columns(stats), A.high_missing(stats), A.identifier_like(stats, ["n_name", "code"])])
     return A.severity_counts(found)
 

@@ -38,6 +38,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A result of a few rows (one per column or class), computed once and held as a local table.
+
+    For results that several others are built from; their size is bounded by the number of
+    columns or classes, never by the number of rows.
+    """
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def spread(df: DataFrame, rows: int, few: int = 5_000_000) -> DataFrame:
     """A table of few rows over all cores, for work that is heavy per row.
 
