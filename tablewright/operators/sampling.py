@@ -102,7 +102,7 @@ def find_cuts(
     if not borders:
         return out
     places = df.sparkSession.createDataFrame(borders, f"label {label_type}, piece int, bucket string, goal bigint")
-    narrow = hashed.join(F.broadcast(places.select("label", "bucket").distinct()), ["label", "bucket"], "left_semi")
+    narrow = hashed.filter(F.col("bucket").isin(sorted({r["bucket"] for r in borders})))
     numbers = narrow.groupBy("label", "bucket", "h").agg(F.count(F.lit(1)).alias("n"))
     for r in reached(numbers, ["label", "bucket"], "h", places).collect():
         value = r["label"] if by else sizes[0][0]
@@ -134,8 +134,9 @@ def segments(
     cuts = find_cuts(df, key, sizes, by, seed)
     # The hash has a column of its own, so that it is computed once per row.
     hashed = df.withColumn("__h", row_hash(key, seed))
-    cut = hashed.select(*[q(c) for c in df.columns], segment_of(cuts, F.col("__h"), by).alias(name))
-    return cut.filter(q(name).isNotNull()) if by else cut
+    if by:
+        hashed = hashed.filter(q(by).isin([value for value, _ in sizes]))
+    return hashed.select(*[q(c) for c in df.columns], segment_of(cuts, F.col("__h"), by).alias(name))
 
 
 def take(df: DataFrame, key: Sequence[str], sizes: Sequence[tuple[object, int]], by: str | None = None,
