@@ -154,7 +154,7 @@ class Fitted:
         keyed = encoded.withColumn("__key", row_hash(list(kept), SEED)).withColumn("v", vector_to_array(q("features")))
         near = neighbours.nearest(
             keyed.select(F.col("__key").alias("key"), "v").dropDuplicates(["key"]), self.neighbour_rows, "key", "v", "y",
-            int(self.params["n_neighbors"]))
+            int(self.params["n_neighbors"]), copies="copies")
         how = str(self.params["weights"])
         found = neighbours.vote(near, how) if self.task == "classification" else neighbours.average(near, how)
         found = found.select(F.col("key").alias("__found"), F.col("prediction").cast("double").alias("prediction"))
@@ -192,9 +192,10 @@ def fit(name: str, task: str, params: Mapping[str, object], train: DataFrame, ta
     data = data.select(*keep)
 
     if name == "neighbours":
-        fitted.neighbour_rows = data.select(
-            F.xxhash64(vector_to_array("features"), "__y").alias("key"), vector_to_array("features").alias("v"),
-            F.col("__y").alias("y"))
+        # Equal rows become one with a count, so that many copies do not end up in one block.
+        rows_ = data.select(vector_to_array("features").alias("v"), F.col("__y").alias("y")).groupBy("v", "y").agg(
+            F.count(F.lit(1)).alias("copies"))
+        fitted.neighbour_rows = rows_.select(F.md5(F.to_json(F.struct("v", "y"))).alias("key"), "v", "y", "copies")
         return fitted
     if name in ("kernel", "linear"):
         fitted.model = _fit_linear(fitted, data, rows, len(encoder.names()))

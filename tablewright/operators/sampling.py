@@ -249,14 +249,15 @@ def with_folds(
     folds: int | None = None, seed: int = SEED + 1,
 ) -> DataFrame:
     """Add ``fold``; fold sizes differ by at most one row, within each class when classifying."""
-    folds = folds or fold_count(df, target, classification)
     key = default_key(df, key)
     if not classification:
         n = df.count()
+        folds = folds or max(2, min(MAX_FOLDS, n // ROWS_PER_FOLD))
         return segments(df, key, [(0, [n * (i + 1) // folds for i in range(folds - 1)])], name="fold", seed=seed)
     classes = class_table(df, target)
     if classes is None:
         raise TaskError(f"{target!r} has more than {MAX_STRATA} classes.")
+    folds = folds or max(2, min(MAX_FOLDS, min((n for _, n in classes), default=0)))
     cuts = [(v, [n * (i + 1) // folds for i in range(folds - 1)]) for v, n in classes]
     return segments(df, key, cuts, by=target, name="fold", seed=seed)
 

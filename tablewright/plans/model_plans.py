@@ -8,6 +8,7 @@ from tablewright.operators import neighbours as K
 from tablewright.operators import sampling as S
 from tablewright.operators import scoring
 from tablewright.operators.features import engineer
+from tablewright.operators.training import sweep
 from tablewright.plans.base import LINE_KEY, labelled_documents, line_total, query, sql_fold, sql_hash, table
 from tablewright.plans.sampling_plans import DOC_FOLDS
 from tablewright.session import spread
@@ -118,3 +119,9 @@ def batch_score(spark, folder):
     return scoring.score(events, bundle)
 
 
+@query("model_sweep")
+def model_sweep(spark, folder):
+    """Every table of a sweep over an unbalanced target: class weights and macro F1."""
+    rows = labelled_documents(spark, folder).select("doc_id", "toxic", "lang", "n_chars", "quality")
+    found = sweep(rows, "quality", "classification", ["linear", "neighbours"], ["doc_id"])
+    return found.candidates.select("name", "status", "cv_mean", "cv_std", "reason")

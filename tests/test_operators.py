@@ -386,6 +386,21 @@ def test_neighbours_in_blocks_equal_brute_force(spark):
         assert got[i] == {n for _, n in dist[:5]}
 
 
+def test_copies_count_as_often_as_they_occur(spark):
+    train = spark.createDataFrame([(1, [0.0], 0, 2), (2, [1.0], 1, 9), (3, [5.0], 0, 1)], "id bigint, v array<double>, y int, n bigint")
+    asked = spark.createDataFrame([(7, [0.4])], "id bigint, v array<double>")
+    near = K.nearest(asked, train, "id", "v", "y", 5, copies="n")
+    assert sorted((r["neighbour"], r["copies"]) for r in near.collect()) == [(1, 2), (2, 3)]
+    assert K.vote(near, "uniform").first()["prediction"] == 1
+
+
+def test_top_n_per_group_is_cut_before_the_shuffle(spark, capsys):
+    from tablewright.operators import features as E
+    df = spark.range(5000).select(F.col("id").cast("string").alias("s"))
+    E.commonest(df, ["s"], E.LITERAL_LEVELS + 1).explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
+
+
 FACTS = [("score", 0.8734, ""), ("test", 0.8612, ""), ("base", -0.0021, ""), ("rows", 1338.0, "one feature alone reaches 0.9912")]
 
 
