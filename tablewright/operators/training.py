@@ -57,14 +57,14 @@ def sweep(df: DataFrame, target: str, task: str, candidates: Sequence[str] = ("b
         metric, balanced = facts["selection_metric"], facts["strategy"] is not None
         labels = models.class_labels(df, target)
     key = default_key(df, key)
-    split = train_test_split(df, target, key, stratify=classification)
+    # Train and test rows are read many times; kept on disk where they do not fit in memory.
+    split = spread(train_test_split(df, target, key, stratify=classification), df.count()).persist(StorageLevel.MEMORY_AND_DISK)
     train, test = split.filter("NOT is_test").drop("is_test"), split.filter("is_test").drop("is_test")
     if classification:
         require_class_sizes(train, target, 2)
     folds = fold_count(train, target, classification)
-    # Read by every fold of every candidate; kept on disk where it does not fit in memory.
     rows = train.count()
-    data = spread(with_folds(train, target, key, classification, folds), rows).persist(StorageLevel.MEMORY_AND_DISK)
+    data = with_folds(train, target, key, classification, folds).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(name: str, params: dict, fold: int) -> float:
         return models.fold_score(name, task, params, data, target, features, fold, metric, labels, balanced, key,

@@ -23,6 +23,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
+ROWS_PER_TASK = 2_000  # fewer rows than this are not worth a task of their own
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -55,4 +58,5 @@ def spread(df: DataFrame, rows: int, few: int = 5_000_000) -> DataFrame:
     """
     if rows > few:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, rows // ROWS_PER_TASK + 1))
