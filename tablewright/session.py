@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,21 +28,37 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 ROWS_PER_TASK = 2_000  # fewer rows than this are not worth a task of their own
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    A folder of our own is used only where that setting is unset, as in local tests.
+    Where the setting is missing, a local session gets a temporary folder of its own; any other
+    master is refused, as its executors would write to folders that the others cannot see.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if shared and context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared)
-    elif not shared and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tablewright-"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table as Parquet in the shared folder, read back: computed once, and safe when executors are lost."""
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A result of a few rows (one per column or class), computed once and held as a local table.
 
