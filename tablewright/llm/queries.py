@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact, licenses, mixing, ngram_join, quality
+from tablewright.llm import exact, licenses, mixing, ngram_join, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,3 +77,8 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     planned = mixing.plan_mix(table(spark, folder, "documents", "doc_id", "text", "source"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op10_best_fit_packing")
+def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents", "doc_id", "text"))
