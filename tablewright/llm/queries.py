@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact, licenses, mixing, ngram_join, packing, quality
+from tablewright.llm import exact, licenses, mixing, ngram_join, packing, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,6 +37,11 @@ def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.link_components(table(spark, folder, "documents", "doc_id", "text"))
 
 
+@query("op5_suffix_dedup")
+def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
+
+
 @query("op6_exact_dedup", r"""
     WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                       regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
