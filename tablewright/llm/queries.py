@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact, licenses, mixing, ngram_join, packing, quality, repeats
+from tablewright.llm import exact, language, licenses, mixing, ngram_join, packing, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +32,12 @@ def license_scan(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+@query("op3_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.identify(table(spark, folder, "documents", "doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("op4_ngram_join")
 def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.link_components(table(spark, folder, "documents", "doc_id", "text"))
