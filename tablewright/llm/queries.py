@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact, language, licenses, mixing, ngram_join, packing, quality, repeats
+from tablewright.llm import exact, language, licenses, mixing, ngram_join, packing, quality, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,6 +67,22 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+@query("op8_secret_scan")
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    found = secrets.scan(docs, secrets.learn(docs))
+    names = F.array(*[F.lit(k) for k in (*secrets.KINDS, "crf")])
+
+    def listed(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(
+            ":", names[s["kind"]], s["start"].cast("string"), s["stop"].cast("string"))))
+
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.KINDS))
+    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{k}")
+              for i, k in enumerate(secrets.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 @query("op9_mixing", r"""
     WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
                FROM documents),
