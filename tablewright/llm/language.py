@@ -20,6 +20,7 @@ TRAINING_ROWS = 4_000  # over all languages together, in equal parts
 TRAINING_WINDOWS = 2  # per row
 MOST_LANGUAGES = 500
 EPOCHS, BATCH, RATE = 8, 64, 0.004
+LEAST_STEPS = 500  # small samples are gone over more often
 FOLDS = 5
 CHUNK = 1 << 18
 UNDETERMINED = "und"
@@ -90,7 +91,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: Sequence[str], epo
     net, draw = start(languages, seed), np.random.default_rng(seed)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // len(windows)))):
         order = draw.permutation(len(windows))
         for begin in range(0, len(order), BATCH):
             rows = order[begin:begin + BATCH]
