@@ -54,10 +54,10 @@ def drop_empty(spark, folder):
 
 
 @query("name_repair", """
-SELECT o_orderkey AS id, o_orderstatus AS id_2, o_totalprice AS column_3 FROM orders""")
+SELECT o_orderkey AS a, o_orderstatus AS a_2, o_custkey AS a_3, o_totalprice AS column_4 FROM orders""")
 def name_repair(spark, folder):
-    rows = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    names, _ = N.repair_names([" id ", "id", ""])
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_totalprice")
+    names, _ = N.repair_names([" a ", "a_2", "a", ""])
     return rows.toDF(*names)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -28,19 +29,24 @@ class Ingested:
 
 
 def repair_names(names: Sequence[str]) -> tuple[list[str], list[tuple[str, str, str]]]:
-    """Trim names, name blank ones by position, number repeated ones from 2."""
-    taken: dict[str, int] = {}
-    out, notes = [], []
-    for at, raw in enumerate(names, 1):
-        name = raw.strip() or f"column_{at}"
-        if name in taken:
-            taken[name] += 1
-            name = f"{name}_{taken[name]}"
-        taken.setdefault(name, 1)
-        if name != raw:
-            notes.append(("renamed", name, f"was {raw!r}"))
-        out.append(name)
-    return out, notes
+    """Trim names, name blank ones by position, and number repeats by the next number that is free.
+
+    A number is free if no column carries that name, before or after it. Names that differ only in
+    case are repeats, as column names do not tell case apart.
+    """
+    wanted = [raw.strip() or f"column_{at}" for at, raw in enumerate(names, 1)]
+    reserved, used = {w.lower() for w in wanted}, set()
+
+    def free(name: str) -> str:
+        if name.lower() not in used:
+            return name
+        return next(f"{name}_{n}" for n in itertools.count(2) if f"{name}_{n}".lower() not in reserved | used)
+
+    out: list[str] = []
+    for name in wanted:
+        out.append(free(name))
+        used.add(out[-1].lower())
+    return out, [("renamed", new, f"was {raw!r}") for raw, new in zip(names, out) if new != raw]
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -86,12 +92,6 @@ def blank_tokens(df: DataFrame) -> DataFrame:
     ])
 
 
-def empty_columns(df: DataFrame) -> list[str]:
-    """Columns without a single value; one aggregate for all."""
-    counts = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
-    return [c for i, c in enumerate(df.columns) if counts[f"n{i}"] == 0]
-
-
 def normalize(df: DataFrame) -> Ingested:
     """Repair names, drop empty columns and rows, and make every column storable."""
     names, notes = repair_names(df.columns)

@@ -2,78 +2,40 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions import values as V
 from tablewright.functions.kinds import q
+from tablewright.sources.dialects import CP1252_BYTES, CP1252_CHARS, Dialect, dialects
 from tablewright.sources.normalize import REPORT, IngestError, Ingested, blank_tokens, flatten, normalize
 
 # Fixed values.
 FORMATS = {"csv": "delimited", "tsv": "delimited", "txt": "delimited", "parquet": "parquet", "json": "json",
            "jsonl": "jsonl"}
-DELIMITERS = (",", ";", "\t", "|")
-SNIFF_CHARS = 64 * 1024
-SNIFF_LINES = 200
 TRUE_FALSE = ("True", "TRUE", "true", "False", "FALSE", "false")
-# The bytes 0x80 to 0x9f of the Windows code page 1252, in order; the five it leaves undefined are 81 8d 8f 90 9d.
-CP1252_BYTES = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
-CP1252_CHARS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
-CP1252_UNDEFINED = "[\u0081\u008d\u008f\u0090\u009d]"
+
+HASHED_BYTES = 1 << 30  # larger files are known by their length and time of change
+_WHOLE_LINE = "__line"
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, bytes, sha256)`` of each file; files are hashed where they are read."""
+    """``(path, bytes, sha256)`` of each file, hashed where it is read.
+
+    A file is one value to the hash, so files over ``HASHED_BYTES`` are not read: their ``sha256`` is that
+    of length and time of change.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
-def _head(spark: SparkSession, path: str) -> list[str]:
-    """The first lines of the first file: at most SNIFF_CHARS characters reach the driver."""
-    lines = spark.read.text(path).select(F.substring("value", 1, SNIFF_CHARS)).limit(SNIFF_LINES).collect()
-    out, room = [], SNIFF_CHARS
-    for (line,) in lines:
-        if room <= 0:
-            break
-        out.append(line[:room])
-        room -= len(line)
-    return out
-
-
-def sniff_delimiter(lines: Sequence[str]) -> str:
-    """The candidate that splits every line into the same number of fields, the most fields first; else a comma."""
-    bare = [re.sub(r'"[^"]*"', "", line.replace('""', "")) for line in lines if line.strip()]
-    best, most = ",", 0
-    for d in DELIMITERS:
-        counts = [line.count(d) for line in bare]
-        if counts and len(set(counts)) == 1 and counts[0] > most:
-            best, most = d, counts[0]
-    if most:
-        return best
-    # No candidate is even: take the one on most lines that agree with the header.
-    for d in DELIMITERS:
-        agree = sum(line.count(d) == bare[0].count(d) for line in bare) if bare and bare[0].count(d) else 0
-        if agree > most and agree >= 0.9 * len(bare):
-            best, most = d, agree
-    return best
-
-
-def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """``utf-8``, ``cp1252`` or ``latin-1``, from every line; lines are checked where they are read."""
-    lines = spark.read.text(path)
-    raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    found = lines.agg(
-        F.count_if(~F.is_valid_utf8("value")).alias("bad"), F.count_if(raw.rlike(CP1252_UNDEFINED)).alias("undefined")
-    ).first()
-    if not found["bad"]:
-        return "utf-8"
-    return "latin-1" if found["undefined"] else "cp1252"
+    small = files.where(F.col("length") <= HASHED_BYTES).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    stamp = F.concat_ws(" ", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
+    large = files.where(F.col("length") > HASHED_BYTES).select("path", F.col("length").alias("bytes"), F.sha2(stamp, 256).alias("sha256"))
+    return small.unionAll(large)
 
 
 def _decoded(c: Column, encoding: str) -> Column:
@@ -81,22 +43,26 @@ def _decoded(c: Column, encoding: str) -> Column:
     return F.translate(c, CP1252_BYTES, CP1252_CHARS) if encoding == "cp1252" else c
 
 
-def infer_types(df: DataFrame) -> DataFrame:
-    """Text columns that hold only whole numbers, numbers or flags get that type; text is never read as dates."""
+def infer_types(df: DataFrame, *tests: Column) -> tuple[DataFrame, Row]:
+    """Text columns that hold only whole numbers, numbers or flags get that type; text is never read as dates.
+
+    ``tests`` are further aggregates for the same pass over the table.
+    """
     whole = r"^\s*[+-]?\d{1,18}\s*$"
     infinite = r"^\s*[+-]?(inf|infinity)\s*$"
-    tests = []
-    for i, c in enumerate(df.columns):
+    names = [c for c in df.columns if c != _WHOLE_LINE]
+    counts = list(tests)
+    for i, c in enumerate(names):
         v = q(c)
-        tests += [
+        counts += [
             F.count(v).alias(f"n{i}"), F.count_if(v.rlike(whole)).alias(f"w{i}"),
             F.count_if(v.rlike(V.NUMBER_PATTERN) | F.lower(v).rlike(infinite)).alias(f"d{i}"),
             F.count_if(v.isin(*TRUE_FALSE)).alias(f"b{i}"),
             F.count_if(v.rlike(r"^\s*[+-]?\d{19,}\s*$")).alias(f"l{i}"),
         ]
-    seen = df.agg(*tests).first()
+    seen = df.agg(*counts).first()
     columns = []
-    for i, c in enumerate(df.columns):
+    for i, c in enumerate(names):
         n = seen[f"n{i}"]
         if n and seen[f"w{i}"] == n:
             columns.append(F.trim(q(c)).cast("bigint").alias(c))
@@ -106,36 +72,69 @@ def infer_types(df: DataFrame) -> DataFrame:
             columns.append((F.lower(q(c)) == "true").alias(c))
         else:
             columns.append(q(c))
-    return df.select(*columns)
+    return df.select(*columns), seen
+
+
+def _text_columns(spark: SparkSession, found: Sequence[Dialect]) -> DataFrame:
+    """The files of all dialects as text columns c0, c1, ... in the order of the first header, and the line where it has surplus fields."""
+    first, *others = found
+    parts = []
+    for d in found:
+        names = [f"c{i}" for i in range(len(d.header))]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _WHOLE_LINE)])
+        # All fields of a line are looked at, or surplus ones would not show.
+        rows = spark.read.schema(schema).option("columnPruning", False).csv(
+            list(d.files), sep=d.delimiter, quote='"', escape='"', multiLine=d.broken, header=True, enforceSchema=True,
+            encoding="UTF-8" if d.encoding == "utf-8" else "ISO-8859-1", columnNameOfCorruptRecord=_WHOLE_LINE)
+        # Spark marks lines with too few fields as well; those only have gaps at their end.
+        bare = F.regexp_replace(_WHOLE_LINE, '"[^"]*"', "")
+        fields = F.length(bare) - F.length(F.replace(bare, F.lit(d.delimiter), F.lit(""))) + 1
+        order = range(len(names)) if d.header == first.header else [d.header.index(n) for n in first.header]
+        parts.append(rows.select(
+            *[_decoded(q(names[at]), d.encoding).alias(f"c{i}") for i, at in enumerate(order)],
+            F.when(fields > len(names), _decoded(q(_WHOLE_LINE), d.encoding)).alias(_WHOLE_LINE)))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _checked(found: Sequence[Dialect]) -> Sequence[Dialect]:
+    """Files may order the same columns differently; other differences are refused."""
+    if not found:
+        raise IngestError("The file is empty.")
+    first = found[0]
+    for d in found[1:]:
+        if d.header != first.header and (sorted(d.header) != sorted(first.header) or len(set(d.header)) < len(d.header)):
+            raise IngestError(f"The files have different columns: {', '.join(first.header)} and {', '.join(d.header)}.")
+    return found
 
 
-def read_delimited(spark: SparkSession, path: str, extension: str = "csv") -> tuple[DataFrame, list[tuple[str, str | None, str]]]:
-    """A table with its exact header, typed by its values."""
-    lines = _head(spark, path)
-    delimiter = "\t" if extension == "tsv" else sniff_delimiter(lines)
-    encoding = sniff_encoding(spark, path)
-    notes: list[tuple[str, str | None, str]] = [("delimiter", None, delimiter), ("encoding", None, encoding)]
-    if encoding != "utf-8":
-        notes.append(("warning", None, f"the file is not valid UTF-8; decoded as {encoding}"))
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": "false",
-               "encoding": "UTF-8" if encoding == "utf-8" else "ISO-8859-1"}
-    first = spark.read.options(**options, header=False, inferSchema=False).csv(path).limit(1).collect()
-    if not first:
-        raise IngestError("The file is empty.")
-    header = ["" if h is None else h for h in first[0]]
-    header[0] = header[0].lstrip("﻿")
-    if encoding == "cp1252":
-        header = [h.translate(str.maketrans(CP1252_BYTES, CP1252_CHARS)) for h in header]
-    flat = [f"c{i}" for i in range(len(header))]
-    schema = T.StructType([T.StructField(f, T.StringType()) for f in flat])
-    # Every file's own header line is skipped; the names come from the first one.
-    table = spark.read.options(**options, header=True, enforceSchema=True).schema(schema).csv(path)
-    table = blank_tokens(table.select(*[_decoded(q(f), encoding).alias(f) for f in flat]))
-    return infer_types(table).toDF(*_distinct(header)), notes
+def surplus_lines(spark: SparkSession, path: str, extension: str = "csv") -> DataFrame:
+    """``line`` for every record that has more fields than its file's header."""
+    rows = _text_columns(spark, _checked(dialects(spark, path, "\t" if extension == "tsv" else None)))
+    # A query of the marked line alone is refused, so the first field takes part in the test.
+    return rows.where(F.col(_WHOLE_LINE).isNotNull() & (F.length(F.coalesce("c0", F.lit(""))) >= 0)).select(F.col(_WHOLE_LINE).alias("line"))
 
 
-def _distinct(header: Sequence[str]) -> list[str]:
-    return list(header)
+def read_delimited(spark: SparkSession, path: str, extension: str = "csv") -> tuple[DataFrame, list[tuple[str, str | None, str]]]:
+    """A table with the exact header of its files, typed by its values.
+
+    Every file is read by its own delimiter, encoding and header; columns are matched by name. Records
+    may hold line breaks inside quotes. A record with surplus fields is an error that names it.
+    """
+    found = _checked(dialects(spark, path, "\t" if extension == "tsv" else None))
+    notes: list[tuple[str, str | None, str]] = []
+    for d in found:
+        which = None if len(found) == 1 else ", ".join(PurePosixPath(f).name for f in d.files)
+        notes += [("delimiter", which, d.delimiter), ("encoding", which, d.encoding)]
+        if d.encoding != "utf-8":
+            notes.append(("warning", which, f"not valid UTF-8; decoded as {d.encoding}"))
+    table = _text_columns(spark, found)
+    columns = [c for c in table.columns if c != _WHOLE_LINE]
+    table = blank_tokens(table.select(*columns, F.col(_WHOLE_LINE).cast("binary").alias(_WHOLE_LINE)))
+    line = F.col(_WHOLE_LINE).cast("string")
+    typed, seen = infer_types(table, F.count(line).alias("surplus"), F.min(F.substring(line, 1, 200)).alias("example"))
+    if seen["surplus"]:
+        raise IngestError(f"{seen['surplus']} record(s) have more fields than the header, for example: {seen['example']}")
+    return typed.toDF(*found[0].header), notes
 
 
 def _first_character(spark: SparkSession, path: str) -> str:
@@ -144,7 +143,11 @@ def _first_character(spark: SparkSession, path: str) -> str:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A list of records; an object that holds one list of records; or an object of columns."""
+    """A list of records; an object that holds one list of records; or an object of columns.
+
+    The format makes a file one value, so one task reads it whole: large tables belong in JSON Lines,
+    or in many files.
+    """
     start = _first_character(spark, path)
     if start not in ("[", "{"):
         raise IngestError("JSON must be a list of records or an object of columns.")

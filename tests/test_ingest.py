@@ -1,127 +1,184 @@
-"""Tiny files through the readers and the normaliser."""
+"""Small files through the readers, the normaliser and the writers."""
+
+import hashlib
 
 import pytest
 
-from tablewright.sources.normalize import IngestError, repair_names
-from tablewright.sources.readers import columns_of_table, fingerprint, ingest, read_table, sniff_delimiter
-from tablewright.sources.writers import write_csv, write_report, write_table
+from tablewright.sources import normalize as N
+from tablewright.sources import readers, writers
+from tablewright.sources.dialects import sniff_delimiter
+
 
+def put(folder, **files):
+    """Files by name (a double underscore stands for the dot); the path of the only one, or of the folder."""
+    paths = []
+    for name, content in files.items():
+        paths.append(folder / name.replace("__", "."))
+        paths[-1].write_bytes(content if isinstance(content, bytes) else content.encode())
+    return str(paths[0] if len(paths) == 1 else folder)
 
-def load(spark, tmp_path, name, content):
-    path = tmp_path / name
-    path.write_bytes(content if isinstance(content, bytes) else content.encode("utf-8"))
-    done = ingest(spark, str(path))
-    return done.table, done.report.collect()
 
+def rows(frame):
+    return sorted((tuple(r) for r in frame.collect()), key=str)
 
-def test_types_and_missing_values(spark, tmp_path):
-    table, report = load(spark, tmp_path, "a.csv", "id,price,city\n1,9.5,Riyadh\n2,,Jeddah\n")
-    assert dict(table.dtypes) == {"id": "bigint", "price": "double", "city": "string"}
-    assert [tuple(r) for r in table.orderBy("id").collect()] == [(1, 9.5, "Riyadh"), (2, None, "Jeddah")]
-    assert not any(r["step"] in ("renamed", "dropped") for r in report)
 
+def read(spark, path, fmt=None):
+    return readers.ingest(spark, path, fmt=fmt).table
 
-@pytest.mark.parametrize("mark", [";", "\t", "|"])
-def test_delimiter_is_found(spark, tmp_path, mark):
-    table, report = load(spark, tmp_path, "a.txt", f"a{mark}b\n1{mark}x\n2{mark}y\n")
-    assert table.columns == ["a", "b"]
-    assert any(r["step"] == "delimiter" and r["detail"] == mark for r in report)
 
+@pytest.mark.parametrize("text,types,want", [
+    ("code,mass,open,note\n7,0.25,true,ok\n-3,1e3,FALSE,\n", ["bigint", "double", "boolean", "string"],
+     [(-3, 1000.0, False, None), (7, 0.25, True, "ok")]),
+    ("pin,day\n007,2021-03-04\n12,05.06.2021\n", ["bigint", "string"], [(7, "2021-03-04"), (12, "05.06.2021")]),
+    ('sum\n"12,50"\n3\n', ["string"], [("12,50",), ("3",)]),
+    ("big\n123456789012345678901\n1\n", ["string"], [("1",), ("123456789012345678901",)]),
+    ("v,w\nNA,n/a\nNULL,none\nx, NA\n", ["string", "string"], [("x", " NA"), (None, "none")]),
+])
+def test_values_get_the_type_they_all_have(spark, tmp_path, text, types, want):
+    table = read(spark, put(tmp_path, t__csv=text))
+    assert [t for _, t in table.dtypes] == types
+    assert rows(table) == sorted(want, key=str)
 
-def test_quoted_delimiters_do_not_count():
-    assert sniff_delimiter(['a;b', '"x,y,z";1', '"x";2']) == ";"
-    assert sniff_delimiter(["only one column", "x"]) == ","
 
+@pytest.mark.parametrize("mark", [",", ";", "\t", "|"])
+def test_marks_inside_quotes_do_not_split(spark, tmp_path, mark):
+    path = put(tmp_path, t__txt=f'p{mark}q\n"1,;|\t"{mark}2\n"3,;|\t"{mark}4\n')
+    done = readers.ingest(spark, path)
+    assert rows(done.table) == [("1,;|\t", 2), ("3,;|\t", 4)]
+    assert ("delimiter", None, mark) in rows(done.report)
 
-def test_code_page_1252_is_decoded_with_a_warning(spark, tmp_path):
-    table, report = load(spark, tmp_path, "a.csv", "name,v\nJosé – 5 €,1\n".encode("cp1252"))
-    assert table.first()["name"] == "José – 5 €"
-    assert any(r["step"] == "warning" for r in report)
 
+def test_no_candidate_means_comma():
+    assert sniff_delimiter(["single", "words"]) == ","
+    assert sniff_delimiter(["a;b;c,d", "1;2;3,4", "5;6;7,8"]) == ";"
 
-def test_bytes_that_1252_lacks_fall_back_to_latin_1(spark, tmp_path):
-    table, report = load(spark, tmp_path, "a.csv", b"name,v\nJos\xe9 \x81,1\n")
-    assert table.first()["name"] == "José \u0081"
-    assert any(r["step"] == "encoding" and r["detail"] == "latin-1" for r in report)
 
+def test_quoted_line_breaks_stay_in_their_field(spark, tmp_path):
+    table = read(spark, put(tmp_path, t__csv='id,note\n1,"first\nsecond"\n2,plain\n3,"a ""b""\n\nc"\n'))
+    assert dict(table.dtypes)["id"] == "bigint"
+    assert rows(table) == [(1, "first\nsecond"), (2, "plain"), (3, 'a "b"\n\nc')]
 
-def test_byte_order_mark_and_other_scripts(spark, tmp_path):
-    table, _ = load(spark, tmp_path, "a.csv", "﻿المدينة,القيمة\nالرياض,5\n")
-    assert table.columns == ["المدينة", "القيمة"]
-    assert table.first()["القيمة"] == 5
 
+def test_header_may_hold_a_line_break(spark, tmp_path):
+    assert read(spark, put(tmp_path, t__csv='"two\nlines",b\n1,2\n')).columns == ["two\nlines", "b"]
 
-def test_text_is_not_reinterpreted(spark, tmp_path):
-    table, _ = load(spark, tmp_path, "a.csv", 'amount,d\n"1,234",01/02/2024\n"5,000",2024-01-02\n')
-    assert [tuple(r) for r in table.orderBy("amount").collect()] == [("1,234", "01/02/2024"), ("5,000", "2024-01-02")]
 
+@pytest.mark.parametrize("line", ["4,x,more", '4,x,,"y,z"', '4,"x,y",more'])
+def test_surplus_fields_are_an_error_that_shows_one(spark, tmp_path, line):
+    path = put(tmp_path, t__csv=f"id,name\n1,a\n{line}\n2\n")
+    with pytest.raises(N.IngestError, match="1 record.*4,"):
+        read(spark, path)
+    assert rows(readers.surplus_lines(spark, path)) == [(line,)]
 
-def test_messy_headers_empty_rows_and_columns(spark, tmp_path):
-    table, report = load(spark, tmp_path, "a.csv", " a ,b,,\n1,2,,\n,,,\n3,4,,\n")
-    assert table.columns == ["a", "b"] and table.count() == 2
-    steps = [(r["step"], r["column"]) for r in report]
-    assert ("renamed", "a") in steps and ("dropped", "column_3") in steps and ("dropped", None) in steps
 
+def test_short_records_have_gaps(spark, tmp_path):
+    assert rows(read(spark, put(tmp_path, t__csv="a,b,c\n1,2,3\n4\n5,6\n"))) == [(1, 2, 3), (4, None, None), (5, 6, None)]
 
-def test_repeated_names_are_numbered():
-    assert repair_names(["a", "a", " a", ""])[0] == ["a", "a_2", "a_3", "column_4"]
 
+def test_each_file_has_its_own_dialect(spark, tmp_path):
+    path = put(tmp_path, a__csv="id,name\n1,ann\n", b__csv="name;id\nbob;2\n", c__csv="id|name\n3|zoë €\n".encode("cp1252"), d__csv="")
+    done = readers.ingest(spark, path, fmt="csv")
+    assert rows(done.table) == [(1, "ann"), (2, "bob"), (3, "zoë €")]
+    found = rows(done.report)
+    assert {("delimiter", "a.csv", ","), ("delimiter", "b.csv", ";"), ("encoding", "c.csv", "cp1252")} <= set(found)
 
-def test_missing_tokens_are_exact(spark, tmp_path):
-    table, _ = load(spark, tmp_path, "a.csv", "k,v\n1,NA\n2,n/a\n3,none\n4, NA\n")
-    assert [r["v"] for r in table.orderBy("k").collect()] == [None, None, "none", " NA"]
 
+@pytest.mark.parametrize("second", ["id,surname\n2,b\n", "id,name,age\n2,b,3\n"])
+def test_files_of_other_columns_are_refused(spark, tmp_path, second):
+    with pytest.raises(N.IngestError, match="different columns"):
+        read(spark, put(tmp_path, a__csv="id,name\n1,a\n", b__csv=second), "csv")
 
-def test_flags_and_mixed_columns(spark, tmp_path):
-    table, _ = load(spark, tmp_path, "a.csv", "f,m\nTrue,1\nFalse,x\n")
-    assert dict(table.dtypes) == {"f": "boolean", "m": "string"}
 
+@pytest.mark.parametrize("data,encoding,name", [
+    ("naïve – 3 €".encode("cp1252"), "cp1252", "naïve – 3 €"), (b"na\xefve \x9d", "latin-1", "naïve \x9d"),
+    ("naïve 東京".encode(), "utf-8", "naïve 東京"),
+])
+def test_encodings(spark, tmp_path, data, encoding, name):
+    done = readers.ingest(spark, put(tmp_path, t__csv=b"what,n\n" + data + b",1\n"))
+    assert done.table.first()["what"] == name
+    steps = rows(done.report)
+    assert ("encoding", None, encoding) in steps
+    assert any(s[0] == "warning" for s in steps) == (encoding != "utf-8")
 
-def test_json_records_are_flattened(spark, tmp_path):
-    table, _ = load(spark, tmp_path, "a.json", '[{"a":1,"meta":{"b":"x"}},{"a":2,"meta":{"b":"y"}}]')
-    assert table.columns == ["a", "meta.b"]
-    assert table.select("`meta.b`").collect()[1][0] == "y"
 
+def test_byte_order_mark_is_no_part_of_the_first_name(spark, tmp_path):
+    assert read(spark, put(tmp_path, t__csv="﻿größe,цена\n1,2\n")).columns == ["größe", "цена"]
+
+
+@pytest.mark.parametrize("given,want", [
+    (["x", "x", "x "], ["x", "x_2", "x_3"]), (["a", "a_2", "a"], ["a", "a_2", "a_3"]), (["a", "a", "a_2"], ["a", "a_3", "a_2"]),
+    (["", " ", "column_2"], ["column_1", "column_2", "column_2_2"]), (["Id", "ID"], ["Id", "ID_2"]),
+])
+def test_repaired_names_are_free(given, want):
+    names, notes = N.repair_names(given)
+    assert names == want
+    assert [n[1] for n in notes] == [w for g, w in zip(given, want) if g != w]
 
-def test_json_object_with_one_list_and_object_of_columns(spark, tmp_path):
-    table, _ = load(spark, tmp_path, "a.json", '{"count": 2, "rows": [{"a":1},{"a":2}]}')
-    assert [r["a"] for r in table.orderBy("a").collect()] == [1, 2]
-    table, _ = load(spark, tmp_path, "b.json", '{"a":[1,2],"b":["x","y"]}')
-    assert [tuple(r) for r in table.orderBy("a").collect()] == [(1, "x"), (2, "y")]
+
+def test_repeated_names_reach_a_table(spark, tmp_path):
+    table = read(spark, put(tmp_path, t__csv="a,a_2,a\n1,2,3\n"))
+    assert (table.columns, rows(table)) == (["a", "a_2", "a_3"], [(1, 2, 3)])
+
+
+def test_empty_rows_and_columns_go_with_a_note(spark, tmp_path):
+    done = readers.ingest(spark, put(tmp_path, t__csv=" left ,right,,\n5,,,\n,,,\n,6,,\n"))
+    assert rows(done.table) == [(5, None), (None, 6)]
+    notes = {(s, c) for s, c, _ in rows(done.report)}
+    assert {("renamed", "left"), ("dropped", "column_3"), ("dropped", "column_4"), ("dropped", None)} <= notes
+
+
+@pytest.mark.parametrize("text,columns,want", [
+    ('[{"k":1,"in":{"deep":{"er":"x"}}},{"k":2}]', ["in.deep.er", "k"], [("x", 1), (None, 2)]),
+    ('{"meta":"m","items":[{"k":1},{"k":2}]}', ["k"], [(1,), (2,)]),
+    ('{"k":[1,2],"v":["p","q"]}', ["k", "v"], [(1, "p"), (2, "q")]),
+])
+def test_json_documents(spark, tmp_path, text, columns, want):
+    table = read(spark, put(tmp_path, t__json=text))
+    assert sorted(table.columns) == columns
+    assert rows(table.select(*[f"`{c}`" for c in columns])) == want
 
 
-def test_json_lines_and_parquet(spark, tmp_path):
-    table, _ = load(spark, tmp_path, "a.jsonl", '{"a":1}\n{"a":2}\n')
-    assert table.count() == 2
-    write_table(table, str(tmp_path / "t.parquet"))
-    back, _ = read_table(spark, str(tmp_path / "t.parquet"))
-    assert back.count() == 2 and columns_of_table(spark, str(tmp_path / "t.parquet")) == ["a"]
+def test_json_lines_parquet_and_schema(spark, tmp_path):
+    table = read(spark, put(tmp_path, t__jsonl='{"k":1,"v":[1,2]}\n{"k":2,"v":null}\n'))
+    assert rows(table) == [(1, "[1,2]"), (2, None)]
+    path = str(tmp_path / "t.parquet")
+    writers.write_table(table, path)
+    assert rows(readers.read_table(spark, path)[0]) == rows(table)
+    assert readers.columns_of_table(spark, path) == ["k", "v"]
+    assert rows(readers.load_columns(spark, path, ["v"])) == [("[1,2]",), (None,)]
 
 
-@pytest.mark.parametrize("name,content,message", [
-    ("a.pdf", "x", "Unsupported"), ("a.csv", "", "empty"), ("b.csv", "a,b\n", "no data rows"), ("a.json", "5", "JSON"),
+@pytest.mark.parametrize("name,content,says", [
+    ("t__docx", "x", "Unsupported"), ("t__csv", "", "empty"), ("t__csv", "h1,h2\n", "no data rows"), ("t__json", "true", "JSON"),
+    ("t__json", '{"a":[1],"b":[1,2]}', "different lengths"),
 ])
-def test_errors_are_safe_to_show(spark, tmp_path, name, content, message):
-    with pytest.raises(IngestError, match=message):
-        load(spark, tmp_path, name, content)
-
-
-def test_nan_and_decimals_and_arrays(spark):
-    from tablewright.sources.normalize import normalize
-    df = spark.sql("SELECT double('NaN') AS x, 1.50BD AS d, array(1, 2) AS a UNION ALL SELECT 2.0, 2.0BD, array(3)")
-    done = normalize(df).table
-    assert dict(done.dtypes) == {"x": "double", "d": "double", "a": "string"}
-    assert sorted((r["x"] is None, r["d"], r["a"]) for r in done.collect()) == [(False, 2.0, "[3]"), (True, 1.5, "[1,2]")]
-
-
-def test_fingerprint_and_sinks(spark, tmp_path):
-    import hashlib
-    (tmp_path / "a.csv").write_text("a\n1\n")
-    row = fingerprint(spark, str(tmp_path / "a.csv")).first()
-    assert (row["bytes"], row["sha256"]) == (4, hashlib.sha256(b"a\n1\n").hexdigest())
-    df = spark.createDataFrame([("é", 1)], "name string, v int")
-    write_csv(df, str(tmp_path / "out"))
-    part = next((tmp_path / "out").glob("part-*.csv"))
-    assert part.read_bytes().startswith("﻿name,v".encode("utf-8"))
-    write_report(df, str(tmp_path / "rep"))
-    assert spark.read.json(str(tmp_path / "rep")).count() == 1
+def test_refusals(spark, tmp_path, name, content, says):
+    with pytest.raises(N.IngestError, match=says):
+        read(spark, put(tmp_path, **{name: content}))
+
+
+def test_nan_decimals_and_lists_become_storable(spark):
+    frame = spark.sql("SELECT 1 AS i, double('NaN') AS x, 2.50BD AS d, map('k', 1) AS m UNION ALL SELECT 2, 0.5, 1BD, NULL")
+    table = N.normalize(frame).table
+    assert [t for _, t in table.dtypes] == ["int", "double", "double", "string"]
+    assert rows(table) == [(1, None, 2.5, '{"k":1}'), (2, 0.5, 1.0, None)]
+
+
+def test_fingerprints(spark, tmp_path, monkeypatch):
+    path = put(tmp_path, t__csv="a\n1\n")
+    assert rows(readers.fingerprint(spark, path).select("bytes", "sha256")) == [(4, hashlib.sha256(b"a\n1\n").hexdigest())]
+    monkeypatch.setattr(readers, "HASHED_BYTES", 3)  # as a file that is too large to be one value
+    (large,) = rows(readers.fingerprint(spark, path).select("bytes", "sha256"))
+    assert large[0] == 4 and large[1] != hashlib.sha256(b"a\n1\n").hexdigest()
+    assert rows(readers.fingerprint(spark, path).select("bytes", "sha256")) == [large]
+
+
+def test_text_sinks(spark, tmp_path):
+    frame = spark.createDataFrame([("ü, \"x\"\ny", None)], "name string, v int").coalesce(1)
+    for write, mark in ((writers.write_csv, "﻿"), (writers.write_predictions, "")):
+        path = str(tmp_path / write.__name__)
+        write(frame, path)
+        (part,) = (tmp_path / write.__name__).glob("part-*.csv")
+        assert part.read_text(encoding="utf-8") == mark + 'name,v\n"ü, ""x""\ny",\n'
+    writers.write_report(frame, str(tmp_path / "report"))
+    assert rows(spark.read.json(str(tmp_path / "report"), schema=frame.schema)) == rows(frame)
