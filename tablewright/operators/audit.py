@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions import values as V
+from tablewright.functions.hashing import digest
 from tablewright.functions.kinds import columns_of, is_integer, q
 from tablewright.operators import leakage, task as task_ops
 from tablewright.operators.profile import profile, rows_per_column
@@ -78,18 +79,15 @@ def target_skew(df: DataFrame, target: str, limit: float = SKEW_LIMIT) -> DataFr
 def duplicate_counts(df: DataFrame, target: str | None = None) -> DataFrame:
     """One row: rows, copies of an earlier row, and rows that repeat features with another target.
 
-    The distinct rows come first, so the second grouping only sees each of them once.
+    Rows are known by 128-bit digests of their features and of their target, so that the shuffle does
+    not carry the table; distinct rows come first, and the second grouping sees each of them once.
     """
-    groups = df.groupBy(*[q(c).alias(f"c{i}") for i, c in enumerate(df.columns)]).agg(F.count(F.lit(1)).alias("n"))
-    if target is None:
-        return groups.agg(F.sum("n").alias("rows"), (F.sum("n") - F.count(F.lit(1))).alias("duplicates"),
-                          F.lit(0).cast("bigint").alias("conflicts"))
-    features = [f"c{i}" for i, c in enumerate(df.columns) if c != target]
-    by_features = groups.groupBy(*features).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("versions"))
-    return by_features.agg(
+    features = [c for c in df.columns if c != target]
+    marks = df.select(digest(df, features).alias("f"), (digest(df, [target]) if target else F.lit("")).alias("t"))
+    versions = marks.groupBy("f", "t").agg(F.count(F.lit(1)).alias("n"))
+    return versions.groupBy("f").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("versions")).agg(
         F.sum("n").alias("rows"), (F.sum("n") - F.sum("versions")).alias("duplicates"),
-        (F.sum("versions") - F.count(F.lit(1))).alias("conflicts"),
-    )
+        (F.sum("versions") - F.count(F.lit(1))).alias("conflicts"))
 
 
 def duplicate_rows(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:

@@ -1,9 +1,8 @@
-"""One cleaning transform for training, scoring and streams, and the checks of a cleaning plan."""
+"""One cleaning transform for training, scoring and streams."""
 
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -12,18 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions import values as V
-from tablewright.functions.formula import FormulaError, formula_column, formula_columns, range_column
-from tablewright.functions.kinds import kind, q
-
-# The limits of a plan.
-MAX_CODES = 10
-MAX_CATEGORY_LEVELS = 1_000
-MIN_DATE_SHARE = 0.9
-MAX_NEW_COLUMNS = 3
-MAX_EDGES = 20
-MAX_NAME = 64
-MIN_FILLED_SHARE = 0.5
-
+from tablewright.functions.formula import formula_column, formula_columns, range_column
+from tablewright.functions.kinds import q
 
 @dataclass(frozen=True)
 class NewColumn:
@@ -124,221 +113,3 @@ def merged_rows(df: DataFrame, target: str, merges: Mapping[str, Sequence[str]])
     pairs = F.array(*[F.struct(F.lit(into).alias("label"), F.col(f"m{i}").alias("rows_changed"))
                       for i, into in enumerate(merges)])
     return df.agg(*sums).select(F.inline(pairs))
-
-
-# -- plan checks -----------------------------------------------------------------
-
-
-@dataclass
-class _Notes:
-    rows: list[tuple[str, str, bool, str]] = field(default_factory=list)
-
-    def add(self, item: str, column: str, accepted: bool, reason: str = "") -> None:
-        self.rows.append((item, column, accepted, reason))
-
-
-def check_drops(columns: Sequence[str], target: str, drops: Sequence[Mapping]) -> tuple[list[str], list[str]]:
-    """The column drops that may be made, and why the others may not."""
-    kept: list[str] = []
-    notes: list[str] = []
-    for drop in drops:
-        name = drop.get("column")
-        if name == target:
-            notes.append("the target cannot be dropped")
-        elif name not in columns:
-            notes.append(f"{name!r} is no column")
-        elif not str(drop.get("evidence") or "").strip():
-            notes.append(f"{name!r}: no evidence given")
-        elif name not in kept:
-            kept.append(name)
-    if len(kept) >= len(columns) - 1:
-        notes.append("the drops would leave no features")
-        kept = []
-    return kept, notes
-
-
-def check_plan(df: DataFrame, target: str, task: str, plan: Mapping, drops: Sequence[str] = ()) -> tuple[CleaningSpec, DataFrame]:
-    """Keep the cleaning that the data shows is needed and possible.
-
-    The plan's keys are ``missing_value_codes``, ``label_merges``, ``categorical_columns``,
-    ``date_features`` and ``new_columns``. Everything the rules need to know about the rows
-    comes from a single aggregate; the answer is the spec and one note per item.
-    """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    facts: dict[str, Column] = {"rows": F.count(F.lit(1))}
-    codes = [i for i in plan.get("missing_value_codes") or [] if i.get("column") in types]
-    for i, item in enumerate(codes):
-        for j, code in enumerate(item.get("values") or []):
-            facts[f"code_{i}_{j}"] = F.count_if(V.is_code(q(item["column"]), types[item["column"]], [code]))
-    categories = [i for i in plan.get("categorical_columns") or [] if i.get("column") in types]
-    for i, item in enumerate(categories):
-        facts[f"levels_{i}"] = F.approx_count_distinct(q(item["column"]), 0.01)
-    dates = [i for i in plan.get("date_features") or [] if i.get("column") in types]
-    for i, item in enumerate(dates):
-        c = item["column"]
-        stamp = V.parse_timestamp(q(c), types[c])
-        facts[f"filled_{i}"], facts[f"parsed_{i}"] = F.count(q(c)), F.count(stamp)
-        for p in V.DATE_PARTS:
-            part = V.date_part(stamp, p)
-            facts[f"varies_{i}_{p}"] = F.min(part) < F.max(part)
-    built: dict[int, NewColumn] = {}
-    for i, item in enumerate((plan.get("new_columns") or [])[:MAX_NEW_COLUMNS]):
-        new, _ = _new_column(item)
-        if new is None or any(s not in types for s in new.sources()):
-            continue
-        value = new.build(types)
-        built[i] = new
-        facts[f"new_filled_{i}"] = F.count(value)
-        facts[f"new_varies_{i}"] = F.min(value) < F.max(value)
-    labels = sorted({str(r[0]).strip() for r in df.select(q(target)).na.drop().distinct().limit(1001).collect()}
-                    ) if task == "classification" and plan.get("label_merges") else []
-    seen = df.agg(*[e.alias(n) for n, e in facts.items()]).first()
-
-    notes = _Notes()
-
-    def usable(item: Mapping, what: str) -> bool:
-        c = item.get("column")
-        if c == target:
-            notes.add(what, c, False, "it is the target column")
-        elif c not in types:
-            notes.add(what, str(c), False, "no such column")
-        elif c in drops:
-            notes.add(what, c, False, "the column is dropped")
-        elif not str(item.get("evidence") or "").strip():
-            notes.add(what, c, False, "no evidence given")
-        else:
-            return True
-        return False
-
-    missing: dict[str, list] = {}
-    for item in plan.get("missing_value_codes") or []:
-        if not usable(item, "missing_codes"):
-            continue
-        i = codes.index(item)
-        values = item.get("values") or []
-        found = [v for j, v in enumerate(values[:MAX_CODES])
-                 if isinstance(v, (str, int, float)) and not isinstance(v, bool) and seen[f"code_{i}_{j}"]]
-        absent = [v for v in values if v not in found]
-        if absent:
-            notes.add("missing_codes", item["column"], False, f"not in the data: {absent}")
-        if found:
-            held = missing.setdefault(item["column"], [])
-            held += [v for v in found if v not in held]
-            notes.add("missing_codes", item["column"], True)
-
-    merges = _check_merges(plan.get("label_merges") or [], labels, task, target, notes)
-
-    categorical: list[str] = []
-    for item in plan.get("categorical_columns") or []:
-        if not usable(item, "categorical") or item["column"] in categorical:
-            continue
-        c, levels = item["column"], seen[f"levels_{categories.index(item)}"]
-        if kind(types[c]) != "numeric":
-            notes.add("categorical", c, False, "it is not numeric, so it is a category already")
-            continue
-        if 0.9 * MAX_CATEGORY_LEVELS < levels < 1.1 * MAX_CATEGORY_LEVELS:  # too close for a sketch
-            levels = df.select(q(c)).na.drop().distinct().limit(MAX_CATEGORY_LEVELS + 1).count()
-        if levels > MAX_CATEGORY_LEVELS:
-            notes.add("categorical", c, False, f"more than {MAX_CATEGORY_LEVELS} distinct codes")
-            continue
-        categorical.append(c)
-        notes.add("categorical", c, True)
-
-    date_parts: dict[str, list[str]] = {}
-    for item in plan.get("date_features") or []:
-        if not usable(item, "date_parts"):
-            continue
-        c, i = item["column"], dates.index(item)
-        if c in categorical or c in date_parts:
-            notes.add("date_parts", c, False, "already used as categories or dates")
-        elif kind(types[c]) in ("numeric", "boolean"):
-            notes.add("date_parts", c, False, "it holds numbers, not dates")
-        elif seen[f"parsed_{i}"] < MIN_DATE_SHARE * max(seen[f"filled_{i}"], 1):
-            notes.add("date_parts", c, False, "too few of its values read as dates")
-        else:
-            asked = [p for p in dict.fromkeys(item.get("parts") or []) if p in V.DATE_PARTS]
-            useful = [p for p in asked if seen[f"varies_{i}_{p}"]]
-            if len(useful) < len(asked):
-                notes.add("date_parts", c, False, f"the same in every row: {[p for p in asked if p not in useful]}")
-            if useful:
-                date_parts[c] = useful
-                notes.add("date_parts", c, True)
-
-    new_columns: list[NewColumn] = []
-    for i, item in enumerate((plan.get("new_columns") or [])[:MAX_NEW_COLUMNS]):
-        new, reason = _new_column(item)
-        name = str(item.get("name") or "").strip()[:MAX_NAME]
-        if new is not None and (name in types or "__" in name or any(n.name == name for n in new_columns)):
-            reason = "the name is taken"
-        elif new is not None:
-            sources = new.sources()
-            unusable = [s for s in sources if s not in types or s in drops]
-            if target in sources:
-                reason = "it reads the target"
-            elif not sources or unusable:
-                reason = f"it reads {unusable or 'no column'}, which the model doesn't have"
-            elif seen[f"new_filled_{i}"] < MIN_FILLED_SHARE * seen["rows"]:
-                reason = "it has a value for too few rows"
-            elif not seen[f"new_varies_{i}"]:
-                reason = "it is the same in every row"
-        notes.add("new_columns", name, not reason, reason)
-        if new is not None and not reason:
-            new_columns.append(new)
-
-    spec = CleaningSpec(missing, new_columns, categorical, date_parts, merges)
-    schema = "item string, column string, accepted boolean, reason string"
-    return spec, df.sparkSession.createDataFrame(notes.rows, schema)
-
-
-def _new_column(item: Mapping) -> tuple[NewColumn | None, str]:
-    """A proposed column as far as it can be judged without the data, or the reason to refuse it."""
-    name = str(item.get("name") or "").strip()[:MAX_NAME]
-    formula, bins = item.get("formula"), item.get("bins")
-    if not name:
-        return None, "it has no name"
-    if bool(formula) == isinstance(bins, Mapping):
-        return None, "it needs a formula or bins, one of the two"
-    if formula:
-        try:
-            formula_columns(str(formula))
-        except FormulaError as error:
-            return None, str(error)
-        return NewColumn(name, str(formula).strip()), ""
-    edges = [float(e) for e in bins.get("edges") or [] if isinstance(e, (int, float)) and not isinstance(e, bool)]
-    labels = [str(x).strip()[:40] for x in bins.get("labels") or []]
-    rising = all(a < b for a, b in zip(edges, edges[1:])) and all(map(math.isfinite, edges))
-    if not 1 <= len(edges) <= MAX_EDGES or not rising:
-        return None, f"its cut points must be up to {MAX_EDGES} increasing numbers"
-    if len(labels) != len(edges) + 1 or len(set(labels)) != len(labels) or "" in labels:
-        return None, f"it needs one distinct label per range, {len(edges) + 1} in all"
-    return NewColumn(name, None, bins.get("column"), tuple(edges), tuple(labels)), ""
-
-
-def _check_merges(items: Sequence[Mapping], labels: Sequence[str], task: str, target: str, notes: _Notes) -> dict[str, list[str]]:
-    """Merges of existing labels that do not contradict each other and leave two classes."""
-    if items and task != "classification":
-        notes.add("label_merges", target, False, "the task is regression")
-        return {}
-    merges: dict[str, list[str]] = {}
-    home: dict[str, str] = {}
-    for item in items:
-        into = str(item.get("into") or "").strip()
-        variants = sorted({str(v).strip() for v in item.get("labels") or []} - {into})
-        if not str(item.get("evidence") or "").strip():
-            reason = "no evidence given"
-        elif into not in labels:
-            reason = f"{into!r} is no target label"
-        elif not variants or any(v not in labels for v in variants):
-            reason = f"not all of {variants} are target labels"
-        elif any(home.get(v, into) != into for v in [into, *variants]):
-            reason = "it contradicts another merge"
-        else:
-            reason = ""
-            home.update({v: into for v in [into, *variants]})
-            held = merges.setdefault(into, [])
-            held += [v for v in variants if v not in held]
-        notes.add("label_merges", target, not reason, reason)
-    if merges and len(set(labels) - {v for vs in merges.values() for v in vs}) < 2:
-        notes.add("label_merges", target, False, "fewer than 2 classes would be left")
-        return {}
-    return merges

@@ -8,8 +8,8 @@ a table and is joined.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Collection, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,48 +73,53 @@ class Engineered:
     report: DataFrame
 
 
+def _within(spec: CleaningSpec, raw: Collection[str], made: Callable[[str], bool] = lambda name: True) -> CleaningSpec:
+    """The part of a spec that works on the given raw columns and makes wanted columns."""
+    parts = {c: [p for p in ps if made(f"{c}__{p}")] for c, ps in spec.date_parts.items() if c in raw}
+    return replace(
+        spec, missing_codes={c: v for c, v in spec.missing_codes.items() if c in raw},
+        new_columns=[n for n in spec.new_columns if made(n.name) and set(n.sources()) <= set(raw)],
+        categorical=[c for c in spec.categorical if c in raw], date_parts={c: ps for c, ps in parts.items() if ps})
+
+
+def _spec_notes(spec: CleaningSpec) -> list[tuple[str, str, str]]:
+    said = {
+        "missing_codes": lambda: [(c, f"codes {list(v)} are missing values") for c, v in spec.missing_codes.items()],
+        "new_columns": lambda: [(n.name, f"new column: {n.formula or f'ranges of {n.column}'}") for n in spec.new_columns],
+        "categorical": lambda: [(c, "codes are categories") for c in spec.categorical],
+        "date_parts": lambda: [(c, f"turned into {', '.join(p)}") for c, p in spec.date_parts.items()],
+    }
+    return [("cleaned", column, detail) for notes in said.values() for column, detail in notes()]
+
+
 def engineer(df: DataFrame, target: str, spec: CleaningSpec | None = None, drops: Sequence[str] = ()) -> Engineered:
-    """Merge labels, clean, drop what cannot be a feature, and keep rows that have a target."""
+    """The table a model trains on, the spec that scoring repeats, and a report.
+
+    Three selects (the drops, the spec, the structural drops) with one report per step; the rows are
+    read for the merged labels, the structural facts, the encodings and the final count.
+    """
     spec = spec or CleaningSpec()
-    spark = df.sparkSession
-    log: list[tuple[str, str, str]] = [("dropped", c, "per analysis") for c in drops if c in df.columns and c != target]
-    df = df.select(*[q(c) for c in df.columns if c == target or c not in drops])
-    if spec.label_merges:
-        for r in merged_rows(df, target, spec.label_merges).collect():
-            log.append(("cleaned", target, f"merged labels into {r['label']} ({r['rows_changed']} rows)"))
-        df = merge_labels(df, target, spec.label_merges)
-    have = [c for c in df.columns if c != target]
-    spec = CleaningSpec(
-        {c: v for c, v in spec.missing_codes.items() if c in have},
-        [n for n in spec.new_columns if n.name not in df.columns and all(s in have for s in n.sources())],
-        [c for c in spec.categorical if c in have],
-        {c: p for c, p in spec.date_parts.items() if c in have},
-        spec.label_merges,
-    )
-    log += [("cleaned", c, f"codes {list(v)} are missing values") for c, v in spec.missing_codes.items()]
-    log += [("cleaned", n.name, f"new column: {n.formula or 'ranges of ' + str(n.column)}") for n in spec.new_columns]
-    log += [("cleaned", c, "codes are categories") for c in spec.categorical]
-    log += [("cleaned", c, f"turned into {', '.join(p)}") for c, p in spec.date_parts.items()]
-    df = prepare(df, spec)
-    reasons = {r["column"]: r["reason"] for r in drop_decisions(df, target).collect()}
-    log += [("dropped", c, r) for c, r in reasons.items()]
-    table = df.select(*[q(c) for c in df.columns if c not in reasons]).filter(q(target).isNotNull())
-    plan = encoding_plan(table, target).collect()
-    log += [("encoded", r["column"], f"{r['encoding']}, {r['levels']} levels") for r in plan]
-
-    model = [c for c in table.columns if c != target]
-    sources = column_sources(spec)
-    inputs = list(dict.fromkeys(s for c in model for s in sources.get(c, [c])))
-    kept = CleaningSpec(
-        {c: v for c, v in spec.missing_codes.items() if c in inputs},
-        [n for n in spec.new_columns if n.name in model],
-        [c for c in spec.categorical if c in inputs],
-        {c: [p for p in parts if f"{c}__{p}" in model] for c, parts in spec.date_parts.items() if c in inputs},
-        spec.label_merges,
-    )
-    log += [("result", "features", str(len(model))), ("result", "rows", str(table.count()))]
-    report = spark.createDataFrame(log, "step string, column string, detail string")
-    return Engineered(table, kept, inputs, model, report)
+    gone = [c for c in drops if c in df.columns and c != target]
+    start = df.select(*[q(c) for c in df.columns if c not in gone])
+    raw = [c for c in start.columns if c != target]
+    usable = _within(spec, raw, lambda name: name not in start.columns)
+    cleaned = prepare(merge_labels(start, target, spec.label_merges), usable)
+    structural = [(r["column"], r["reason"]) for r in drop_decisions(cleaned, target).collect()]
+    model = [c for c in cleaned.columns if c != target and c not in dict(structural)]
+    table = cleaned.select(*[q(c) for c in cleaned.columns if c == target or c in model]).filter(q(target).isNotNull())
+
+    origin = column_sources(usable)
+    inputs = [c for c in dict.fromkeys(s for m in model for s in origin.get(m, [m]))]
+    merged = merged_rows(start, target, spec.label_merges).collect() if spec.label_merges else []
+    report = [
+        *[("dropped", c, "per analysis") for c in gone],
+        *[("cleaned", target, f"merged labels into {r['label']} ({r['rows_changed']} rows)") for r in merged],
+        *_spec_notes(usable), *[("dropped", c, why) for c, why in structural],
+        *[("encoded", r["column"], f"{r['encoding']}, {r['levels']} levels") for r in encoding_plan(table, target).collect()],
+        ("result", "features", str(len(model))), ("result", "rows", str(table.count())),
+    ]
+    kept = _within(usable, inputs, lambda name: name in model)
+    return Engineered(table, kept, inputs, model, df.sparkSession.createDataFrame(report, "step string, column string, detail string"))
 
 
 # -- values for forms ----------------------------------------------------------------

@@ -19,7 +19,6 @@ from tablewright.session import settled
 
 # Fixed values.
 MAX_BARS = 15
-MAX_CURVE_CLASSES = 10
 SCATTER_ROWS = 5_000
 ERROR_BINS = 40
 LOWER_IS_BETTER = ("rmse", "mae")
@@ -166,11 +165,11 @@ def pr_points(steps: DataFrame) -> DataFrame:
 
 
 def one_vs_rest(preds: DataFrame, label: str, scores: str, classes: Sequence[str]) -> DataFrame:
-    """One row per row and class (at most the first ten classes): whether it is the class, and its score."""
+    """One row per row and class: whether it is the class, and its score."""
     cells = F.array(*[
         F.struct(F.lit(str(c)).alias("class"), (q(label).cast("string") == str(c)).alias("is_class"),
                  q(scores)[i].alias("class_score"))
-        for i, c in enumerate(classes[:MAX_CURVE_CLASSES])
+        for i, c in enumerate(classes)
     ])
     return preds.select(F.inline(cells))
 

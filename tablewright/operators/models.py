@@ -30,14 +30,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.hashing import default_key, row_hash
+from tablewright.functions.hashing import default_key, digest
 from tablewright.functions.kinds import q
 from tablewright.operators import metrics as M
 from tablewright.operators import neighbours
 from tablewright.operators.features import Encoder
-from tablewright.operators.sampling import SEED, class_table, early_stopping_slice, with_class_weights
+from tablewright.operators.sampling import SEED, class_table, early_stopping_slice, uniform_sample, with_class_weights
 
-# Default settings, and the sizes above which a family is not tried.
+# Default settings.
 DEFAULTS: dict[str, dict[str, object]] = {
     "boosted": {"learning_rate": 0.05, "max_depth": 6, "subsample": 0.9, "column_share": 0.9},
     "forest": {"max_depth": 8, "subsample": 0.9, "column_share": 0.9},
@@ -50,23 +50,14 @@ STYLE = {"boosted": "tree", "forest": "tree", "boosted_codes": "ordinal",
          "kernel": "scaled", "neighbours": "scaled", "linear": "scaled"}
 GROUPS = (("boosted", "forest", "boosted_codes"), ("kernel", "neighbours", "linear"))
 BOOSTED = ("boosted", "boosted_codes")
-KERNEL_MAX_ROWS = 100_000
-NEIGHBOURS_MAX_ROWS = neighbours.MAX_TRAIN_ROWS
-MAX_TREES = 60
-FOREST_TREES = 40
+MAX_TREES = 3_000
+FIRST_TREES = 100  # boosting is fitted so far at first, and twice as far while the end may still gain
+TREE_PATIENCE = 50
+FOREST_TREES = 100
 FOURIER_FEATURES = 256
 BASELINE_MARGIN = 0.01
 
 
-def skip_reason(name: str, train_rows: int, kernel_rows: int = KERNEL_MAX_ROWS,
-                neighbour_rows: int = NEIGHBOURS_MAX_ROWS) -> str | None:
-    if name == "kernel" and train_rows > kernel_rows:
-        return f"skipped: not practical above {kernel_rows:,} training rows"
-    if name == "neighbours" and train_rows > neighbour_rows:
-        return f"skipped: not practical above {neighbour_rows:,} training rows"
-    return None
-
-
 # -- regularisation on the scale of the textbook formulas ---------------------------------
 
 
@@ -151,7 +142,7 @@ class Fitted:
         return scored.select(*out)
 
     def _vote(self, encoded: DataFrame, kept: Sequence[str]) -> DataFrame:
-        keyed = encoded.withColumn("__key", row_hash(list(kept), SEED)).withColumn("v", vector_to_array(q("features")))
+        keyed = encoded.withColumn("__key", digest(encoded.select(*[q(c) for c in kept]), kept)).withColumn("v", vector_to_array(q("features")))
         near = neighbours.nearest(
             keyed.select(F.col("__key").alias("key"), "v").dropDuplicates(["key"]), self.neighbour_rows, "key", "v", "y",
             int(self.params["n_neighbors"]), copies="copies")
@@ -169,18 +160,22 @@ def label_index(labels: Sequence[str], target: Column) -> Column:
 
 def fit(name: str, task: str, params: Mapping[str, object], train: DataFrame, target: str, features: Sequence[str],
         labels: Sequence[str] = (), balanced: bool = False, key: Sequence[str] | None = None,
-        trees: int | None = None, max_trees: int = MAX_TREES) -> Fitted:
+        trees: int | None = None, max_trees: int = MAX_TREES, neighbour_rows: int = neighbours.MAX_TRAIN_ROWS) -> Fitted:
     """Fit one candidate on ``train``. Encoders see these rows only, so no fold leaks into another.
 
-    Boosted trees with ``trees=None`` stop early on a held-back tenth and report the tree count found.
+    Boosted trees with ``trees=None`` hold a tenth back, take the tree count with the least loss there
+    and are fitted again with it on all rows. Neighbours vote among at most ``neighbour_rows`` labelled
+    rows, drawn by hash; the bound is part of the result (``extra``).
     """
     classification = task == "classification"
     rows = train.count()
+    if name == "neighbours" and rows > neighbour_rows:
+        train, rows = uniform_sample(train, neighbour_rows, default_key(train, key)), neighbour_rows
     encoder = Encoder.fit(train, features, STYLE[name], rows)
     labels = [str(x) for x in labels]
     fitted = Fitted(name, task, dict(params), encoder, labels)
     y = label_index(labels, q(target)) if classification else q(target).cast("double")
-    stop_early = name in BOOSTED and trees is None and len(labels) <= 2
+    stop_early = name in BOOSTED and trees is None
     if stop_early:
         train = early_stopping_slice(train, target, default_key(train, key), classification)
     if classification and balanced:
@@ -195,6 +190,7 @@ def fit(name: str, task: str, params: Mapping[str, object], train: DataFrame, ta
         # Equal rows become one with a count, so that many copies do not end up in one block.
         rows_ = data.select(vector_to_array("features").alias("v"), F.col("__y").alias("y")).groupBy("v", "y").agg(
             F.count(F.lit(1)).alias("copies"))
+        fitted.extra["neighbour_rows"] = rows
         fitted.neighbour_rows = rows_.select(F.md5(F.to_json(F.struct("v", "y"))).alias("key"), "v", "y", "copies")
         return fitted
     if name in ("kernel", "linear"):
@@ -209,20 +205,46 @@ def fit(name: str, task: str, params: Mapping[str, object], train: DataFrame, ta
         maker = RandomForestClassifier if classification else RandomForestRegressor
         fitted.model = maker(**common, numTrees=trees or min(FOREST_TREES, max_trees)).fit(data)
         return fitted
-    boost = {**common, "stepSize": float(params["learning_rate"]), "maxIter": trees or max_trees}
+    kind = GBTClassifier if classification else GBTRegressor
+    settings = {**common, "stepSize": float(params["learning_rate"])}
     if stop_early:
-        boost.update(validationIndicatorCol="is_validation", validationTol=0.001)
-    booster = GBTClassifier(**boost) if classification else GBTRegressor(**boost)
+        trees = _tree_count(lambda n: kind(**settings, maxIter=n), data, labels, max_trees)
+    booster = kind(**settings, maxIter=trees)
     if classification and len(labels) > 2:
         rest = OneVsRest(classifier=booster, featuresCol="features", labelCol="__y", weightCol="__weight")
         fitted.model = rest.fit(data)
-        fitted.trees = trees or max_trees
+        fitted.trees = trees
     else:
         fitted.model = booster.fit(data)
         fitted.trees = fitted.model.getNumTrees
     return fitted
 
 
+def _tree_count(maker: Callable[[int], GBTClassifier | GBTRegressor], data: DataFrame, labels: Sequence[str], most: int) -> int:
+    """The number of trees with the least loss on the rows held back.
+
+    Boosting goes on until no tree of the last ``TREE_PATIENCE`` was the best, or to ``most``: as a fit
+    cannot be continued, it is made again with twice the trees, which at worst doubles the work. With
+    several classes each is boosted against the rest, and the one that needs most trees decides.
+    """
+    held, used = data.filter("is_validation"), data.filter("NOT is_validation")
+    targets = range(len(labels)) if len(labels) > 2 else [None]
+    best = 1
+    for target in targets:
+        as_target = (lambda df: df) if target is None else (
+            lambda df, target=target: df.withColumn("__y", (q("__y") == float(target)).cast("double")))
+        size = min(FIRST_TREES, most)
+        while True:
+            losses = maker(size).fit(as_target(used)).evaluateEachIteration(as_target(held), "squared") if not labels else \
+                maker(size).fit(as_target(used)).evaluateEachIteration(as_target(held))
+            count = int(np.argmin(losses)) + 1
+            if size == most or count <= size - TREE_PATIENCE:
+                break
+            size = min(2 * size, most)
+        best = max(best, count)
+    return best
+
+
 def _fit_linear(fitted: Fitted, data: DataFrame, rows: int, width: int) -> Model:
     params = fitted.params
     classification = fitted.task == "classification"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import as_text, columns_of, kind, q
@@ -30,10 +30,19 @@ def rows_per_column(exprs: dict[str, dict[str, Column]], df: DataFrame, key: str
     return wide.select(F.inline(F.array(*structs)))
 
 
-def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column, value, n)`` for every column at once: one scan, one shuffle of pre-summed counts."""
+LONG_VALUE = 32  # bytes; a longer value can be stood for by its digest
+
+
+def value_counts(df: DataFrame, columns: Sequence[str] | None = None, digests: bool = False) -> DataFrame:
+    """``(column, value, n)`` for every column at once: one scan, one shuffle of pre-summed counts.
+
+    With ``digests`` a long value is replaced by its digest, for counts that do not need the values.
+    """
     columns = list(columns or df.columns)
     long = df.select(*as_text(df, columns)).unpivot([], [q(c) for c in columns], "column", "value")
+    if digests:
+        long = long.withColumn("value", F.when(F.octet_length("value") > LONG_VALUE, F.concat(F.lit("#"), F.md5("value")))
+                               .otherwise(F.col("value")))
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -43,7 +52,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     dtypes = dict(df.dtypes)
     names = F.create_map(*[F.lit(x) for c in columns for x in (c, dtypes[c])])
     return (
-        value_counts(df, columns)
+        value_counts(df, columns, digests=True)
         .groupBy("column")
         .agg(
             F.sum("n").alias("rows"),
@@ -57,18 +66,18 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def first_values(df: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None, n: int = 3) -> DataFrame:
     """The first ``n`` values that are not missing, per column, in row order.
 
-    Each column is its own top-n over a scan pruned to that column and the order.
+    One scan for all columns; every task keeps its first ``n`` per column before the shuffle.
     """
     columns = list(columns or df.columns)
-
-    def head(c: str) -> DataFrame:
-        keys = [q(o).alias(f"__o{i}") for i, o in enumerate(order)]
-        slim = df.select(*keys, as_text(df, [c])[0].alias("value")).filter("value IS NOT NULL")
-        top = slim.orderBy(*[f"__o{i}" for i in range(len(order))]).limit(n)
-        pairs = F.array_sort(F.collect_list(F.struct(*[f"__o{i}" for i in range(len(order))], "value")))
-        return top.agg(F.lit(c).alias("column"), F.transform(pairs, lambda p: p["value"]).alias("sample"))
-
-    return reduce(DataFrame.unionByName, [head(c) for c in columns])
+    keys = [f"__o{i}" for i in range(len(order))]
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in zip(columns, as_text(df, columns))])
+    long = df.select(*[q(o).alias(k) for o, k in zip(order, keys)], F.inline(cells)).filter("value IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("column").orderBy(*keys, "value"))
+    top = long.withColumn("__place", place).filter(F.col("__place") <= n)
+    samples = top.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("__place", "value"))).alias("s"))
+    asked = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return asked.join(samples, "column", "left").select(
+        "column", F.coalesce(F.transform("s", lambda p: p["value"]), F.array().cast("array<string>")).alias("sample"))
 
 
 def preview_stats(df: DataFrame) -> DataFrame:

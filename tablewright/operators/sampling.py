@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.hashing import default_key, row_hash
+from tablewright.functions.hashing import default_key, digest, row_hash
 from tablewright.functions.kinds import q
 from tablewright.operators.task import TaskError
 
@@ -73,7 +73,7 @@ class Cut:
 
 def find_cuts(
     df: DataFrame, key: Sequence[str], sizes: Sequence[tuple[object, Sequence[int]]], by: str | None = None,
-    seed: int = SEED,
+    seed: int = SEED, h: Column | None = None,
 ) -> dict[object, list[Cut]]:
     """Per class, the hash numbers below which the given running sizes of rows lie.
 
@@ -83,7 +83,7 @@ def find_cuts(
     label: Column = q(by) if by else F.lit(0)
     most = max((n for _, cuts in sizes for n in cuts), default=0)
     digits = min(max(most.bit_length() // 8, 2), MAX_BUCKET_DIGITS)  # about as many buckets as rows in one
-    hashed = df.select(label.alias("label"), row_hash(key, seed).alias("h"))
+    hashed = df.select(label.alias("label"), (row_hash(key, seed) if h is None else h).alias("h"))
     hashed = hashed.withColumn("bucket", F.substring("h", 1, digits))
     wanted = [(value if by else 0, piece, int(n)) for value, cuts in sizes for piece, n in enumerate(cuts)]
     label_type = df.schema[by].dataType.simpleString() if by else "int"
@@ -140,15 +140,16 @@ def segments(
 
 
 def take(df: DataFrame, key: Sequence[str], sizes: Sequence[tuple[object, int]], by: str | None = None,
-         seed: int = SEED) -> DataFrame:
+         seed: int = SEED, whole: bool = False) -> DataFrame:
     """Exactly the given number of rows of each class, in hash order.
 
-    Where rows of one key reach over the border, they are told apart by their other
-    columns; rows that are equal in everything are written as often as they are needed,
-    by as many tasks as it takes.
+    Where rows of one hash reach over the border, they are told apart by the digest of the
+    whole row (``whole``); rows that are equal in that are written as often as they are
+    needed, by as many tasks as it takes.
     """
-    cuts = find_cuts(df, key, [(value, [n]) for value, n in sizes], by, seed)
-    hashed = df.withColumn("__h", row_hash(key, seed))
+    h = digest(df, df.columns) if whole else row_hash(key, seed)
+    cuts = find_cuts(df, key, [(value, [n]) for value, n in sizes], by, seed, h)
+    hashed = df.withColumn("__h", h)
     chosen = hashed.filter(segment_of(cuts, F.col("__h"), by) == 0)
     tied = {value: cut[0] for value, cut in cuts.items() if cut[0].over}
     if not tied:
@@ -160,8 +161,8 @@ def take(df: DataFrame, key: Sequence[str], sizes: Sequence[tuple[object, int]],
     for value, cut in tied.items():
         group = chosen.filter(at_border[value]).drop("__h")
         need = group.count() - cut.over
-        if set(key) != set(df.columns):
-            part = take(group, df.columns, [(0, need)], seed=seed)
+        if not whole:
+            part = take(group, df.columns, [(0, need)], seed=seed, whole=True)
         else:
             one = group.limit(1).withColumn("__copy", F.lit(0))
             copies = df.sparkSession.range(need).select(F.lit(0).alias("__copy"))
@@ -238,9 +239,9 @@ def early_stopping_slice(
 
 def fold_count(df: DataFrame, target: str, classification: bool) -> int:
     if classification:
-        classes = class_table(df, target)
-        smallest = min((n for _, n in classes), default=0) if classes else 0
-        return max(2, min(MAX_FOLDS, smallest))
+        # The rarest class decides; it needs no list of the classes.
+        rarest = df.filter(q(target).isNotNull()).groupBy(q(target)).count().agg(F.min("count")).first()[0]
+        return max(2, min(MAX_FOLDS, rarest or 0))
     return max(2, min(MAX_FOLDS, df.count() // ROWS_PER_FOLD))
 
 
@@ -304,8 +305,17 @@ def class_weights(df: DataFrame, target: str, folds: int, fold: str = "fold") ->
 
 
 def with_class_weights(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
-    """Give each row its balanced class weight (a literal per class; no join)."""
-    classes = class_table(df, target) or []
+    """Give each row its balanced class weight; rows without a target weigh 1.
+
+    Up to MAX_STRATA classes are literals, which needs no join; more are joined as a table.
+    """
+    classes = class_table(df, target)
+    if classes is None:
+        counts = df.filter(q(target).isNotNull()).groupBy(q(target).alias("__class")).agg(F.count(F.lit(1)).alias("__n"))
+        totals = counts.agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__classes"))  # one row
+        weights = counts.join(F.broadcast(totals)).select("__class", (F.col("__all") / (F.col("__classes") * F.col("__n"))).alias(name))
+        return df.join(weights, q(target) == F.col("__class"), "left").select(
+            *[q(c) for c in df.columns], F.coalesce(q(name), F.lit(1.0)).alias(name))
     total = sum(n for _, n in classes)
     weight = F.lit(1.0)
     for value, n in classes:

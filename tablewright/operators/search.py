@@ -79,8 +79,11 @@ def _top(scores: DataFrame, k: int) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, text: Column, queries: DataFrame, query_key: str, query_text: str,
-         k: int = TOP, prune: bool | None = None) -> DataFrame:
-    """``(query, doc, score, rank)``: the k best documents per query, ties in document order."""
+         k: int = TOP, prune: bool = True) -> DataFrame:
+    """``(query, doc, score, rank)``: the k best documents per query, ties in document order.
+
+    ``prune=False`` scores every document with an asked word; it is there to check the pruned plan by.
+    """
     docs = spread(docs.select(q(key), text.alias("__text")), docs.count())
     text = F.col("__text")
     documents, mean = corpus_size(docs, text)
@@ -94,8 +97,6 @@ def bm25(docs: DataFrame, key: str, text: Column, queries: DataFrame, query_key:
     demand = asked.join(frequency, "term").select(
         "query", "term", "repeats", "df",
         (F.col("repeats") * idf(documents, F.col("df")) * (K1 + 1)).alias("most"))  # tf can at most saturate
-    if prune is None:
-        prune = documents > 100_000
     if not prune:
         hits = weighted.join(demand, "term")
         scores = hits.groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("repeats")).alias("score"))

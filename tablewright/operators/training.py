@@ -44,7 +44,8 @@ class Sweep:
 
 def sweep(df: DataFrame, target: str, task: str, candidates: Sequence[str] = ("boosted", "forest", "linear"),
           key: Sequence[str] | None = None, tuning_budget: float = 0, tuning_seconds: float = 300.0,
-          time_budget: float | None = None, max_trees: int = models.MAX_TREES, parallelism: int = 2) -> Sweep:
+          time_budget: float | None = None, max_trees: int = models.MAX_TREES, parallelism: int = 2,
+          neighbour_rows: int = models.neighbours.MAX_TRAIN_ROWS) -> Sweep:
     """Train on an engineered table. A candidate that fails is logged; the sweep fails only if all do."""
     started = time.monotonic()
     spark = df.sparkSession
@@ -68,16 +69,13 @@ def sweep(df: DataFrame, target: str, task: str, candidates: Sequence[str] = ("b
 
     def one(name: str, params: dict, fold: int) -> float:
         return models.fold_score(name, task, params, data, target, features, fold, metric, labels, balanced, key,
-                                 max_trees=max_trees)
+                                 max_trees=max_trees, neighbour_rows=neighbour_rows)
 
     log: list[tuple] = []
     scores: dict[str, list[float]] = {}
     for name in candidates:
-        reason = models.skip_reason(name, rows)
-        if reason is None and time_budget is not None and time.monotonic() - started > time_budget:
-            reason = "skipped: the time budget is spent"
-        if reason:
-            log.append((name, "skipped", None, None, reason))
+        if time_budget is not None and time.monotonic() - started > time_budget:
+            log.append((name, "skipped", None, None, "the time budget is spent"))
             continue
         try:
             found = models.cross_validate(lambda k: one(name, models.DEFAULTS[name], k), folds, parallelism)
@@ -97,10 +95,7 @@ def sweep(df: DataFrame, target: str, task: str, candidates: Sequence[str] = ("b
     found = tuning.search(best, lambda params, k: one(best, params, k), folds, rows // folds, models.DEFAULTS[best],
                           start, tuning_budget, tuning_seconds, tuning.noise(scores[best]))
     params = {**models.DEFAULTS[best], **found.params}
-    final = models.fit(best, task, params, train, target, features, labels, balanced, key, max_trees=max_trees)
-    if best in models.BOOSTED and final.trees and len(labels) <= 2:
-        # The tree count is known now: fit again on all training rows.
-        final = models.fit(best, task, params, train, target, features, labels, balanced, key, trees=final.trees)
+    final = models.fit(best, task, params, train, target, features, labels, balanced, key, max_trees=max_trees, neighbour_rows=neighbour_rows)
 
     def scored(rows_: DataFrame) -> DataFrame:
         y = models.label_index(labels, q(target)) if classification else q(target).cast("double")
