@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tablewright.operators import audit as A
 from tablewright.operators import leakage as L
 from tablewright.plans.base import (
     LINE_KEY, SQL_LINE_NET, SQL_LINE_TOTAL, line_net, line_total, query, sql_fold,
@@ -32,7 +33,9 @@ def _cells(source: str, y: str, by_quantile: list[str], by_value: list[str]) ->
     return f"WITH src AS (SELECT *, {FOLD} AS fold, {y} AS y FROM ({source})), {edges} long AS ({' UNION ALL '.join(parts)})"
 
 
-CLASS_FEATURES = (["total", "l_quantity", "l_extendedprice", "l_suppkey"], ["l_discount", "l_tax", "l_linenumber", "l_returnflag"])
+# All columns but the target: those binned by quantile, and those by value.
+CLASS_FEATURES = (["total", "l_quantity", "l_extendedprice", "l_suppkey", "l_orderkey", "l_partkey"],
+                  ["l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"])
 
 
 def _class_scores(source, y, by_quantile, by_value):
@@ -57,7 +60,8 @@ def feature_scores_class(spark, folder):
     return scores.select("column", "rows", F.round("score", 6).alias("score"))
 
 
-VALUE_FEATURES = (["net", "l_quantity", "l_partkey"], ["l_tax", "l_linenumber", "l_returnflag"])
+VALUE_FEATURES = (["net", "l_quantity", "l_partkey", "l_suppkey", "l_orderkey"],
+                  ["l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"])
 
 
 def _value_scores(source, y, by_quantile, by_value):
@@ -110,7 +114,7 @@ SELECT '{c}' AS c, corr(rx, ry) AS r FROM (
     return f"src0 AS ({source}), ranks AS (SELECT c, coalesce(r * r, 0) AS rank_r2 FROM ({parts}))"
 
 
-RANKED = ["net", "l_quantity", "l_discount", "l_partkey"]
+RANKED = ["net", "l_quantity", "l_discount", "l_tax", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"]  # all numbers
 
 
 @query("rank_correlation", "WITH " + _ranks(SQL_LINE_NET, "l_extendedprice", RANKED)
@@ -124,17 +128,15 @@ def rank_correlation(spark, folder):
 SELECT c AS "column", round(score, 4) AS score FROM scores WHERE score >= 0.98
   AND (SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM src GROUP BY late)) < 0.98""")
 def leakage_suspects(spark, folder):
-    return L.leakage_suspects(line_total(spark, folder), "late", "classification", LINE_KEY,
-                              CLASS_FEATURES[0] + CLASS_FEATURES[1])
+    return L.leakage_suspects(line_total(spark, folder), "late", "classification", LINE_KEY)
 
 
 @query("leakage_suspects_reg", _value_scores(SQL_LINE_NET, "l_extendedprice", *VALUE_FEATURES) + ", "
-       + _ranks(SQL_LINE_NET, "l_extendedprice", ["net", "l_quantity", "l_partkey", "l_tax", "l_linenumber"]) + """
+       + _ranks(SQL_LINE_NET, "l_extendedprice", RANKED) + """
 SELECT c AS "column", round(greatest(score, rank_r2), 4) AS score FROM scores LEFT JOIN ranks USING (c)
 WHERE greatest(score, rank_r2) >= 0.98""")
 def leakage_suspects_reg(spark, folder):
-    return L.leakage_suspects(line_net(spark, folder), "l_extendedprice", "regression", LINE_KEY,
-                              VALUE_FEATURES[0] + VALUE_FEATURES[1])
+    return L.leakage_suspects(line_net(spark, folder), "l_extendedprice", "regression", LINE_KEY)
 
 
 @query("held_out_line", f"""
@@ -174,8 +176,20 @@ def formula_leak(spark, folder):
     return table_.withColumn("constant", F.abs("constant"))
 
 
-@query("formula_in_kept")
+@query("critical_findings", _class_scores(SQL_LINE_TOTAL, "late", *CLASS_FEATURES) + """
+SELECT 'leakage_suspect' AS "check", c AS "column", round(score, 4) AS value FROM scores WHERE score >= 0.98
+UNION ALL SELECT 'leakage_formula', NULL, 1.0::DOUBLE""")
+def critical_findings(spark, folder):
+    """The audit with its leak checks: the column that decides the class, and the planted sum behind that column."""
+    found = A.audit(line_total(spark, folder), "late", "classification", LINE_KEY)
+    return found.filter("severity = 'critical'").select("check", "column", "value")
+
+
+@query("formula_in_kept", f"""
+SELECT 'total' AS target, c AS "column", w AS weight, 1.0::DOUBLE AS r2, n AS rows, 0.0::DOUBLE AS constant
+FROM (VALUES ('l_quantity', 1.0::DOUBLE), ('l_discount', 500.0::DOUBLE), ('l_tax', 500.0::DOUBLE)) v(c, w),
+     (SELECT count(*) AS n FROM ({SQL_LINE_TOTAL}))""")
 def formula_in_kept(spark, folder):
     lines = line_total(spark, folder)
     found = L.formula_in_kept(lines, "late", "classification", ["l_orderkey", "l_partkey"], ["total"], LINE_KEY)
-    return _formula_table(spark, found)
+    return _formula_table(spark, found).withColumn("constant", F.abs("constant"))

@@ -1,17 +1,19 @@
 """Baselines, neighbours, and Spark ML candidates."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tablewright.operators import cleaning as C
 from tablewright.operators import models as L
 from tablewright.operators import neighbours as K
 from tablewright.operators import sampling as S
-from tablewright.operators import scoring
+from tablewright.operators import scoring, task, tuning
 from tablewright.operators.features import engineer
 from tablewright.operators.training import sweep
-from tablewright.plans.base import LINE_KEY, labelled_documents, line_total, query, sql_fold, sql_hash, table
+from tablewright.plans.base import LINE_KEY, SQL_LINE_TOTAL, labelled_documents, line_total, query, sql_fold, sql_hash, table
 from tablewright.plans.sampling_plans import DOC_FOLDS
-from tablewright.session import spread
+from tablewright.session import shared_folder, spread
 
 
 @query("baseline_cv", f"""
@@ -67,47 +69,99 @@ def ridge_one_feature(spark, folder):
     return spark.createDataFrame([(round(slope, 4), round(intercept, 4))], "slope double, intercept double")
 
 
+FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
+LABELS = ["late", "on time"]
+
+# What SQL can say of a cross-validation: how many rows each fold holds out, and that the score of a
+# planted relation beats the guess of the commonest class.
+SQL_FOLDS = """
+WITH c AS (SELECT {target} AS y, count(*) AS n FROM ({source}) GROUP BY 1)
+SELECT '{name}' AS name, fold, sum((n * (fold + 1)) // 5 - (n * fold) // 5)::BIGINT AS rows, true AS beats_guess
+FROM c, (SELECT unnest([0, 1, 2, 3, 4])::INT AS fold) GROUP BY fold"""
+
+
 def _late(spark, folder):
     return line_total(spark, folder).select(*LINE_KEY, "late", "l_quantity", "l_discount", "l_tax", "l_returnflag")
 
 
-FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
+def _client(spark, folder):
+    """Every customer, with a class that the balance and the segment decide."""
+    rich = (F.col("c_acctbal") > 3000) & (F.col("c_mktsegment") != "BUILDING")
+    return table(spark, folder, "customer").select(
+        "c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey", F.when(rich, "rich").otherwise("plain").alias("y"))
 
 
-def _cv(spark, folder, name, folds, **how):
-    rows = _late(spark, folder)
-    data = spread(S.with_folds(rows, "late", LINE_KEY, folds=folds), rows.count()).cache()
-    labels = ["late", "on time"]
-    found = L.cross_validate(lambda k: L.fold_score(name, "classification", L.DEFAULTS[name], data, "late", FEATURES, k,
-                                                    "accuracy", labels, key=LINE_KEY, **how), folds)
-    data.unpersist()
-    return spark.createDataFrame([(name, k, s) for k, s in enumerate(found)], "name string, fold int, score double")
+SQL_CLIENT = """
+SELECT *, CASE WHEN c_acctbal > 3000 AND c_mktsegment <> 'BUILDING' THEN 'rich' ELSE 'plain' END AS y FROM customer"""
+CLIENT_FEATURES = ["c_acctbal", "c_mktsegment", "c_nationkey"]
 
 
-@query("cv_logistic")
+def _cv(rows, target, features, labels, key, name, params=None, **how):
+    """Cross-validation by the rule for the number of folds."""
+    spark = rows.sparkSession
+    folds = S.fold_count(rows, target, True)
+    data = spread(S.with_folds(rows, target, key, folds=folds), rows.count()).cache()
+    try:
+        found = L.cross_validate(lambda k: L.fold_score(
+            name, "classification", params or L.DEFAULTS[name], data, target, features, k, "accuracy", labels, key=key, **how), folds)
+        guess = {r["fold"]: r["score"] for r in L.baseline_cv(data, target, "classification").collect()}
+        rows_of = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
+    finally:
+        data.unpersist()
+    return spark.createDataFrame([(name, k, rows_of[k], s > guess[k] + L.BASELINE_MARGIN) for k, s in enumerate(found)],
+                                 "name string, fold int, rows bigint, beats_guess boolean")
+
+
+@query("cv_logistic", SQL_FOLDS.format(name="linear", target="late", source=SQL_LINE_TOTAL))
 def cv_logistic(spark, folder):
-    return _cv(spark, folder, "linear", 3)
+    return _cv(_late(spark, folder), "late", FEATURES, LABELS, LINE_KEY, "linear")
+
 
+def _cv_client(spark, folder, name, params=None, **how):
+    return _cv(_client(spark, folder), "y", CLIENT_FEATURES, ["plain", "rich"], ["c_custkey"], name, params, **how)
 
-@query("cv_trees")
+
+@query("cv_trees", SQL_FOLDS.format(name="boosted", target="y", source=SQL_CLIENT))
 def cv_trees(spark, folder):
-    return _cv(spark, folder, "boosted", 2, max_trees=5)
+    return _cv_client(spark, folder, "boosted", {**L.DEFAULTS["boosted"], "max_depth": 3, "learning_rate": 0.3}, max_trees=20)
+
 
+@query("cv_coded_trees", SQL_FOLDS.format(name="boosted_codes", target="y", source=SQL_CLIENT))
+def cv_coded_trees(spark, folder):
+    return _cv_client(spark, folder, "boosted_codes", {**L.DEFAULTS["boosted_codes"], "max_depth": 3, "learning_rate": 0.3}, max_trees=20)
 
-@query("cv_forest")
+
+@query("cv_forest", SQL_FOLDS.format(name="forest", target="y", source=SQL_CLIENT))
 def cv_forest(spark, folder):
-    return _cv(spark, folder, "forest", 2, max_trees=5)
+    return _cv_client(spark, folder, "forest")
+
+
+@query("cv_kernel", SQL_FOLDS.format(name="kernel", target="late", source=SQL_LINE_TOTAL))
+def cv_kernel(spark, folder):
+    return _cv(_late(spark, folder), "late", FEATURES, LABELS, LINE_KEY, "kernel")
 
 
-@query("feature_importance")
+@query("boosted_tree_count", "SELECT count(*) AS rows, true AS past_sixty, true AS below_limit FROM customer")
+def boosted_tree_count(spark, folder):
+    """A slow learning rate needs more than sixty trees; the held-back loss says how many, up to the limit given."""
+    clients = _client(spark, folder)
+    params = {**L.DEFAULTS["boosted"], "learning_rate": 0.05, "max_depth": 2}
+    wave = clients.withColumn("y", F.sin(F.col("c_acctbal") / 900) * 40)
+    fitted = L.fit("boosted", "regression", params, wave, "y", ["c_acctbal"], key=["c_custkey"], max_trees=90)
+    return wave.agg(F.count("*").alias("rows")).withColumns(
+        {"past_sixty": F.lit(fitted.trees > 60), "below_limit": F.lit(fitted.trees <= 90)})
+
+
+@query("feature_importance", """
+SELECT 'c_nationkey' AS least, 0.0::DOUBLE AS missing_share""")
 def feature_importance(spark, folder):
-    fitted = L.fit("forest", "classification", L.DEFAULTS["forest"], _late(spark, folder), "late", FEATURES,
-                   ["late", "on time"], key=LINE_KEY, max_trees=5)
-    return L.importances(fitted)
+    """The nation has no part in the class, so it must come last; the shares sum to one."""
+    fitted = L.fit("forest", "classification", L.DEFAULTS["forest"], _client(spark, folder), "y", ["c_acctbal", "c_nationkey"],
+                   ["plain", "rich"], key=["c_custkey"])
+    return L.importances(fitted).agg(F.min_by("feature", "importance").alias("least"), F.abs(F.round(1 - F.sum("importance"), 3)).alias("missing_share"))
 
 
-@query("batch_score")
-def batch_score(spark, folder):
+def _event_bundle(spark, folder):
     events = table(spark, folder, "events").drop("props")
     spec = C.CleaningSpec(missing_codes={"event_type": ["error"]}, categorical=["user_id"],
                           date_parts={"ts": ["day_of_week", "hour"]},
@@ -115,13 +169,73 @@ def batch_score(spark, folder):
     target = events.withColumn("large", F.when(F.col("value") > 10, "yes").otherwise("no"))
     done = engineer(target, "large", spec, ["event_id"])
     fitted = L.fit("linear", "classification", L.DEFAULTS["linear"], done.table, "large", done.model_columns, ["no", "yes"])
-    bundle = scoring.Bundle(fitted, done.spec, scoring.inputs_of(events, done.input_columns))
-    return scoring.score(events, bundle)
+    return events, scoring.Bundle(fitted, done.spec, scoring.inputs_of(events, done.input_columns))
 
 
-@query("model_sweep")
+@query("batch_score", """
+SELECT event_type, count(*) AS rows, count(*) AS labelled, count(*) AS sums_to_one, count(*) AS right_way FROM events GROUP BY 1""")
+def batch_score(spark, folder):
+    """Every event gets a label of the target, two probabilities that sum to one, and the likelier label."""
+    scored = scoring.score(*_event_bundle(spark, folder))
+    yes, no = F.col("probability_yes"), F.col("probability_no")
+    return scored.groupBy("event_type").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("prediction").isin("yes", "no")).alias("labelled"),
+        F.count_if(F.abs(yes + no - 1) < 1e-6).alias("sums_to_one"), F.count_if((F.col("prediction") == "yes") == (yes >= no)).alias("right_way"))
+
+
+@query("saved_bundle", "SELECT count(*) AS rows, count(*) AS alike FROM events")
+def saved_bundle(spark, folder):
+    """A bundle that was saved and read again scores both input shapes as before: raw tables and typed records."""
+    events, bundle = _event_bundle(spark, folder)
+    path = f"{shared_folder(spark).rstrip('/')}/bundle-{uuid.uuid4().hex}"
+    bundle.save(path)
+    again = scoring.Bundle.load(path)
+    first = scoring.score(events, bundle).select("event_id", F.col("probability_yes").alias("p"))
+    text = events.select(*[F.col(c).cast("string").alias(c) for c, _ in again.inputs], F.col("event_id"))
+    typed = scoring.from_records(text.drop("event_id").distinct(), again)
+    second = scoring.score(events, again).select("event_id", F.col("probability_yes").alias("r"))
+    both = first.join(second, "event_id")
+    if scoring.score(typed, again).filter("prediction IS NULL").limit(1).count():
+        raise ValueError("a record has no prediction")
+    return both.agg(F.count("*").alias("rows"), F.count_if(F.abs(F.col("p") - F.col("r")) < 1e-12).alias("alike"))
+
+
+@query("tuning_log", """
+SELECT * FROM (VALUES (0, 'default', 5, 'whole'), (1, 'listed', 5, 'whole'), (2, 'listed', 5, 'whole'), (3, 'listed', 5, 'whole'),
+                      (4, 'drawn', 5, 'whole')) t(trial, origin, folds, outcome)""")
+def tuning_log(spark, folder):
+    """A real search over all clients: the default, the listed settings, and draws until the budget is spent."""
+    clients = _client(spark, folder)
+    data = spread(S.with_folds(clients, "y", ["c_custkey"], folds=5), clients.count()).cache()
+    try:
+        def score(params, k):
+            return L.fold_score("linear", "classification", params, data, "y", CLIENT_FEATURES, k, "accuracy", ["plain", "rich"], key=["c_custkey"])
+        found = tuning.search("linear", score, 5, 100, L.DEFAULTS["linear"], 0.5, budget=4, seconds=3_600)
+    finally:
+        data.unpersist()
+    return found.table(spark).select("trial", "origin", "folds", "outcome")
+
+
+@query("model_sweep", """
+SELECT name, 'ok' AS status, true AS scored FROM (VALUES ('linear'), ('neighbours'), ('forest')) t(name)""")
 def model_sweep(spark, folder):
-    """Every table of a sweep over an unbalanced target: class weights and macro F1."""
+    """The candidates of a sweep over an unbalanced target: class weights and macro F1."""
     rows = labelled_documents(spark, folder).select("doc_id", "toxic", "lang", "n_chars", "quality")
-    found = sweep(rows, "quality", "classification", ["linear", "neighbours"], ["doc_id"])
-    return found.candidates.select("name", "status", "cv_mean", "cv_std", "reason")
+    found = sweep(rows, "quality", "classification", ["linear", "neighbours", "forest"], ["doc_id"])
+    return found.candidates.select("name", "status", F.col("cv_mean").between(0, 1).alias("scored"))
+
+
+TASKS = [("auto", "o_orderkey"), ("regression", "o_orderstatus"), ("regression", "o_totalprice"), ("classification", "o_orderkey"),
+         ("classification", "o_orderpriority"), ("guess", "o_custkey"), ("auto", "nothing")]
+
+
+@query("task_checks", """
+WITH s AS (SELECT count(DISTINCT o_orderkey) AS keys, count(DISTINCT o_orderpriority) AS levels FROM orders)
+SELECT task, target, CASE WHEN target = 'nothing' OR task = 'guess' OR (task = 'regression' AND target = 'o_orderstatus') THEN false
+  WHEN task = 'classification' THEN CASE target WHEN 'o_orderkey' THEN keys ELSE levels END <= 100 ELSE true END AS accepted
+FROM s, (VALUES ('auto', 'o_orderkey'), ('regression', 'o_orderstatus'), ('regression', 'o_totalprice'), ('classification', 'o_orderkey'),
+  ('classification', 'o_orderpriority'), ('guess', 'o_custkey'), ('auto', 'nothing')) t(task, target)""")
+def task_checks(spark, folder):
+    orders = table(spark, folder, "orders")
+    return spark.createDataFrame([(t, c, task.task_problem(orders, t, c) is None) for t, c in TASKS],
+                                 "task string, target string, accepted boolean")

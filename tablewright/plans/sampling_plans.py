@@ -92,6 +92,6 @@ def label_codes(spark, folder):
 
 
 @query("class_size_guard", """
-SELECT user_id::VARCHAR AS label, count(*) AS n FROM events WHERE value > 40 GROUP BY 1 HAVING count(*) < 3""")
+SELECT user_id::VARCHAR AS label, count(*) AS n FROM events GROUP BY 1 HAVING count(*) < 3""")
 def class_size_guard(spark, folder):
-    return S.check_class_sizes(table(spark, folder, "events").filter("value > 40"), "user_id")
+    return S.check_class_sizes(table(spark, folder, "events"), "user_id")

@@ -106,7 +106,7 @@ def fact_assembly(spark, folder):
 # -- search ---------------------------------------------------------------------------------
 
 WORDS = r"list_filter(string_split(regexp_replace(lower({t}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda w: length(w) >= 3)"
-DOC_WORDS, ITEM_WORDS = WORDS.format(t="text"), WORDS.format(t="array_to_string(string_split(text, ' ')[1:5], ' ')")
+DOC_WORDS = WORDS.format(t="text")
 
 
 @query("bm25_stats", f"""
@@ -121,27 +121,22 @@ WITH w AS (SELECT doc_id, {DOC_WORDS} AS ws FROM documents),
 c AS (SELECT count(*) AS n, sum(len(ws)) / count(*) AS mean FROM w),
 tf AS (SELECT doc_id, len AS length, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS len, unnest(ws) AS term FROM w) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-q AS (SELECT item_id, term, count(*) AS rep FROM (SELECT item_id, unnest({ITEM_WORDS}) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS rep FROM (SELECT item_id, unnest({DOC_WORDS}) AS term FROM benchmark) GROUP BY ALL),
 s AS (SELECT q.item_id AS query, tf.doc_id AS doc,
              sum(rep * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * length / mean))) AS score
       FROM q JOIN tf USING (term) JOIN df USING (term), c GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM s WHERE score > 0)"""
 
 
-def first_words(spark, folder):
-    text = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
-    return table(spark, folder, "benchmark").select("item_id", text.alias("text"))
-
-
 @query("bm25_topk", SQL_BM25 + " SELECT query, doc, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 3")
 def bm25_topk(spark, folder):
-    hits = S.bm25(table(spark, folder, "documents"), "doc_id", F.col("text"), first_words(spark, folder), "item_id", "text")
+    hits = S.bm25(table(spark, folder, "documents"), "doc_id", F.col("text"), table(spark, folder, "benchmark"), "item_id", "text")
     return hits.select("query", "doc", "rank", F.round("score", 6).alias("score"))
 
 
 @query("bm25_topk_pruned", SQL_BM25 + " SELECT query, doc, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 3")
 def bm25_topk_pruned(spark, folder):
-    hits = S.bm25(table(spark, folder, "documents"), "doc_id", F.col("text"), first_words(spark, folder), "item_id", "text", prune=True)
+    hits = S.bm25(table(spark, folder, "documents"), "doc_id", F.col("text"), table(spark, folder, "benchmark"), "item_id", "text", prune=True)
     return hits.select("query", "doc", "rank", F.round("score", 6).alias("score"))
 
 
@@ -161,27 +156,33 @@ def search_fields(spark, folder):
     return S.search_fields(parts, "p_partkey", ["p_name", "p_type"], ["p_name", "p_type"], asked, "p_brand", "q")
 
 
-def _domain_sql(name, source, key, text, words, k):
-    return f"""SELECT '{name}' AS domain, rank::INT AS rank, id AS doc FROM (
-  WITH d AS (SELECT {key} AS id, list_filter(string_split(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: length(w) >= 3) AS ws FROM {source}),
+def _domain_sql(name, source, key, text, extra, k):
+    words = WORDS.format(t=text)
+    return f"""SELECT '{name}' AS domain, query, rank::INT AS rank, id AS doc FROM (
+  WITH d AS (SELECT {key} AS id, {words} AS ws FROM {source}),
   c AS (SELECT count(*) AS n, sum(len(ws)) / count(*) AS mean FROM d),
   tf AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(ws) AS length, unnest(ws) AS term FROM d) GROUP BY ALL),
   df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-  s AS (SELECT id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS score
-        FROM tf JOIN df USING (term), c WHERE term IN ({words}) GROUP BY ALL)
-  SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= {k}"""
+  q AS (SELECT query, term, count(*) AS rep FROM (
+    SELECT o_orderpriority AS query, unnest({WORDS.format(t=f"o_orderpriority || ' {extra}'")}) AS term FROM (SELECT DISTINCT o_orderpriority FROM orders))
+    GROUP BY ALL),
+  s AS (SELECT query, id, sum(rep * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS score
+        FROM q JOIN tf USING (term) JOIN df USING (term), c GROUP BY ALL)
+  SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= {k}"""
 
 
-@query("multi_domain_search", _domain_sql("part", "part", "p_partkey", "p_name || ' ' || p_type", "'small', 'urgent', 'promo', 'ring'", 1)
-       + " UNION ALL " + _domain_sql("order", "orders", "o_orderkey", "o_orderpriority || ' ' || o_orderstatus", "'small', 'urgent'", 3))
+@query("multi_domain_search", _domain_sql("part", "part", "p_partkey", "(p_name || ' ' || p_type)", "promo ring", 1)
+       + " UNION ALL " + _domain_sql("order", "orders", "o_orderkey", "(o_orderpriority || ' ' || o_orderstatus)", "", 3))
 def multi_domain_search(spark, folder):
-    asked = table(spark, folder, "region").agg(F.count(F.lit(1)).alias("id")).withColumn("q", F.lit("small urgent"))
+    """Every order priority as a query, in parts (with that domain's priority words) and in orders."""
+    orders = table(spark, folder, "orders")
+    asked = orders.select(F.col("o_orderpriority").alias("id"), F.col("o_orderpriority").alias("q")).distinct()
     domains = {
         "part": {"table": table(spark, folder, "part"), "key": "p_partkey", "columns": ["p_name", "p_type"], "k": 1},
-        "order": {"table": table(spark, folder, "orders"), "key": "o_orderkey", "columns": ["o_orderpriority", "o_orderstatus"], "k": 3},
+        "order": {"table": orders, "key": "o_orderkey", "columns": ["o_orderpriority", "o_orderstatus"], "k": 3},
     }
     found = S.multi_search(domains, asked, "id", "q", {"part": ["promo", "ring", "unused"]})
-    return found.select("domain", "rank", "doc")
+    return found.select("domain", "query", "rank", "doc")
 
 
 # Keyword routing: a few domains with words that the invented prose and the part names hold.
