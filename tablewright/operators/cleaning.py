@@ -73,15 +73,15 @@ def prepare(df: DataFrame, spec: CleaningSpec | None) -> DataFrame:
     coded = {c: codes for c, codes in spec.missing_codes.items() if c in types}
     if coded:
         df = df.withColumns({
-            _plain(c): F.when(~V.is_code(q(c), types[c], codes), q(c)) for c, codes in coded.items()
+            c: F.when(~V.is_code(q(c), types[c], codes), q(c)) for c, codes in coded.items()
         })
     for new in spec.new_columns:
         if all(c in types for c in new.sources()):
-            df = df.withColumn(_plain(new.name), new.build(types))
+            df = df.withColumn(new.name, new.build(types))
             types[new.name] = T.DoubleType() if new.formula else T.StringType()
     labels = [c for c in spec.categorical if c in types]
     if labels:
-        df = df.withColumns({_plain(c): V.code_label(q(c), types[c]) for c in labels})
+        df = df.withColumns({c: V.code_label(q(c), types[c]) for c in labels})
         types.update({c: T.StringType() for c in labels})
     dates = {c: parts for c, parts in spec.date_parts.items() if c in types}
     if dates:
@@ -92,10 +92,6 @@ def prepare(df: DataFrame, spec: CleaningSpec | None) -> DataFrame:
     return df
 
 
-def _plain(name: str) -> str:
-    return name
-
-
 def merge_labels(df: DataFrame, target: str, merges: Mapping[str, Sequence[str]]) -> DataFrame:
     """Write the variants of a target label as the label itself (compared as trimmed text)."""
     label = q(target)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.kinds import as_text, columns_of, kind, q
+from tablewright.functions.kinds import as_text, columns_of, q
 from tablewright.operators.ordering import quantiles
 
 SUMMARY_SHARES = (0.25, 0.5, 0.75)
@@ -165,15 +165,3 @@ def class_counts(df: DataFrame, target: str, n: int = 20) -> DataFrame:
 
 def missing_per_column(df: DataFrame) -> DataFrame:
     return rows_per_column({c: {"missing": F.count_if(q(c).isNull())} for c in df.columns}, df)
-
-
-def run_eda(df: DataFrame, target: str) -> dict[str, DataFrame]:
-    """Every exploratory table that fits the target."""
-    numeric = kind(df.schema[target]) in ("numeric", "boolean")
-    tables = {"numeric_summary": numeric_summary(df), "missing_per_column": missing_per_column(df)}
-    if numeric:
-        tables["target_distribution"] = target_distribution(df, target)
-        tables["correlations"] = top_correlations(df, target)
-    else:
-        tables["target_distribution"] = class_counts(df, target)
-    return tables

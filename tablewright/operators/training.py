@@ -89,6 +89,8 @@ def sweep(df: DataFrame, target: str, task: str, candidates: Sequence[str] = ("b
     schema = "name string, status string, cv_mean double, cv_std double, reason string"
     table = spark.createDataFrame(log, schema)
     if not scores:
+        data.unpersist()
+        split.unpersist()
         raise TaskError("No model could be trained: " + "; ".join(f"{r[0]}: {r[4]}" for r in log))
     best = max(scores, key=lambda n: sum(scores[n]) / len(scores[n]))
     start = sum(scores[best]) / len(scores[best])
@@ -107,6 +109,7 @@ def sweep(df: DataFrame, target: str, task: str, candidates: Sequence[str] = ("b
         final, metric, round(found.score, 4), models.score(metric, scored(train)), models.score(metric, predictions),
         round(sums[1] if metric == "f1_macro" else sums[0], 4), table, found.table(spark), predictions)
     data.unpersist()
+    split.unpersist()
     return out
 
 

@@ -1,6 +1,5 @@
 """Model candidates: invariants on planted data, tuning rules, and round trips."""
 
-import math
 import random
 
 import numpy as np
