@@ -17,7 +17,7 @@ from tablewright.functions.hashing import digest
 from tablewright.functions.kinds import columns_of, is_integer, q
 from tablewright.operators import leakage, task as task_ops
 from tablewright.operators.profile import profile, rows_per_column
-from tablewright.session import settled, spread
+from tablewright.session import settled, spread, written
 
 # Fixed values.
 RARE_CLASS_ROWS = 10
@@ -119,14 +119,16 @@ def row_identifier(df: DataFrame, order: str, columns: Sequence[str] | None = No
     """Integer columns that rise (or fall) strictly from row to row in the order of a unique integer column.
 
     Strictly rising means unique, so no distinct count is needed. Rows are compared
-    inside ranges of the order column, which hold at most ``bucket`` rows because it
-    is unique; the ends of the ranges are compared in a table of one row per range.
+    inside ranges of about ``bucket`` rows by their place in the order, however sparse its
+    values are; the ends of the ranges are compared in a table of one row per range.
     """
     columns = list(columns or [c for c in df.columns if is_integer(df, c)])
     steps = Window.partitionBy("__range").orderBy("__order")
     keyed = df.select(
-        q(order).cast("bigint").alias("__order"), F.floor(q(order) / bucket).alias("__range"),
-        *[q(c).cast("bigint").alias(f"c{i}") for i, c in enumerate(columns)])
+        q(order).cast("bigint").alias("__order"), *[q(c).cast("bigint").alias(f"c{i}") for i, c in enumerate(columns)])
+    ranges = max(1, -(-keyed.count() // bucket))
+    # Written once: the range borders come from a sample and must not be drawn again.
+    keyed = written(keyed.repartitionByRange(ranges, "__order").withColumn("__range", F.spark_partition_id()), "ranges")
     change = keyed.select("__range", "__order", *[f"c{i}" for i in range(len(columns))], *[
         (F.col(f"c{i}") - F.lag(f"c{i}").over(steps)).alias(f"d{i}") for i in range(len(columns))])
     per_range = change.groupBy("__range").agg(F.count(F.lit(1)).alias("n"), *[

@@ -177,7 +177,9 @@ def rule_lookup(categories: DataFrame, rules: DataFrame, category: str, rule: st
     # Both tables enter several branches; each is computed once.
     wanted = checkpoint(categories.select(q(category).alias("category")).distinct().withColumn("c", F.lower("category")))
     known = checkpoint(rules.select(q(rule).alias("rule"), q(order).alias("at")).withColumn("r", F.lower("rule")))
-    names, needles = wanted.select("c").distinct(), known.select("r", "at", "rule")
+    # Of rules with one lower-case name only the first can win.
+    first = known.groupBy("r").agg(F.min(F.struct("at", "rule")).alias("best"))
+    names, needles = wanted.select("c").distinct(), first.select("r", "best.at", "best.rule")
     equal = names.join(needles, F.col("c") == F.col("r")).select("c", F.lit(1).alias("tier"), "at", "rule")
     inside = containing(names, needles, "c", "r").select("c", F.lit(2).alias("tier"), "at", "rule")
     around = containing(needles, names, "r", "c").select("c", F.lit(2).alias("tier"), "at", "rule")
