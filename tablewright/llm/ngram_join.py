@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.flat import shingle_sets
 from tablewright.llm.graph import components
+from tablewright.llm.joins import counted
 from tablewright.session import written
 
 WIDTH, THRESHOLD = 4, Fraction(85, 100)
@@ -210,7 +211,8 @@ def _survivors(docs: DataFrame, sets: DataFrame, text: str, key: str, width: int
     vertices = open_.groupBy("v").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("low").alias("low"))
     kept = vertices.join(shared, "v", "left").where(F.col("low") - F.coalesce("shared", F.lit(0)) <= slack)
     kept = written(kept.select(F.col("key").alias("__key")), "survivors")
-    texts = docs.join(kept, docs[key] == F.col("__key"), "left_semi").select(text)
+    # Texts stay where they are while the keys are few enough for every task.
+    texts = docs.join(counted(kept), docs[key] == F.col("__key"), "left_semi").select(text)
     return written(texts.mapInArrow(_sets(width), "v long, n long, grams array<bigint>").dropDuplicates(["v"]), "sets")
 
 
@@ -290,7 +292,10 @@ def link_components(
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The documents that stand for their component, and all rows with a null key."""
-    heads = link_components(docs, text, key, **options).where(F.col(key) == F.col("component_id"))
-    heads = written(heads.select(F.col(key).alias("__head")).distinct(), "heads")
-    return docs.join(heads, docs[key] == F.col("__head"), "left_semi").unionByName(docs.where(docs[key].isNull()))
+    """The documents that stand for their component, and all rows with a null key.
+
+    The keys of the others, which are few in most corpora, are joined back.
+    """
+    others = link_components(docs, text, key, **options).where(F.col(key) != F.col("component_id"))
+    others = written(others.select(F.col(key).alias("__gone")).distinct(), "others")
+    return docs.join(counted(others), docs[key] == F.col("__gone"), "left_anti")

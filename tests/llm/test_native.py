@@ -131,6 +131,9 @@ def test_exact(spark, make):
         assert {r["keep_id"] for r in group} == {best["doc_id"]}
         assert [r["doc_id"] for r in group if r["kept"]] == [best["doc_id"]]
         assert {r["group_size"] for r in group} == {len(group)}
+    left = exact.drop_copies(make(spark), capacity=16).collect()
+    plain = lambda r: (r["doc_id"], r["text"])
+    assert Counter(map(plain, left)) == Counter(map(plain, (r for r in rows if r["kept"])))
     assert exact.drop_copies(make(spark).limit(0)).collect() == []
 
 
