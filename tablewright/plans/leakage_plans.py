@@ -18,12 +18,12 @@ def _quantile_bin(c: str) -> str:
 
 def _edges(columns) -> str:
     return ", ".join(
-        f"list_distinct(quantile_cont({c}::DOUBLE, {QUARTERS})) AS e_{c}, min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in columns)
+        f"list_distinct(quantile_cont({c}::DOUBLE, {QUARTERS})) AS e_{c}, min({c}) AS lo_{c}, max({c}) AS hi_{c}, count(DISTINCT {c}) AS d_{c}" for c in columns)
 
 
 def _cells(source: str, y: str, by_quantile: list[str], by_value: list[str]) -> str:
     """Common table expressions: ``long(column, bin, fold, y)`` for every row and feature."""
-    parts = [f"SELECT '{c}' AS c, CASE WHEN {c} IS NULL THEN '__missing__' ELSE {_quantile_bin(c)} END AS bin, fold, y FROM src, edges"
+    parts = [f"SELECT '{c}' AS c, CASE WHEN {c} IS NULL THEN '__missing__' WHEN d_{c} <= 16 THEN {c}::VARCHAR ELSE {_quantile_bin(c)} END AS bin, fold, y FROM src, edges"
              for c in by_quantile]
     for c in by_value:
         parts.append(f"""SELECT '{c}', CASE WHEN {c} IS NULL THEN '__missing__'
@@ -76,11 +76,11 @@ scores AS (SELECT c, sum(n)::BIGINT AS rows,
 
 
 @query("feature_scores_reg", _value_scores(SQL_LINE_NET, "l_extendedprice", *VALUE_FEATURES)
-       + ' SELECT c AS "column", rows, round(score, 4) AS score FROM scores')
+       + ' SELECT c AS "column", rows, round(score, 6) AS score FROM scores')
 def feature_scores_reg(spark, folder):
     features = VALUE_FEATURES[0] + VALUE_FEATURES[1]
     scores = L.regression_scores(line_net(spark, folder), "l_extendedprice", features, LINE_KEY)
-    return scores.select("column", "rows", F.round("score", 4).alias("score"))
+    return scores.select("column", "rows", F.round("score", 6).alias("score"))
 
 
 @query("quantile_bins", f"""
@@ -178,7 +178,7 @@ def formula_leak(spark, folder):
 
 @query("critical_findings", _class_scores(SQL_LINE_TOTAL, "late", *CLASS_FEATURES) + """
 SELECT 'leakage_suspect' AS "check", c AS "column", round(score, 4) AS value FROM scores WHERE score >= 0.98
-UNION ALL SELECT 'leakage_formula', NULL, 1.0::DOUBLE""")
+UNION ALL SELECT 'leakage_formula', NULL, 1.0::DOUBLE FROM scores WHERE c = 'total' AND score >= 0.98""")
 def critical_findings(spark, folder):
     """The audit with its leak checks: the column that decides the class, and the planted sum behind that column."""
     found = A.audit(line_total(spark, folder), "late", "classification", LINE_KEY)
