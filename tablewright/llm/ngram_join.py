@@ -30,7 +30,7 @@ WIDTH, THRESHOLD = 4, Fraction(85, 100)
 LOW_BITS = 2  # the filter looks at hashes whose first two bits are 0
 FRAGMENTS = 4
 ENTRIES_PER_FRAGMENT = 1_000_000  # of the filter
-ENTRIES_PER_FLUSH = 6_000_000
+ENTRIES_PER_FLUSH = 1_000_000  # some 100 MB in a worker while they are sorted
 BLOCK = 1024  # sets compared with as many others in one task
 COLUMNS = 1024  # n-grams per fragment inside such a task
 
