@@ -7,6 +7,7 @@ No SQL states the whole: the tests hold each stage against a plain version on th
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tablewright.llm import exact, language, mixing, ngram_join, packing
 from tablewright.session import written
 
 LEAST_SCORE = 0.35  # of the best language; below it no language is recognised
+NEAR_WIDTH, NEAR_THRESHOLD = 5, Fraction(4, 5)  # words of an n-gram, and the Jaccard similarity of near copies
 
 ORACLE_SQL: str | None = None
 
@@ -32,7 +34,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every component of near copies."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, width=NEAR_WIDTH, threshold=NEAR_THRESHOLD)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
