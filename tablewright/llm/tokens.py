@@ -25,7 +25,7 @@ def _byte_letters() -> dict[str, int]:
 
 @lru_cache(maxsize=4)
 def encoding(path: str) -> tiktoken.Encoding:
-    """The vocabulary of a ``tokenizers`` file in the faster library; ids are the same (tested), strings of special tokens are text.
+    """The vocabulary of a ``tokenizers`` file in the faster library; ids are the same (tested), and so is the split at the file's added tokens.
 
     Ids rise with the merges, so an id is its rank.
     """
@@ -33,10 +33,10 @@ def encoding(path: str) -> tiktoken.Encoding:
     letters = _byte_letters()
     with open(path, encoding="utf-8") as file:
         stored = json.load(file)
-    special = {t["content"] for t in stored.get("added_tokens", [])}
-    ranks = {bytes(letters[c] for c in token): rank for token, rank in stored["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in stored.get("added_tokens", [])}
+    ranks = {bytes(letters[c] for c in token): rank for token, rank in stored["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def ids_of(text: str, path: str) -> np.ndarray:
-    return encoding(path).encode_to_numpy(text, disallowed_special=())
+    return encoding(path).encode_to_numpy(text, allowed_special="all")
