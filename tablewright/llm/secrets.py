@@ -23,7 +23,7 @@ _KEYWORDS = re.compile(rb"password|passwd|secret|token|api_?key")
 
 OUTSIDE, BEGIN, INSIDE = range(3)
 SEGMENT = 64  # tokens of a training sequence
-SAMPLE_ROWS = 20_000  # documents looked at for training
+SAMPLE_ROWS = 20_000  # documents looked at for training sequences without a secret
 SEGMENTS = 1_000  # training sequences with a secret; three times as many without
 EPOCHS, RATE, DROPOUT = 40, 0.08, 0.25
 _NEVER = -1e4
@@ -221,55 +221,74 @@ def viterbi(field: Field, scores: np.ndarray, line: np.ndarray) -> np.ndarray:
     return tags
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training sequences: pieces of lines with tags from the fixed patterns; all with a secret, few of the others."""
-    for batch in batches:
-        rows = []
-        for row, _, data, edges in chunks(batch.column(1)):
-            tokens, tags = tokenize(data, edges), None
-            if not len(tokens.start):
+def _pieces(data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, bool, bytes, bytes]]:
+    """Pieces of lines with tags from the fixed patterns: hash, whether a secret is in it, features and tags."""
+    tokens = tokenize(data, edges)
+    if not len(tokens.start):
+        return
+    tags = np.zeros(len(tokens.start), np.int8)
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    for t in suspects(data, edges).tolist():
+        base = int(np.searchsorted(lead, edges[t]))
+        places = np.append(lead[base:], edges[-1])
+        for a, b in _value_spans(data[edges[t]:edges[t + 1]].tobytes().decode()):
+            hit = np.flatnonzero((tokens.start < places[b]) & (tokens.stop > places[a]))
+            tags[hit] = INSIDE
+            tags[hit[:1]] = BEGIN
+    place = np.arange(len(tags)) - np.searchsorted(tokens.line, tokens.line)
+    cut = np.flatnonzero((place % SEGMENT == 0))
+    for a, b in zip(cut.tolist(), np.append(cut[1:], len(tags)).tolist()):
+        order = int(range_hash(rolling(data[tokens.start[a]:tokens.stop[b - 1]]), np.array([0]),
+                               np.array([tokens.stop[b - 1] - tokens.start[a]]))[0] >> np.uint64(2))
+        own = tags[a:b].copy()
+        own[:1] = np.where(own[:1] == INSIDE, BEGIN, own[:1])
+        yield order, bool(own.any()), tokens.features[a:b].astype(np.int32).tobytes(), own.tobytes()
+
+
+def _segments(secret: bool, most: int):
+    """Training sequences of one sort: all with a secret, or few of the others. A task gives its first ``most`` by hash."""
+    def texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, _, data, edges in chunks(batch.column(1)):
+            if not secret:
+                yield data, edges
                 continue
-            tags = np.zeros(len(tokens.start), np.int8)
-            lead = np.flatnonzero((data & 0xC0) != 0x80)
             for t in suspects(data, edges).tolist():
-                base = int(np.searchsorted(lead, edges[t]))
-                places = np.append(lead[base:], edges[-1])
-                for a, b in _value_spans(data[edges[t]:edges[t + 1]].tobytes().decode()):
-                    hit = np.flatnonzero((tokens.start < places[b]) & (tokens.stop > places[a]))
-                    tags[hit] = INSIDE
-                    tags[hit[:1]] = BEGIN
-            place = np.arange(len(tags)) - np.searchsorted(tokens.line, tokens.line)
-            cut = np.flatnonzero((place % SEGMENT == 0))
-            for a, b in zip(cut.tolist(), np.append(cut[1:], len(tags)).tolist()):
-                secret = bool(tags[a:b].any())
-                order = int(range_hash(rolling(data[tokens.start[a]:tokens.stop[b - 1]]), np.array([0]),
-                                       np.array([tokens.stop[b - 1] - tokens.start[a]]))[0] >> np.uint64(2))
-                if secret or order % 16 == 0:
-                    own = tags[a:b].copy()
-                    own[:1] = np.where(own[:1] == INSIDE, BEGIN, own[:1])
-                    rows.append((order, secret, tokens.features[a:b].astype(np.int32).tobytes(), own.tobytes()))
-        columns = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()),
-                                          pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
-                                         ["order", "secret", "features", "tags"])
+                own = data[edges[t]:edges[t + 1]]
+                if _value_spans(own.tobytes().decode()):
+                    yield own, np.array([0, len(own)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple[bytes, bytes]] = {}
+        for batch in batches:
+            for data, edges in texts(batch):
+                for order, found, features, tags in _pieces(data, edges):
+                    if found == secret and (secret or order % 16 == 0):
+                        kept.setdefault(order, (features, tags))
+                if len(kept) > 2 * most:
+                    kept = {o: kept[o] for o in sorted(kept)[:most]}
+        orders = sorted(kept)[:most]
+        yield pa.RecordBatch.from_arrays([pa.array(orders, pa.int64()), *(pa.array([kept[o][k] for o in orders], pa.binary()) for k in (0, 1))],
+                                         ["order", "features", "tags"])
+    return run
 
 
 def learn(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS, segments: int = SEGMENTS) -> Field | None:
     """A field fitted on at most ``segments`` sequences with a secret and three times as many without.
 
-    They come from about ``rows`` documents that a hash of the key picks; tags come from the fixed
-    patterns. None if the picked documents have no match.
+    Those with a secret are the first by hash over all documents, so rare ones are found too; the others
+    come from about ``rows`` documents that a hash of the key picks. Tags come from the fixed patterns.
+    None if no document has a match.
     """
+    def first(some: DataFrame, secret: bool, most: int) -> list:
+        found = some.select(key, text).mapInArrow(_segments(secret, most), "order long, features binary, tags binary")
+        return found.dropDuplicates(["order"]).orderBy("order").limit(most).collect()
+
+    taken = first(docs, True, segments)
+    if not taken:
+        return None
     total = docs.count()
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("secrets:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("bigint")
-    picked = docs.where(draw < 2 ** 32 * min(1.0, rows / max(total, 1))).select(key, text)
-    found = picked.mapInArrow(_segments, "order long, secret boolean, features binary, tags binary")
-    taken = []
-    for secret, most in ((True, segments), (False, 3 * segments)):
-        some = found.where(F.col("secret") == secret).dropDuplicates(["order"])
-        taken += some.orderBy("order").limit(most).collect()
-    if not any(r["secret"] for r in taken):
-        return None
+    taken += first(docs.where(draw < 2 ** 32 * min(1.0, rows / max(total, 1))), False, 3 * segments)
     features = np.zeros((len(taken), SEGMENT, len(_BASES) - 1), np.int64)
     tags, lengths = np.zeros((len(taken), SEGMENT), np.int64), np.zeros(len(taken), np.int64)
     for i, r in enumerate(taken):
