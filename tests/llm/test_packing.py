@@ -16,9 +16,7 @@ ROWS = [(1, None), (2, ""), (3, "<|endoftext|> is text"), (None, "a b"), (None,
 
 
 def tokenizer():
-    out = Tokenizer.from_file(vocabulary_path())
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(vocabulary_path())
 
 
 def whole(spark):
