@@ -35,7 +35,6 @@ LEAST_DOCUMENTS = 2
 SHARD_KEYS = 500_000  # distinct lines of a shard, on average
 PROBES_PER_TASK = 1_000_000
 ENTRIES_PER_FLUSH = 1_000_000
-BROADCAST_LINES = 500_000  # lines lost, at 16 bytes, up to which the lists go to every task
 NULL_KEY = np.int64(2 ** 63 - 1)  # a null key is larger than all others
 GAMMA = 1.5  # bits per key of a level
 _U = np.uint64
@@ -294,8 +293,7 @@ def _cut(with_text: bool):
 
 
 def drop_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", shard_keys: int = SHARD_KEYS,
-                        probes_per_task: int = PROBES_PER_TASK, broadcast_lines: int = BROADCAST_LINES,
-                        with_text: bool = False) -> DataFrame:
+                        probes_per_task: int = PROBES_PER_TASK, with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: its key, ``n_lines``, ``n_dropped``, ``kept_sha256``, and ``kept_text`` if asked for.
 
     Lines are compared without white space at their ends and with A-Z lowered, if 10 code points are
@@ -314,9 +312,7 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id"
     asked = salted.mapInArrow(_probes(shards, parts), "shard int, part int, data binary")
     answers = asked.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(_answer, "key long, salt long, gone binary")
     lost = written(answers.where(F.length("gone") > 0), "lost-lines")
-    size = lost.agg(F.coalesce(F.sum(F.length("gone")) / 16 + F.count("*"), F.lit(0))).first()[0]
-    lists = lost.groupBy(F.col("key").alias("k"), F.col("salt").alias("s")).agg(F.collect_list("gone").alias("gone"))
-    lists = F.broadcast(lists) if size <= broadcast_lines else lists.hint("shuffle_hash")
+    lists = lost.groupBy(F.col("key").alias("k"), F.col("salt").alias("s")).agg(F.collect_list("gone").alias("gone")).hint("shuffle_hash")
     ordered = F.coalesce("key", F.lit(int(NULL_KEY)))
     met = salted.join(lists, (ordered == F.col("k")) & (F.col("salt") == F.col("s")), "left").select("key", "text", "gone")
     cut = met.mapInArrow(_cut(with_text), "key long, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -70,8 +70,8 @@ def test_planted_lines(spark, seed):
     frame = frame.selectExpr("*", "1 AS shard", "2 AS key", "3 AS gone", "4 AS n_lines")
     want = check(frame)
     assert any(r[2] for r in want)
-    # Many shards, probes of each dealt over tasks, lists joined by a shuffle.
-    check(frame, shard_keys=40, probes_per_task=5, broadcast_lines=0)
+    # Many shards, and probes of each dealt over tasks.
+    check(frame, shard_keys=60, probes_per_task=20)
 
 
 def test_whole_table(spark):
