@@ -40,8 +40,9 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not re.fullmatch(r"local(\[.*\])?", master):
         raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tablewright-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    # The key cannot be set in a running session, so the context keeps the folder.
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -59,6 +60,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def dropped(df: DataFrame) -> None:
+    """Remove a table of :func:`written` that nothing will read again."""
+    context = df.sparkSession.sparkContext
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A result of a few rows (one per column or class), computed once and held as a local table.
 

@@ -16,13 +16,13 @@ from tablewright.sources.normalize import IngestError
 
 # Fixed values.
 DELIMITERS = (",", ";", "\t", "|")
-SNIFF_CHARS = 64 * 1024
+SNIFF_CHARS = 64 * 1024  # of the text that the delimiter is sniffed from
 # The bytes 0x80 to 0x9f of the Windows code page 1252, in order; the five it leaves undefined are 81 8d 8f 90 9d.
 CP1252_BYTES = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
 CP1252_CHARS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 CP1252_UNDEFINED = "[\u0081\u008d\u008f\u0090\u009d]"
 
-HEAD_LINES = 1_000  # lines of a file that may be looked at for its delimiter; SNIFF_CHARS is the real bound
+HEAD_LINES = 1_000  # lines of a file that its delimiter may be sniffed from
 MOST_DIALECTS = 200
 
 
@@ -32,7 +32,7 @@ class Dialect:
     delimiter: str
     encoding: str
     header: tuple[str, ...]
-    broken: bool  # a quoted field may hold a line break, so that files can't be split
+    broken: bool  # a quoted field may hold a line break, so that lines are no records
     files: tuple[str, ...]
 
 
@@ -68,15 +68,15 @@ def _records(lines: Sequence[str]) -> list[str]:
 
 def _look(delimiter: str | None):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("at")
-        room, lines = SNIFF_CHARS, []
-        for line in group["raw"]:
+        records = [r for r in _records(group.sort_values("at")["raw"].tolist()) if r.strip()]
+        room, sniffed = SNIFF_CHARS, []
+        for record in records:
             if room <= 0:
                 break
-            lines.append(line[:room])
-            room -= len(line)
-        records = [r for r in _records(lines) if r.strip()]
-        found = delimiter or sniff_delimiter([r.replace("\n", " ") for r in records])
+            sniffed.append(record[:room].replace("\n", " "))
+            room -= len(record)
+        found = delimiter or sniff_delimiter(sniffed)
+        # The first record is read whole, however wide the table is.
         names = next(csv.reader(io.StringIO(records[0]), delimiter=found), []) if records else []
         return pd.DataFrame({"file": [group["file"].iloc[0]], "delimiter": [found], "header": [names]})
     return run
@@ -101,9 +101,14 @@ def dialects(spark: SparkSession, paths, delimiter: str | None = None) -> list[D
         F.count_if(F.col("raw").rlike(CP1252_UNDEFINED)).alias("undefined"),
         F.count_if((F.length("raw") - F.length(F.replace("raw", F.lit('"'), F.lit("")))) % 2 == 1).alias("open"))
     heads = lines.where("block = 0").withColumn("at", F.monotonically_increasing_id())
-    first = F.row_number().over(Window.partitionBy("file").orderBy("at"))
-    heads = heads.withColumn("n", first).where(F.col("n") <= HEAD_LINES)
-    heads = heads.select("file", "at", F.substring("raw", 1, SNIFF_CHARS).alias("raw"))
+    # Whole lines as far as the sniffed text goes, and on while a quote that the first record opened is not closed.
+    quotes = F.length("raw") - F.length(F.replace("raw", F.lit('"'), F.lit("")))
+    in_file = Window.partitionBy("file").orderBy("at")
+    heads = heads.withColumns({"n": F.row_number().over(in_file), "upto": F.sum(F.length("raw")).over(in_file), "quotes": F.sum(quotes).over(in_file)})
+    closed = F.coalesce(F.max(((F.col("quotes") % 2 == 0) & (F.col("upto") > 0)).cast("int")).over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    heads = heads.withColumn("closed", closed)
+    sniffed = (F.col("n") <= HEAD_LINES) & (F.col("upto") - F.length("raw") < SNIFF_CHARS)
+    heads = heads.where(sniffed | ~F.col("closed")).select("file", "at", "raw")
     looked = heads.groupBy("file").applyInPandas(_look(delimiter), "file string, delimiter string, header array<string>")
     groups: dict[tuple, list[str]] = {}
     for r in tested.join(looked, "file").collect():

@@ -97,7 +97,7 @@ def normalize(df: DataFrame) -> Ingested:
     names, notes = repair_names(df.columns)
     df, stored = storable(flatten(df.toDF(*names)))
     if not df.columns:
-        raise IngestError("The file contains no data rows.")
+        raise IngestError("No row of the file holds a value.")
     gaps = F.count_if(~_any_value(df)).alias("blank")
     seen = df.agg(F.count(F.lit(1)).alias("rows"), gaps, *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
     void = [c for i, c in enumerate(df.columns) if seen[f"n{i}"] == 0]
@@ -106,7 +106,7 @@ def normalize(df: DataFrame) -> Ingested:
     if seen["blank"]:
         notes.append(("dropped", None, f"{seen['blank']} completely empty row(s)"))
     if not kept or seen["rows"] == seen["blank"]:
-        raise IngestError("The file contains no data rows.")
+        raise IngestError("No row of the file holds a value.")
     table = df.select(*[q(c) for c in kept])
     if seen["blank"]:
         table = table.filter(_any_value(table))

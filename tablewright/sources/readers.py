@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from pathlib import PurePosixPath
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 
 from tablewright.functions import values as V
 from tablewright.functions.kinds import q
+from tablewright.session import shared_folder
+from tablewright.sources.borders import JsonList, QuotedText, records
 from tablewright.sources.dialects import CP1252_BYTES, CP1252_CHARS, Dialect, dialects
 from tablewright.sources.normalize import REPORT, IngestError, Ingested, blank_tokens, flatten, normalize
 
@@ -22,6 +25,7 @@ FORMATS = {"csv": "delimited", "tsv": "delimited", "txt": "delimited", "parquet"
 TRUE_FALSE = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 HASHED_BYTES = 1 << 30  # larger files are known by their length and time of change
+MOST_FIELDS = 20_480  # of a record, or twice those of the header
 _WHOLE_LINE = "__line"
 
 
@@ -82,10 +86,20 @@ def _text_columns(spark: SparkSession, found: Sequence[Dialect]) -> DataFrame:
     for d in found:
         names = [f"c{i}" for i in range(len(d.header))]
         schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _WHOLE_LINE)])
-        # All fields of a line are looked at, or surplus ones would not show.
-        rows = spark.read.schema(schema).option("columnPruning", False).csv(
-            list(d.files), sep=d.delimiter, quote='"', escape='"', multiLine=d.broken, header=True, enforceSchema=True,
-            encoding="UTF-8" if d.encoding == "utf-8" else "ISO-8859-1", columnNameOfCorruptRecord=_WHOLE_LINE)
+        charset = "UTF-8" if d.encoding == "utf-8" else "ISO-8859-1"
+        options = {"sep": d.delimiter, "quote": '"', "escape": '"', "columnNameOfCorruptRecord": _WHOLE_LINE,
+                   "maxColumns": str(max(MOST_FIELDS, 2 * len(names)))}
+        if d.broken:
+            found_records, ends, _ = records(spark, list(d.files), QuotedText(d.delimiter))
+            unclosed = [PurePosixPath(f).name for f, open_ in ends.items() if open_]
+            if unclosed:
+                raise IngestError(f"A quoted field is never closed in {', '.join(sorted(unclosed)[:5])}.")
+            line = F.rtrim(F.decode("record", charset), F.lit("\r\n"))
+            rows = found_records.where(~F.col("head")).select(F.from_csv(line, schema.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
+        else:
+            # All fields of a line are looked at, or surplus ones would not show.
+            rows = spark.read.schema(schema).options(**options).option("columnPruning", False).csv(
+                list(d.files), header=True, enforceSchema=True, encoding=charset)
         # Spark marks lines with too few fields as well; those only have gaps at their end.
         bare = F.regexp_replace(_WHOLE_LINE, '"[^"]*"', "")
         fields = F.length(bare) - F.length(F.replace(bare, F.lit(d.delimiter), F.lit(""))) + 1
@@ -142,25 +156,47 @@ def _first_character(spark: SparkSession, path: str) -> str:
     return row[0]["v"][0] if row else ""
 
 
+def _listed_records(spark: SparkSession, path: str) -> DataFrame | None:
+    """The records of documents that are lists of objects, cut by many tasks and parsed as lines; None for any other list."""
+    found, ends, stray = records(spark, path, JsonList())
+    if stray or any(state != (False, -1) for state in ends.values()):
+        return None
+    # Outside strings a line break is white space, and inside them it is written otherwise.
+    one_line = F.translate(F.col("record").cast("string"), "\r\n", "  ")
+    rows = found.withColumn("value", F.ltrim(one_line, F.when(F.col("head"), "[, \t").otherwise(", \t")))
+    seen = rows.agg(F.count("*").alias("n"), F.count_if(~F.col("value").startswith("{")).alias("other")).first()
+    if not seen["n"] or seen["other"]:
+        return None
+    parts = [c for c in found.columns if c not in ("file", "head", "record")]
+    folder = f"{shared_folder(spark).rstrip('/')}/json-records-{uuid.uuid4().hex}"
+    rows.select("value", *[q(c) for c in parts]).write.partitionBy(*parts).text(folder)
+    return spark.read.json(folder)
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A list of records; an object that holds one list of records; or an object of columns.
 
-    The format makes a file one value, so one task reads it whole: large tables belong in JSON Lines,
-    or in many files.
+    A list of objects is read by many tasks, whatever the size of its file. An object is one value of the
+    format, so one task reads it whole: large tables belong in lists or in JSON Lines.
     """
     start = _first_character(spark, path)
     if start not in ("[", "{"):
-        raise IngestError("JSON must be a list of records or an object of columns.")
+        raise IngestError("A JSON table is written as a list of objects, or as an object of lists.")
+    listed = _listed_records(spark, path) if start == "[" else None
+    if listed is not None:
+        if "_corrupt_record" in listed.columns:
+            raise IngestError("A record of the JSON list is malformed.")
+        return listed
     df = spark.read.json(path, multiLine=True)
     if "_corrupt_record" in df.columns:
-        raise IngestError("Could not parse the file as JSON.")
+        raise IngestError("The JSON text is malformed.")
     if start == "[":
         return df
     arrays = [f for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     if len(arrays) == 1 and isinstance(arrays[0].dataType.elementType, T.StructType):
         return df.select(F.inline(q(arrays[0].name)))
     if not arrays:
-        raise IngestError("JSON must be a list of records or an object of columns.")
+        raise IngestError("A JSON table is written as a list of objects, or as an object of lists.")
     uneven = df.filter(F.size(F.array_distinct(F.array(*[F.size(q(f.name)) for f in arrays]))) > 1)
     if not uneven.isEmpty():
         raise IngestError("The columns of the JSON object have different lengths.")
@@ -188,7 +224,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> tuple[
             return flatten(read_json(spark, path)), []
         return read_delimited(spark, path, extension)
     except AnalysisException as error:
-        raise IngestError(f"Could not parse the file as {extension.upper()}: {str(error)[:200]}") from error
+        raise IngestError(f"Reading {extension} failed: {str(error)[:200]}") from error
 
 
 def ingest(spark: SparkSession, path: str, destination: str | None = None, fmt: str | None = None) -> Ingested:
