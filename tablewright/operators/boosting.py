@@ -21,8 +21,9 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import q
@@ -155,7 +156,7 @@ class Ensemble:
 def _binned(x: np.ndarray, edges: Sequence[Sequence[float]]) -> np.ndarray:
     """The number of borders below each value."""
     out = np.zeros(x.shape, np.uint8)
-    for f, border in enumerate(edges):
+    for f, border in zip(range(x.shape[1]), edges):  # features beyond a row's are constant and never split
         out[:, f] = np.searchsorted(np.asarray(border), x[:, f], side="left")
     return out
 
@@ -324,8 +325,8 @@ def _ask(blocks: DataFrame, questions: Mapping[int, _Question], settings: Settin
 
     found = blocks.mapInArrow(run, "model int, slot int, feature int, bin int, g double, h double, n double")
     found = found.groupBy("model", "slot", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
-    table = found.toArrow()  # as large as the nodes asked for: leaves x features x bins
-    column = {c: table.column(c).to_numpy() for c in table.column_names}
+    rows = found.collect()  # as many as the nodes asked for have cells: nodes x features x bins
+    column = {c: np.array([r[i] for r in rows]) for i, c in enumerate(found.columns)}
     sums = {m: np.zeros((len(question.nodes), width, BINS, 3)) for m, question in questions.items()}
     losses = {}
     for m in questions:
@@ -355,7 +356,8 @@ class Split:
     feature: int
     cut: int
     gain: float
-    left_rows: float
+    left: np.ndarray  # sums of the rows that go left: gradients, second derivatives, rows
+    right: np.ndarray
 
 
 def best_split(sums: np.ndarray, settings: Settings, features: Sequence[int]) -> Split | None:
@@ -374,7 +376,7 @@ def best_split(sums: np.ndarray, settings: Settings, features: Sequence[int]) ->
     if not best > 1e-9 * max(1.0, float(worth(total))):
         return None
     f, b = np.argwhere(gain >= best - 1e-9 * abs(best))[0]
-    return Split(int(features[f]), int(b), float(gain[f, b]), float(left[f, b, 2]))
+    return Split(int(features[f]), int(b), float(gain[f, b]), left[f, b], right[f, b])
 
 
 class _Growth:
@@ -402,11 +404,15 @@ class _Growth:
                 out.append(node)
                 continue
             split = self.splits[parent]
-            small_left = split.left_rows * 2 <= self.sums[parent][self.features[0], :, 2].sum()
-            if (node == self.tree.left[parent]) == small_left:
+            if (node == self.tree.left[parent]) == (split.left[2] <= split.right[2]):
                 out.append(node)
         return out
 
+    def _weigh(self, node: int, sums: np.ndarray) -> None:
+        g, h, n = sums.tolist()
+        self.tree.value[node] = -self.settings.learning_rate * g / max(h + self.settings.penalty, 1e-300)
+        self.tree.rows[node] = round(n)
+
     def take(self, nodes: Sequence[int], sums: np.ndarray) -> None:
         self.sums.update(zip(nodes, sums))
         for node in nodes:
@@ -416,11 +422,9 @@ class _Growth:
                 self.sums[other] = self.sums[parent] - self.sums[node]
                 self.sums[other][self.sums[other][..., 2] < 0.5] = 0.0
         for node in self.waiting:
-            g, h, n = self.sums[node][self.features[0]].sum(0)
-            self.tree.value[node] = -self.settings.learning_rate * g / max(h + self.settings.penalty, 1e-300)
-            self.tree.rows[node] = round(float(n))
-            deep = self.depth[node] >= self.settings.depth
-            self.splits[node] = None if deep else best_split(self.sums[node], self.settings, self.features)
+            if self.parent[node] < 0:
+                self._weigh(node, self.sums[node][self.features[0]].sum(0))
+            self.splits[node] = best_split(self.sums[node], self.settings, self.features)
         ready, self.waiting = self.waiting, []
         if self.settings.leaves is None:
             self._next_level(ready)
@@ -429,16 +433,20 @@ class _Growth:
 
     def _open(self, node: int) -> None:
         split = self.splits[node]
-        for child in self.tree.split(node, split.feature, split.cut, split.gain):
+        for child, sums in zip(self.tree.split(node, split.feature, split.cut, split.gain), (split.left, split.right)):
             self.depth[child], self.parent[child] = self.depth[node] + 1, node
-            self.waiting.append(child)
+            self._weigh(child, sums)
+            # Leaves of the last depth are never split, and their sums are known from the split above them.
+            if self.depth[child] < self.settings.depth:
+                self.waiting.append(child)
+            else:
+                self.splits[child] = None
 
     def _next_level(self, ready: Sequence[int]) -> None:
         for node in ready:
             if self.splits[node] is not None:
                 self.kept.add(node)
                 self._open(node)
-        # At the last depth nothing is split any more, and the sums of leaves follow from their parents'.
         self.done = not self.waiting
 
     def _best_first(self, ready: Sequence[int]) -> None:
@@ -447,10 +455,12 @@ class _Growth:
                 heapq.heappush(self.heap, (-self.splits[node].gain, node))
         while self.heap and len(self.kept) + 1 < self.settings.leaves:
             node = self.heap[0][1]
-            if self.tree.left[node] and self.tree.left[node] not in self.splits:
-                break  # its children are being counted
             if not self.tree.left[node]:
-                break  # its children are asked for below
+                if len(self.kept) + 2 < self.settings.leaves:
+                    break  # its children may be split, and are asked for below
+                self._open(node)  # the last split: its children stay leaves
+                self.waiting = []
+                self.splits.update({self.tree.left[node]: None, self.tree.right[node]: None})
             heapq.heappop(self.heap)
             self.kept.add(node)
             for child in (self.tree.left[node], self.tree.right[node]):
@@ -545,25 +555,17 @@ def boost(rows: DataFrame, width: int, settings: Settings, trees: int | Mapping[
     return out
 
 
-def predict(rows: DataFrame, features: str, models: Sequence[Ensemble], name: str = "raw") -> DataFrame:
-    """``rows`` with the raw score of every model, as an array; ``features`` is an array of numbers."""
-    shared = rows.sparkSession.sparkContext.broadcast(list(models))
-    kinds = ", ".join(f"{q_name(f.name)} {f.dataType.simpleString()}" for f in rows.schema.fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(features).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            raw = np.stack([m.raw(x) for m in shared.value], 1)
-            offsets = pa.array(np.arange(batch.num_rows + 1) * raw.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(raw.reshape(-1)))], [*batch.schema.names, name])
-    return rows.mapInArrow(run, f"{kinds}, {name} array<double>")
-
+def raw_scores(features: Column, models: Sequence[Ensemble], spark: SparkSession) -> Column:
+    """The raw score of every model, as an array; ``features`` is an array of numbers."""
+    shared = spark.sparkContext.broadcast(list(models))
 
-def q_name(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    @F.pandas_udf("array<double>")
+    def scored(x: pd.Series) -> pd.Series:
+        rows = np.stack(x.to_list())
+        return pd.Series(list(np.stack([m.raw(rows) for m in shared.value], 1)))
+    return scored(features)
 
 
-def features_array(df: DataFrame, columns: Sequence[str]) -> Column:
+def features_array(columns: Sequence[str]) -> Column:
     """Numeric columns as the array that trees read."""
     return F.array(*[q(c).cast("double") for c in columns])

@@ -1,9 +1,8 @@
 """Model candidates on Spark ML, their cross-validation, and the feature-blind baseline.
 
-The families follow the tabular line-up: depth-wise boosted trees, a second tree
-family (a random forest, as Spark ML grows trees level by level only), boosted trees
-on coded categories, a kernel machine (random Fourier features under a linear model,
-after Rahimi and Recht 2007), nearest neighbours, and a linear model.
+The families follow the tabular line-up: boosted trees grown level by level, boosted trees grown best leaf
+first, boosted trees on coded categories, a kernel machine (random Fourier features under a linear model,
+after Rahimi and Recht 2007), nearest neighbours, and a linear model; a random forest can be asked for besides.
 """
 
 from __future__ import annotations
@@ -13,46 +12,48 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel,
-    OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier,
+    LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel,
+    RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import (
-    GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressionModel,
-    RandomForestRegressor,
-)
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.hashing import default_key, digest
-from tablewright.functions.kinds import q
+from tablewright.functions.kinds import columns_of, q
+from tablewright.operators import boosting, neighbours
 from tablewright.operators import metrics as M
-from tablewright.operators import neighbours
 from tablewright.operators.features import Encoder
+from tablewright.operators.ordered import TargetCodes, ordered_codes
 from tablewright.operators.sampling import SEED, class_table, early_stopping_slice, uniform_sample, with_class_weights
+from tablewright.session import dropped, written
 
 # Default settings.
 DEFAULTS: dict[str, dict[str, object]] = {
     "boosted": {"learning_rate": 0.05, "max_depth": 6, "subsample": 0.9, "column_share": 0.9},
+    "leafwise": {"learning_rate": 0.05, "max_leaves": 31, "subsample": 0.9, "column_share": 0.9},
     "forest": {"max_depth": 8, "subsample": 0.9, "column_share": 0.9},
     "boosted_codes": {"learning_rate": 0.05, "max_depth": 6},
     "kernel": {"C": 1.0, "gamma": "scale"},
     "neighbours": {"n_neighbors": 15, "weights": "distance"},
     "linear": {"strength": 1.0},
 }
-STYLE = {"boosted": "tree", "forest": "tree", "boosted_codes": "ordinal",
+STYLE = {"boosted": "tree", "leafwise": "tree", "forest": "tree", "boosted_codes": "ordinal",
          "kernel": "scaled", "neighbours": "scaled", "linear": "scaled"}
-GROUPS = (("boosted", "forest", "boosted_codes"), ("kernel", "neighbours", "linear"))
-BOOSTED = ("boosted", "boosted_codes")
+GROUPS = (("boosted", "leafwise", "boosted_codes"), ("kernel", "neighbours", "linear"))
+BOOSTED = ("boosted", "leafwise", "boosted_codes")
 MAX_TREES = 3_000
-FIRST_TREES = 100  # boosting is fitted so far at first, and twice as far while the end may still gain
-TREE_PATIENCE = 50
+PREPARED_AT_ONCE = 4  # training tables that are encoded side by side
+LEAF_CURVATURE = 1.0  # least sum of second derivatives in a leaf
+LEAF_PENALTY = {"boosted": 1.0, "leafwise": 1.0, "boosted_codes": 3.0}
 FOREST_TREES = 100
 FOURIER_FEATURES = 256
 BASELINE_MARGIN = 0.01
@@ -120,15 +121,19 @@ class Fitted:
     fourier: Fourier | None = None
     target_scale: tuple[float, float] = (0.0, 1.0)
     trees: int | None = None
+    ensembles: list[boosting.Ensemble] = field(default_factory=list)
+    codes: TargetCodes | None = None
     neighbour_rows: DataFrame | None = None
     extra: dict = field(default_factory=dict)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add ``prediction`` (a class number or a value) and, when known, ``probability``."""
         kept = df.columns
-        encoded = self.encoder.transform(df)
+        encoded = self.encoder.transform(df if self.codes is None else self.codes.transform(df))
         if self.name == "neighbours":
             return self._vote(encoded, kept)
+        if self.ensembles:
+            return self._boosted(encoded, kept)
         if self.fourier is not None:
             encoded = self.fourier.transform(encoded)
         scored = self.model.transform(encoded)
@@ -141,6 +146,23 @@ class Fitted:
             out.append(vector_to_array(q("probability")).alias("probability"))
         return scored.select(*out)
 
+    def _boosted(self, encoded: DataFrame, kept: Sequence[str]) -> DataFrame:
+        """Two classes have one model, more have one each, whose chances are brought to a sum of one."""
+        raw = boosting.raw_scores(vector_to_array("features"), self.ensembles, encoded.sparkSession)
+        scored = encoded.select(*[q(c) for c in kept], raw.alias("__raw"))
+        out = [q(c) for c in kept]
+        if self.task != "classification":
+            return scored.select(*out, F.col("__raw")[0].alias("prediction"))
+        chance = F.transform("__raw", lambda r: 1 / (1 + F.exp(-r)))
+        if len(self.ensembles) == 1:
+            likely = F.array(1 - chance[0], chance[0])
+        else:
+            total = F.aggregate(chance, F.lit(0.0), lambda a, c: a + c)
+            likely = F.transform(chance, lambda c: c / total)
+        scored = scored.select(*out, likely.alias("probability"))
+        best = F.array_position("probability", F.array_max("probability")) - 1
+        return scored.select(*out, best.cast("double").alias("prediction"), "probability")
+
     def _vote(self, encoded: DataFrame, kept: Sequence[str]) -> DataFrame:
         keyed = encoded.withColumn("__key", digest(encoded.select(*[q(c) for c in kept]), kept)).withColumn("v", vector_to_array(q("features")))
         near = neighbours.nearest(
@@ -167,6 +189,10 @@ def fit(name: str, task: str, params: Mapping[str, object], train: DataFrame, ta
     and are fitted again with it on all rows. Neighbours vote among at most ``neighbour_rows`` labelled
     rows, drawn by hash; the bound is part of the result (``extra``).
     """
+    if name in BOOSTED:
+        if trees is None:
+            trees = fit_boosted(name, task, params, [train], target, features, labels, balanced, key, max_trees)[0].trees
+        return fit_boosted(name, task, params, [train], target, features, labels, balanced, key, trees, stop_early=False)[0]
     classification = task == "classification"
     rows = train.count()
     if name == "neighbours" and rows > neighbour_rows:
@@ -174,17 +200,7 @@ def fit(name: str, task: str, params: Mapping[str, object], train: DataFrame, ta
     encoder = Encoder.fit(train, features, STYLE[name], rows)
     labels = [str(x) for x in labels]
     fitted = Fitted(name, task, dict(params), encoder, labels)
-    y = label_index(labels, q(target)) if classification else q(target).cast("double")
-    stop_early = name in BOOSTED and trees is None
-    if stop_early:
-        train = early_stopping_slice(train, target, default_key(train, key), classification)
-    if classification and balanced:
-        train = with_class_weights(train, target, "__weight")
-    elif classification:
-        train = train.withColumn("__weight", F.lit(1.0))
-    data = encoder.transform(train.withColumn("__y", y))
-    keep = ["features", "__y"] + [c for c in ("__weight", "is_validation") if c in data.columns]
-    data = data.select(*keep)
+    data = encoder.transform(_weighted(train, task, target, labels, balanced)).select("features", "__y", "__weight")
 
     if name == "neighbours":
         # Equal rows become one with a count, so that many copies do not end up in one block.
@@ -196,53 +212,113 @@ def fit(name: str, task: str, params: Mapping[str, object], train: DataFrame, ta
     if name in ("kernel", "linear"):
         fitted.model = _fit_linear(fitted, data, rows, len(encoder.names()))
         return fitted
-    common = {"featuresCol": "features", "labelCol": "__y", "seed": SEED, "maxBins": 64,
-              "maxDepth": int(params["max_depth"]), "subsamplingRate": float(params.get("subsample", 1.0)),
-              "featureSubsetStrategy": str(params.get("column_share", "all"))}
+    settings = {"featuresCol": "features", "labelCol": "__y", "seed": SEED, "maxBins": 64,
+                "maxDepth": int(params["max_depth"]), "subsamplingRate": float(params.get("subsample", 1.0)),
+                "featureSubsetStrategy": str(params.get("column_share", "all"))}
     if classification:
-        common["weightCol"] = "__weight"
-    if name == "forest":
-        maker = RandomForestClassifier if classification else RandomForestRegressor
-        fitted.model = maker(**common, numTrees=trees or min(FOREST_TREES, max_trees)).fit(data)
-        return fitted
-    kind = GBTClassifier if classification else GBTRegressor
-    settings = {**common, "stepSize": float(params["learning_rate"])}
-    if stop_early:
-        trees = _tree_count(lambda n: kind(**settings, maxIter=n), data, labels, max_trees)
-    booster = kind(**settings, maxIter=trees)
-    if classification and len(labels) > 2:
-        rest = OneVsRest(classifier=booster, featuresCol="features", labelCol="__y", weightCol="__weight")
-        fitted.model = rest.fit(data)
-        fitted.trees = trees
-    else:
-        fitted.model = booster.fit(data)
-        fitted.trees = fitted.model.getNumTrees
+        settings["weightCol"] = "__weight"
+    maker = RandomForestClassifier if classification else RandomForestRegressor
+    fitted.model = maker(**settings, numTrees=trees or min(FOREST_TREES, max_trees)).fit(data)
     return fitted
 
 
-def _tree_count(maker: Callable[[int], GBTClassifier | GBTRegressor], data: DataFrame, labels: Sequence[str], most: int) -> int:
-    """The number of trees with the least loss on the rows held back.
+def _weighted(train: DataFrame, task: str, target: str, labels: Sequence[str], balanced: bool) -> DataFrame:
+    """``train`` with its target as a number, ``__y``, and ``__weight``."""
+    classification = task == "classification"
+    y = label_index(labels, q(target)) if classification else q(target).cast("double")
+    weighted = with_class_weights(train, target, "__weight") if classification and balanced else train.withColumn("__weight", F.lit(1.0))
+    return weighted.withColumn("__y", y)
+
+
+def boosting_settings(name: str, task: str, params: Mapping[str, object]) -> boosting.Settings:
+    leaves = params.get("max_leaves")
+    return boosting.Settings(
+        logistic=task == "classification", learning_rate=float(params["learning_rate"]),
+        depth=int(params.get("max_depth", 0)) or int(leaves), leaves=int(leaves) if leaves else None,
+        subsample=float(params.get("subsample", 1.0)), column_share=float(params.get("column_share", 1.0)),
+        penalty=LEAF_PENALTY[name], least_curvature=LEAF_CURVATURE, seed=SEED)
+
+
+def fit_boosted(name: str, task: str, params: Mapping[str, object], trains: Sequence[DataFrame], target: str, features: Sequence[str],
+                labels: Sequence[str] = (), balanced: bool = False, key: Sequence[str] | None = None, trees: int = MAX_TREES,
+                stop_early: bool = True, patience: int = boosting.PATIENCE) -> list[Fitted]:
+    """One boosted model per training table, grown side by side: every pass over the data serves all of them.
 
-    Boosting goes on until no tree of the last ``TREE_PATIENCE`` was the best, or to ``most``: as a fit
-    cannot be continued, it is made again with twice the trees, which at worst doubles the work. With
-    several classes each is boosted against the rest, and the one that needs most trees decides.
+    With ``stop_early`` a tenth of each table is held back, and a model ends once no tree of the last ``patience`` lowered the loss there.
+    Each table has an encoder of its own. Two classes are one model, more are boosted one against the rest. Text columns of
+    ``boosted_codes`` become ordered means of the target: of every class if there are more than two.
     """
-    held, used = data.filter("is_validation"), data.filter("NOT is_validation")
-    targets = range(len(labels)) if len(labels) > 2 else [None]
-    best = 1
-    for target in targets:
-        as_target = (lambda df: df) if target is None else (
-            lambda df, target=target: df.withColumn("__y", (q("__y") == float(target)).cast("double")))
-        size = min(FIRST_TREES, most)
-        while True:
-            losses = maker(size).fit(as_target(used)).evaluateEachIteration(as_target(held), "squared") if not labels else \
-                maker(size).fit(as_target(used)).evaluateEachIteration(as_target(held))
-            count = int(np.argmin(losses)) + 1
-            if size == most or count <= size - TREE_PATIENCE:
-                break
-            size = min(2 * size, most)
-        best = max(best, count)
-    return best
+    labels = [str(x) for x in labels]
+    text = [c for c in features if c not in columns_of(trains[0], "numeric", "boolean")] if name == "boosted_codes" else []
+    against = list(range(len(labels))) if len(labels) > 2 else [1] if labels else [None]
+
+    def prepared(train: DataFrame) -> tuple[Fitted, DataFrame]:
+        keys = default_key(train, key)
+        if stop_early:
+            train = early_stopping_slice(train, target, keys, task == "classification")
+        marked = _weighted(train, task, target, labels, balanced).where(F.col("__y").isNotNull())
+        marked = marked.withColumn("__id", F.xxhash64(*[q(c) for c in keys]))
+        held = F.col("is_validation") if stop_early else F.lit(False)
+        codes = None
+        if text:
+            marked, codes = _coded(marked, text, keys, labels, held)
+        names = [c for c in features if c not in text] + (codes.names() if codes else [])
+        encoder = Encoder.fit(marked.where(~held), names, STYLE[name])
+        encoded = encoder.transform(marked).select(
+            F.col("__id").alias("id"), vector_to_array("features").alias("x"), "__y", F.col("__weight").alias("w"), held.alias("held"))
+        return Fitted(name, task, dict(params), encoder, labels, codes=codes), encoded
+
+    with ThreadPoolExecutor(PREPARED_AT_ONCE) as pool:
+        made = list(pool.map(prepared, trains))
+    out = [fitted for fitted, _ in made]
+    width, parts = max(len(f.encoder.names()) for f in out), []
+    for _, encoded in made:
+        for c in against:
+            y = F.col("__y") if c is None or len(labels) == 2 else (F.col("__y") == float(c)).cast("double")
+            parts.append(encoded.select(F.lit(len(parts)).alias("model"), "id", "x", y.alias("y"), "w", "held"))
+    # Folds may know different levels; a feature that a fold lacks is constant there.
+    padded = F.concat("x", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("x")))
+    rows = reduce(DataFrame.unionAll, parts).withColumn("x", padded)
+    rows = written(rows, "boosting-rows")
+    found = boosting.boost(rows, width, boosting_settings(name, task, params), trees, patience if stop_early else None)
+    dropped(rows)
+    for i, fitted in enumerate(out):
+        fitted.ensembles = [found[i * len(against) + j] for j in range(len(against))]
+        fitted.trees = max(len(e.trees) for e in fitted.ensembles)
+    return out
+
+
+def _coded(marked: DataFrame, text: Sequence[str], key: Sequence[str], labels: Sequence[str], held: Column) -> tuple[DataFrame, TargetCodes]:
+    """Rows with their categories as numbers: in training from the rows before, on the rows held back from all training rows."""
+    if len(labels) > 2:
+        targets = {f"class_{i}": (F.col("__y") == float(i)).cast("double") for i in range(len(labels))}
+    else:
+        targets = {"target": F.col("__y")}
+    marked = marked.withColumns(targets)
+    used = marked.where(~held)
+    codes = TargetCodes.fit(used, text, list(targets))
+    codes.tables = [settled_levels(t) for t in codes.tables]
+    coded = ordered_codes(used, text, list(targets), key)
+    return coded.unionByName(codes.transform(marked.where(held))), codes
+
+
+def settled_levels(table: DataFrame) -> DataFrame:
+    """A table of levels, computed once: it is part of the model."""
+    return written(table, "levels")
+
+
+def boosted_cv(name: str, task: str, params: Mapping[str, object], data: DataFrame, target: str, features: Sequence[str], folds: int,
+               metric: str, labels: Sequence[str] = (), balanced: bool = False, key: Sequence[str] | None = None,
+               max_trees: int = MAX_TREES, patience: int = boosting.PATIENCE) -> list[float]:
+    """The scores of all folds, whose models are grown side by side and stop on rows held back from their own training folds."""
+    trains = [data.where(F.col("fold") != k) for k in range(folds)]
+    fitted = fit_boosted(name, task, params, trains, target, features, labels, balanced, key, max_trees, patience=patience)
+    return [_held_score(f, data.where(F.col("fold") == k), task, target, features, metric) for k, f in enumerate(fitted)]
+
+
+def _held_score(fitted: Fitted, held: DataFrame, task: str, target: str, features: Sequence[str], metric: str) -> float:
+    y = label_index(fitted.labels, q(target)) if task == "classification" else q(target).cast("double")
+    return score(metric, fitted.predict(held.select(*[q(c) for c in features], y.alias("label"))))
 
 
 def _fit_linear(fitted: Fitted, data: DataFrame, rows: int, width: int) -> Model:
@@ -293,10 +369,7 @@ def fold_score(name: str, task: str, params: Mapping[str, object], data: DataFra
                key: Sequence[str] | None = None, **how) -> float:
     """Fit on every fold but one and score that one."""
     fitted = fit(name, task, params, data.filter(F.col("fold") != fold), target, features, labels, balanced, key, **how)
-    held = data.filter(F.col("fold") == fold)
-    y = label_index(fitted.labels, q(target)) if task == "classification" else q(target).cast("double")
-    preds = fitted.predict(held.select(*[q(c) for c in features], y.alias("label")))
-    return score(metric, preds)
+    return _held_score(fitted, data.filter(F.col("fold") == fold), task, target, features, metric)
 
 
 def cross_validate(run: Callable[[int], float], folds: int, parallelism: int = 2) -> list[float]:
@@ -352,8 +425,8 @@ def importances(fitted: Fitted, n: int = 10) -> DataFrame:
         values = np.abs(model.coefficients.toArray())
     elif hasattr(model, "featureImportances"):
         values = model.featureImportances.toArray()
-    elif isinstance(model, OneVsRestModel) and fitted.name in BOOSTED:
-        values = np.mean([m.featureImportances.toArray() for m in model.models], axis=0)
+    elif fitted.ensembles:
+        values = np.sum([e.importance() for e in fitted.ensembles], axis=0)
     else:
         return spark.createDataFrame([], schema)
     names = fitted.encoder.names()
@@ -368,7 +441,7 @@ def importances(fitted: Fitted, n: int = 10) -> DataFrame:
 
 _KINDS: dict[str, type] = {
     c.__name__: c for c in (
-        GBTClassificationModel, GBTRegressionModel, RandomForestClassificationModel, RandomForestRegressionModel,
+        RandomForestClassificationModel, RandomForestRegressionModel,
         LogisticRegressionModel, LinearRegressionModel, LinearSVCModel, OneVsRestModel)
 }
 
@@ -381,9 +454,17 @@ def save(fitted: Fitted, path: str) -> None:
         "name": fitted.name, "task": fitted.task, "params": fitted.params, "labels": fitted.labels,
         "target_scale": fitted.target_scale, "trees": fitted.trees, "extra": fitted.extra,
         "kind": type(fitted.model).__name__ if fitted.model is not None else None,
+        "boosted": len(fitted.ensembles),
+        "codes": [fitted.codes.columns, fitted.codes.targets, fitted.codes.means] if fitted.codes else None,
         "fourier": [fitted.fourier.width, fitted.fourier.gamma, fitted.fourier.size] if fitted.fourier else None,
     }
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    if fitted.codes:
+        for i, table in enumerate(fitted.codes.tables):
+            table.write.mode("overwrite").parquet(f"{path}/codes_{i}")
+    if fitted.ensembles:
+        lines = [(e.to_json(),) for e in fitted.ensembles]
+        spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/trees")
     if fitted.model is not None:
         fitted.model.write().overwrite().save(f"{path}/model")
     if fitted.neighbour_rows is not None:
@@ -397,8 +478,13 @@ def load(path: str) -> Fitted:
     fitted.target_scale, fitted.trees, fitted.extra = tuple(meta["target_scale"]), meta["trees"], meta["extra"]
     if meta["kind"]:
         fitted.model = _KINDS[meta["kind"]].load(f"{path}/model")
+    elif meta["boosted"]:
+        fitted.ensembles = [boosting.Ensemble.from_json(r["value"]) for r in spark.read.text(f"{path}/trees").collect()]
     else:
         fitted.neighbour_rows = spark.read.parquet(f"{path}/rows")
+    if meta["codes"]:
+        columns, targets, means = meta["codes"]
+        fitted.codes = TargetCodes(columns, targets, means, [spark.read.parquet(f"{path}/codes_{i}") for i in range(len(columns))])
     if meta["fourier"]:
         width, gamma, size = meta["fourier"]
         fitted.fourier = Fourier(width, gamma, size)

@@ -42,7 +42,7 @@ class Sweep:
         return round(self.train_score - self.cv_mean, 4)
 
 
-def sweep(df: DataFrame, target: str, task: str, candidates: Sequence[str] = ("boosted", "forest", "linear"),
+def sweep(df: DataFrame, target: str, task: str, candidates: Sequence[str] = ("boosted", "leafwise", "linear"),
           key: Sequence[str] | None = None, tuning_budget: float = 0, tuning_seconds: float = 300.0,
           time_budget: float | None = None, max_trees: int = models.MAX_TREES, parallelism: int = 2,
           neighbour_rows: int = models.neighbours.MAX_TRAIN_ROWS) -> Sweep:
@@ -78,7 +78,10 @@ def sweep(df: DataFrame, target: str, task: str, candidates: Sequence[str] = ("b
             log.append((name, "skipped", None, None, "the time budget is spent"))
             continue
         try:
-            found = models.cross_validate(lambda k: one(name, models.DEFAULTS[name], k), folds, parallelism)
+            if name in models.BOOSTED:  # all folds share their passes over the data
+                found = models.boosted_cv(name, task, models.DEFAULTS[name], data, target, features, folds, metric, labels, balanced, key, max_trees)
+            else:
+                found = models.cross_validate(lambda k: one(name, models.DEFAULTS[name], k), folds, parallelism)
         except Exception as error:
             log.append((name, "failed", None, None, str(error)[:300]))
             continue

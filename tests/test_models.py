@@ -49,16 +49,16 @@ def test_logistic_matches_the_textbook_penalty(spark):
     assert fitted.model.coefficients[0] == pytest.approx(w, abs=1e-3)
 
 
-@pytest.mark.parametrize("name", ["boosted", "forest", "boosted_codes", "kernel", "neighbours", "linear"])
+@pytest.mark.parametrize("name", ["boosted", "leafwise", "forest", "boosted_codes", "kernel", "neighbours", "linear"])
 @pytest.mark.parametrize("task,target,features,floor", [
     ("regression", "charges", FEATURES, 0.5), ("classification", "smoker", ["age", "bmi", "charges", "region"], 0.8)])
 def test_every_family_beats_the_baseline(people, name, task, target, features, floor):
     labels = ["no", "yes"] if task == "classification" else []
     params = dict(L.DEFAULTS[name])
     if "learning_rate" in params:
-        params["learning_rate"] = 0.3
+        params.update({"learning_rate": 0.5, **({"max_leaves": 8} if "max_leaves" in params else {"max_depth": 3})})
     train, test = people.filter("id % 4 <> 0"), people.filter("id % 4 = 0")
-    fitted = L.fit(name, task, params, train, target, features, labels, key=["id"], max_trees=15)
+    fitted = L.fit(name, task, params, train, target, features, labels, key=["id"], max_trees=8)
     y = L.label_index(labels, F.col(target)) if labels else F.col(target)
     preds = fitted.predict(test.select(*features, y.alias("label")))
     assert preds.count() == test.count()
@@ -68,7 +68,7 @@ def test_every_family_beats_the_baseline(people, name, task, target, features, f
 def test_three_classes_by_one_against_the_rest(people):
     three = people.withColumn("y", F.when(F.col("charges") < 15000, "a").when(F.col("charges") < 25000, "b").otherwise("c"))
     for name in ("boosted", "kernel", "linear"):
-        params = {**L.DEFAULTS[name], **({"learning_rate": 0.3} if name == "boosted" else {})}
+        params = {**L.DEFAULTS[name], **({"learning_rate": 0.5, "max_depth": 3} if name == "boosted" else {})}
         fitted = L.fit(name, "classification", params, three, "y", FEATURES, ["a", "b", "c"], key=["id"], max_trees=5)
         preds = fitted.predict(three.select(*FEATURES, L.label_index(["a", "b", "c"], F.col("y")).alias("label")))
         assert L.score("accuracy", preds) > 0.6
