@@ -1,8 +1,8 @@
 """Model candidates on Spark ML, their cross-validation, and the feature-blind baseline.
 
 The families follow the tabular line-up: boosted trees grown level by level, boosted trees grown best leaf
-first, boosted trees on coded categories, a kernel machine (random Fourier features under a linear model,
-after Rahimi and Recht 2007), nearest neighbours, and a linear model; a random forest can be asked for besides.
+first, boosted trees on coded categories, a kernel machine over landmarks, nearest neighbours, and a linear
+model; a random forest can be asked for besides.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.classification import (
-    LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel,
-    RandomForestClassificationModel, RandomForestClassifier,
+    LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.hashing import default_key, digest
 from tablewright.functions.kinds import columns_of, q
-from tablewright.operators import boosting, neighbours
+from tablewright.operators import boosting, kernel, neighbours
 from tablewright.operators import metrics as M
 from tablewright.operators.features import Encoder
 from tablewright.operators.ordered import TargetCodes, ordered_codes
@@ -55,7 +54,6 @@ PREPARED_AT_ONCE = 4  # training tables that are encoded side by side
 LEAF_CURVATURE = 1.0  # least sum of second derivatives in a leaf
 LEAF_PENALTY = {"boosted": 1.0, "leafwise": 1.0, "boosted_codes": 3.0}
 FOREST_TREES = 100
-FOURIER_FEATURES = 256
 BASELINE_MARGIN = 0.01
 
 
@@ -72,31 +70,6 @@ def ridge_penalty(alpha: float, rows: int, target_std: float) -> float:
     return alpha * target_std / rows
 
 
-# -- random Fourier features -------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class Fourier:
-    """A random map under which a dot product approximates the RBF kernel."""
-
-    width: int
-    gamma: float
-    size: int = FOURIER_FEATURES
-    seed: int = SEED
-
-    def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
-        rng = np.random.default_rng(self.seed)
-        directions = rng.normal(0.0, math.sqrt(2 * self.gamma), (self.width, self.size))
-        shift = rng.uniform(0, 2 * math.pi, self.size)
-
-        @F.pandas_udf("array<double>")
-        def project(x: pd.Series) -> pd.Series:
-            flat = np.stack(x.to_list()) @ directions + shift
-            return pd.Series(list(math.sqrt(2 / len(shift)) * np.cos(flat)))
-
-        return df.withColumn(features, array_to_vector(project(vector_to_array(q(features)))))
-
-
 def scale_gamma(df: DataFrame, width: int, features: str = "features") -> float:
     """1 / (width * variance of all entries), from one summary of the feature vectors."""
     row = df.select(Summarizer.metrics("mean", "variance").summary(q(features)).alias("s")).select("s.*").first()
@@ -118,7 +91,7 @@ class Fitted:
     encoder: Encoder
     labels: list[str]
     model: Model | None = None
-    fourier: Fourier | None = None
+    kernel: kernel.KernelModel | None = None
     target_scale: tuple[float, float] = (0.0, 1.0)
     trees: int | None = None
     ensembles: list[boosting.Ensemble] = field(default_factory=list)
@@ -134,18 +107,26 @@ class Fitted:
             return self._vote(encoded, kept)
         if self.ensembles:
             return self._boosted(encoded, kept)
-        if self.fourier is not None:
-            encoded = self.fourier.transform(encoded)
+        if self.kernel is not None:
+            return self._kernel(encoded, kept)
         scored = self.model.transform(encoded)
-        middle, spread = self.target_scale
-        prediction = q("prediction").cast("double")
-        if self.task == "regression" and (middle, spread) != (0.0, 1.0):
-            prediction = prediction * spread + middle
-        out = [q(c) for c in kept] + [prediction.alias("prediction")]
+        out = [q(c) for c in kept] + [q("prediction").cast("double").alias("prediction")]
         if "probability" in scored.columns:
             out.append(vector_to_array(q("probability")).alias("probability"))
         return scored.select(*out)
 
+    def _kernel(self, encoded: DataFrame, kept: Sequence[str]) -> DataFrame:
+        found = kernel.margins(vector_to_array("features"), self.kernel, encoded.sparkSession)
+        scored = encoded.select(*[q(c) for c in kept], found.alias("__margins"))
+        first, (middle, spread) = F.col("__margins")[0], self.target_scale
+        if self.task != "classification":
+            prediction = first * spread + middle
+        elif len(self.labels) > 2:
+            prediction = (F.array_position("__margins", F.array_max("__margins")) - 1).cast("double")
+        else:
+            prediction = (first > 0).cast("double")
+        return scored.select(*[q(c) for c in kept], prediction.alias("prediction"))
+
     def _boosted(self, encoded: DataFrame, kept: Sequence[str]) -> DataFrame:
         """Two classes have one model, more have one each, whose chances are brought to a sum of one."""
         raw = boosting.raw_scores(vector_to_array("features"), self.ensembles, encoded.sparkSession)
@@ -209,8 +190,12 @@ def fit(name: str, task: str, params: Mapping[str, object], train: DataFrame, ta
         fitted.extra["neighbour_rows"] = rows
         fitted.neighbour_rows = rows_.select(F.md5(F.to_json(F.struct("v", "y"))).alias("key"), "v", "y", "copies")
         return fitted
-    if name in ("kernel", "linear"):
-        fitted.model = _fit_linear(fitted, data, rows, len(encoder.names()))
+    if name == "linear":
+        fitted.model = _fit_linear(fitted, data, rows)
+        return fitted
+    if name == "kernel":
+        keyed = data.withColumn("__id", F.xxhash64(vector_to_array("features"), "__y"))
+        fitted.kernel = _fit_kernel(fitted, keyed.where(F.col("__y").isNotNull()), len(encoder.names()))
         return fitted
     settings = {"featuresCol": "features", "labelCol": "__y", "seed": SEED, "maxBins": 64,
                 "maxDepth": int(params["max_depth"]), "subsamplingRate": float(params.get("subsample", 1.0)),
@@ -321,34 +306,28 @@ def _held_score(fitted: Fitted, held: DataFrame, task: str, target: str, feature
     return score(metric, fitted.predict(held.select(*[q(c) for c in features], y.alias("label"))))
 
 
-def _fit_linear(fitted: Fitted, data: DataFrame, rows: int, width: int) -> Model:
-    params = fitted.params
-    classification = fitted.task == "classification"
-    if fitted.name == "kernel":
-        gamma = params["gamma"]
-        gamma = scale_gamma(data, width) if gamma == "scale" else float(gamma)
-        fitted.fourier = Fourier(width, gamma)
-        data = fitted.fourier.transform(data)
-    if classification:
+def _fit_kernel(fitted: Fitted, data: DataFrame, width: int) -> kernel.KernelModel:
+    """The kernel machine on standardised features; a numeric target is standardised too, so that the tube has one width."""
+    gamma = fitted.params["gamma"]
+    gamma = scale_gamma(data, width) if gamma == "scale" else float(gamma)
+    y = F.col("__y")
+    if fitted.task != "classification":
+        middle, spread = data.agg(F.avg("__y"), F.stddev_pop("__y")).first()
+        fitted.target_scale = (middle or 0.0, spread or 1.0)
+        y = (y - fitted.target_scale[0]) / fitted.target_scale[1]
+    rows = data.select(F.col("__id").alias("id"), vector_to_array("features").alias("x"), y.alias("y"), F.col("__weight").alias("w"))
+    classes = max(2, len(fitted.labels)) if fitted.task == "classification" else 0
+    return kernel.fit(rows, gamma, float(fitted.params["C"]), classes)
+
+
+def _fit_linear(fitted: Fitted, data: DataFrame, rows: int) -> Model:
+    strength = float(fitted.params["strength"])
+    if fitted.task == "classification":
         total = data.agg(F.sum("__weight")).first()[0]
-        if fitted.name == "linear":
-            penalty = logistic_penalty(float(params["strength"]), total)
-            return LogisticRegression(featuresCol="features", labelCol="__y", weightCol="__weight", maxIter=200,
-                                      regParam=penalty, elasticNetParam=0.0, standardization=False).fit(data)
-        svm = LinearSVC(featuresCol="features", labelCol="__y", weightCol="__weight", maxIter=50,
-                        regParam=1.0 / (float(params["C"]) * total), standardization=False)
-        if len(fitted.labels) > 2:
-            return OneVsRest(classifier=svm, featuresCol="features", labelCol="__y", weightCol="__weight").fit(data)
-        return svm.fit(data)
-    middle, spread = data.agg(F.avg("__y"), F.stddev_pop("__y")).first()
-    spread = spread or 1.0
-    if fitted.name == "kernel":
-        fitted.target_scale = (middle, spread)
-        data = data.withColumn("__y", (F.col("__y") - middle) / spread)
-        penalty = 1.0 / (2 * float(params["C"]) * rows)
-    else:
-        penalty = ridge_penalty(float(params["strength"]), rows, spread)
-    return LinearRegression(featuresCol="features", labelCol="__y", regParam=penalty, elasticNetParam=0.0,
+        return LogisticRegression(featuresCol="features", labelCol="__y", weightCol="__weight", maxIter=200,
+                                  regParam=logistic_penalty(strength, total), elasticNetParam=0.0, standardization=False).fit(data)
+    spread = data.agg(F.stddev_pop("__y")).first()[0] or 1.0
+    return LinearRegression(featuresCol="features", labelCol="__y", regParam=ridge_penalty(strength, rows, spread), elasticNetParam=0.0,
                             standardization=False, solver="normal").fit(data)
 
 
@@ -442,7 +421,7 @@ def importances(fitted: Fitted, n: int = 10) -> DataFrame:
 _KINDS: dict[str, type] = {
     c.__name__: c for c in (
         RandomForestClassificationModel, RandomForestRegressionModel,
-        LogisticRegressionModel, LinearRegressionModel, LinearSVCModel, OneVsRestModel)
+        LogisticRegressionModel, LinearRegressionModel)
 }
 
 
@@ -456,7 +435,7 @@ def save(fitted: Fitted, path: str) -> None:
         "kind": type(fitted.model).__name__ if fitted.model is not None else None,
         "boosted": len(fitted.ensembles),
         "codes": [fitted.codes.columns, fitted.codes.targets, fitted.codes.means] if fitted.codes else None,
-        "fourier": [fitted.fourier.width, fitted.fourier.gamma, fitted.fourier.size] if fitted.fourier else None,
+        "kernel": fitted.kernel.to_json() if fitted.kernel else None,
     }
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     if fitted.codes:
@@ -478,6 +457,8 @@ def load(path: str) -> Fitted:
     fitted.target_scale, fitted.trees, fitted.extra = tuple(meta["target_scale"]), meta["trees"], meta["extra"]
     if meta["kind"]:
         fitted.model = _KINDS[meta["kind"]].load(f"{path}/model")
+    elif meta["kernel"]:
+        fitted.kernel = kernel.KernelModel.from_json(meta["kernel"])
     elif meta["boosted"]:
         fitted.ensembles = [boosting.Ensemble.from_json(r["value"]) for r in spark.read.text(f"{path}/trees").collect()]
     else:
@@ -485,9 +466,6 @@ def load(path: str) -> Fitted:
     if meta["codes"]:
         columns, targets, means = meta["codes"]
         fitted.codes = TargetCodes(columns, targets, means, [spark.read.parquet(f"{path}/codes_{i}") for i in range(len(columns))])
-    if meta["fourier"]:
-        width, gamma, size = meta["fourier"]
-        fitted.fourier = Fourier(width, gamma, size)
     return fitted
 
 

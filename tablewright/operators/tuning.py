@@ -1,9 +1,11 @@
 """A search over a family's settings whose cost is counted in fitted folds.
 
 A search is a :class:`Search`: what has been tried, what it cost and what is best. Settings
-come from a fixed list first and then from seeded draws. After each fold a stop rule may give a trial
+come from a fixed list first, then from seeded draws, and once enough trials have told a score from a guide: the
+settings of the best trials and those of the rest are two densities over all settings jointly, and of some candidates drawn
+near the good ones the one with the greatest ratio is tried. After each fold a stop rule may give a trial
 up: with large folds successive halving on the running means, with small ones the median of
-the trials that ran to their end.
+the trials that ran to their end. Several trials may run side by side; each rung then compares with those that have reached it.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import json
 import math
 import random
 import statistics
+import threading
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -25,6 +28,10 @@ RUNGS = (1, 3)
 KEPT_SHARE = 1 / 3
 MEDIAN_AFTER_TRIALS = 4
 MEDIAN_AFTER_FOLDS = 2
+GUIDED_AFTER = 10  # trials with a score
+GOOD_SHARE = 0.15
+CANDIDATES = 32
+NARROWEST = 0.1  # of a range, for the width of a density's bumps
 # (low, high, scale) per setting; a list is a choice.
 RANGES: dict[str, dict[str, object]] = {
     "boosted": {"learning_rate": (0.015, 0.3, "log"), "max_depth": (3, 10, "int"), "subsample": (0.6, 1.0, "linear"),
@@ -83,13 +90,86 @@ def draw(name: str, rng: random.Random) -> dict[str, object]:
     return out
 
 
-def proposals(name: str, seed: int) -> Iterator[tuple[str, dict[str, object]]]:
-    """Settings without end, each with where it comes from."""
+def _place(value: object, span: object) -> float:
+    """Where a setting lies in its range, from 0 to 1 (a choice: its number)."""
+    if isinstance(span, list):
+        return float(span.index(value))
+    low, high, scale = span  # type: ignore[misc]
+    if "log" in scale:
+        low, high, value = math.log(low), math.log(high), math.log(value)
+    return (float(value) - low) / (high - low)
+
+
+def _setting(place: float, span: object) -> object:
+    if isinstance(span, list):
+        return span[int(place)]
+    low, high, scale = span  # type: ignore[misc]
+    value = math.exp(math.log(low) + place * (math.log(high) - math.log(low))) if "log" in scale else low + place * (high - low)
+    return min(max(round(value), low), high) if "int" in scale else min(max(value, low), high)
+
+
+class _Density:
+    """A sum of bumps around settings, and one flat part: joint, so that settings that go together stay together."""
+
+    def __init__(self, places: Sequence[Sequence[float]], spans: Sequence[object]):
+        self.places, self.spans = places, spans
+        shrink = max(1, len(places)) ** (-1 / (len(spans) + 4))
+        self.widths = []
+        for i, span in enumerate(spans):
+            column = [p[i] for p in places]
+            self.widths.append(0.0 if isinstance(span, list) else max(NARROWEST, shrink * (statistics.pstdev(column) if len(column) > 1 else 0.3)))
+
+    def draw(self, rng: random.Random) -> list[float]:
+        at = rng.randrange(len(self.places) + 1)
+        if at == len(self.places):
+            return [float(rng.randrange(len(s))) if isinstance(s, list) else rng.random() for s in self.spans]
+        out = []
+        for value, width, span in zip(self.places[at], self.widths, self.spans):
+            if isinstance(span, list):
+                out.append(value if rng.random() < 0.8 else float(rng.randrange(len(span))))
+            else:
+                out.append(next(p for p in iter(lambda value=value, width=width: rng.gauss(value, width), None) if 0 <= p <= 1))
+        return out
+
+    def log(self, at: Sequence[float]) -> float:
+        total = 1.0
+        for place in self.places:
+            part = 1.0
+            for value, mine, width, span in zip(at, place, self.widths, self.spans):
+                if isinstance(span, list):
+                    part *= (0.8 if value == mine else 0.0) * len(span) + 0.2
+                else:
+                    # A bump is cut at the ends of the range, so what is left of it counts in full there.
+                    inside = (math.erf((1 - mine) / width / math.sqrt(2)) + math.erf(mine / width / math.sqrt(2))) / 2
+                    part *= math.exp(-0.5 * ((value - mine) / width) ** 2) / (width * math.sqrt(2 * math.pi) * inside)
+            total += part
+        return math.log(total / (len(self.places) + 1))
+
+
+def guided(name: str, trials: Sequence[Trial], rng: random.Random) -> dict[str, object]:
+    """Of some settings near those of the best trials, the one that the best make likelier than the rest by most.
+
+    Whole trials stand before those given up, and among either the higher mean first.
+    """
+    spans = list(RANGES[name].values())
+    told = sorted((t for t in trials if t.means), key=lambda t: (t.outcome == "whole", t.means[-1]), reverse=True)
+    places = [[_place(t.settings[s], span) for s, span in RANGES[name].items()] for t in told]
+    cut = math.ceil(GOOD_SHARE * len(places))
+    good, rest = _Density(places[:cut], spans), _Density(places[cut:], spans)
+    best = max((good.draw(rng) for _ in range(CANDIDATES)), key=lambda at: good.log(at) - rest.log(at))
+    return {s: _setting(p, span) for (s, span), p in zip(RANGES[name].items(), best)}
+
+
+def proposals(name: str, seed: int, trials: Sequence[Trial] = ()) -> Iterator[tuple[str, dict[str, object]]]:
+    """Settings without end, each with where it comes from. ``trials`` may grow between two of them."""
     for settings in STARTS[name]:
         yield "listed", dict(settings)
     rng = random.Random(seed)
     while True:
-        yield "drawn", draw(name, rng)
+        if sum(bool(t.means) for t in trials) < GUIDED_AFTER:
+            yield "drawn", draw(name, rng)
+        else:
+            yield "guided", guided(name, list(trials), rng)
 
 
 def noise(scores: Sequence[float]) -> float:
@@ -157,26 +237,27 @@ class Search:
         for t in self.trials:
             gain = (t.score if t.score is not None else -math.inf) - best
             best = max(best, best + gain)
-            folds = 0 if gain > self.least_gain else folds + t.folds * (t.origin == "drawn")
+            folds = 0 if gain > self.least_gain else folds + t.folds * (t.origin != "listed")
         return folds
 
-    def run(self, trial: Trial, fold_score: Callable[[dict[str, object], int], float], rule: Rule) -> None:
-        """Fit a trial's folds until it is whole, given up or broken; one bad setting does not end the search."""
+    def run(self, trial: Trial, fold_score: Callable[[dict[str, object], int], float], rule: Rule, lock: threading.Lock) -> None:
+        """Fit the folds of a trial of this search until it is whole, given up or broken; one bad setting does not end the search."""
         scores: list[float] = []
         try:
             while trial.outcome == "open":
                 trial.folds += 1
                 scores.append(fold_score(trial.settings, len(scores)))
-                trial.means.append(statistics.fmean(scores))
-                if rule(self.trials, trial, self.folds):
-                    trial.outcome = "given up"
-                elif len(scores) == self.folds:
-                    trial.outcome = "whole"
+                with lock:
+                    trial.means.append(statistics.fmean(scores))
+                    if rule([t for t in self.trials if t is not trial], trial, self.folds):
+                        trial.outcome = "given up"
+                    elif len(scores) == self.folds:
+                        trial.outcome = "whole"
         except Exception as error:
             trial.outcome, trial.error = "failed", str(error)[:200]
-        self.trials.append(trial)
-        if trial.score is not None and trial.score > self.score:
-            self.params, self.score = trial.settings, trial.score
+        with lock:
+            if trial.score is not None and trial.score > self.score:
+                self.params, self.score = trial.settings, trial.score
 
     def table(self, spark: SparkSession) -> DataFrame:
         """One row per trial; trial 0 is the setting the search began with."""
@@ -189,17 +270,31 @@ class Search:
 def search(
     name: str, fold_score: Callable[[dict[str, object], int], float], folds: int, fold_rows: int,
     defaults: Mapping[str, object], start_score: float, budget: float = 20, seconds: float = 300.0,
-    min_gain: float = 0.0, seed: int = 42,
+    min_gain: float = 0.0, seed: int = 42, parallelism: int = 1,
 ) -> Search:
     """Try settings until the budget (in whole cross-validations), the time or the patience is used up.
 
-    ``fold_score(settings, fold)`` fits on Spark and scores one fold, higher being better.
+    ``fold_score(settings, fold)`` fits on Spark and scores one fold, higher being better. Up to ``parallelism`` trials run at a
+    time. The stop rule goes by the rows of a fold, as the halving of few rows would be by chance.
     """
     state = Search(folds, dict(defaults), start_score, min_gain)
     rule = halving if fold_rows >= HALVING_FOLD_ROWS else median
     until = time.monotonic() + seconds
-    for origin, settings in proposals(name, seed):
-        if state.spent >= budget * folds or state.idle >= PATIENCE * folds or time.monotonic() >= until:
-            return state
-        state.run(Trial(origin, settings), fold_score, rule)
+    source, lock = proposals(name, seed, state.trials), threading.Lock()
+
+    def work() -> None:
+        while True:
+            with lock:
+                if state.spent >= budget * folds or state.idle >= PATIENCE * folds or time.monotonic() >= until:
+                    return
+                trial = Trial(*next(source))
+                state.trials.append(trial)
+            state.run(trial, fold_score, rule, lock)
+
+    helpers = [threading.Thread(target=work) for _ in range(parallelism - 1)]
+    for h in helpers:
+        h.start()
+    work()
+    for h in helpers:
+        h.join()
     return state

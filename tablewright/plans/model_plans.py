@@ -142,11 +142,16 @@ SELECT '{{name}}' AS name, fold, count(*)::BIGINT AS rows, round(avg((NOT turned
 
 
 def _boosted_folds(spark, folder, name, params, features=FEATURES, patience=5):
-    """Scores of all folds, grown side by side, against the share of rows that can be foreseen at all."""
+    return _noisy_folds(spark, folder, name, lambda data, folds: L.boosted_cv(
+        name, "classification", {**L.DEFAULTS[name], **params}, data, "seen", features, folds, "accuracy", LABELS, key=LINE_KEY, patience=patience))
+
+
+def _noisy_folds(spark, folder, name, scores):
+    """The scores of all folds against the share of rows that can be foreseen at all."""
     rows = _noisy(spark, folder)
     data, folds = _folds(rows, "seen", LINE_KEY)
     try:
-        found = L.boosted_cv(name, "classification", {**L.DEFAULTS[name], **params}, data, "seen", features, folds, "accuracy", LABELS, key=LINE_KEY, patience=patience)
+        found = scores(data, folds)
         cells = {r["fold"]: r for r in data.groupBy("fold").agg(F.count("*").alias("rows"), F.round(F.avg((~F.col("turned")).cast("int")), 6).alias("best")).collect()}
     finally:
         data.unpersist()
@@ -155,9 +160,10 @@ def _boosted_folds(spark, folder, name, params, features=FEATURES, patience=5):
         "name string, fold int, rows bigint, best double, near_best boolean")
 
 
-@query("cv_logistic", SQL_FOLDS.format(name="linear", target="late", source=SQL_LINE_TOTAL))
+@query("cv_logistic", SQL_NOISY_FOLDS.format(name="linear"))
 def cv_logistic(spark, folder):
-    return _cv(_late(spark, folder), "late", FEATURES, LABELS, LINE_KEY, "linear")
+    return _noisy_folds(spark, folder, "linear", lambda data, folds: L.cross_validate(lambda k: L.fold_score(
+        "linear", "classification", L.DEFAULTS["linear"], data, "seen", FEATURES, k, "accuracy", LABELS, key=LINE_KEY), folds))
 
 
 @query("cv_trees", SQL_NOISY_FOLDS.format(name="boosted"))
@@ -251,9 +257,10 @@ def cv_forest(spark, folder):
     return _cv(_client(spark, folder), "y", CLIENT_FEATURES, ["plain", "rich"], ["c_custkey"], "forest")
 
 
-@query("cv_kernel", SQL_FOLDS.format(name="kernel", target="late", source=SQL_LINE_TOTAL))
+@query("cv_kernel", SQL_NOISY_FOLDS.format(name="kernel"))
 def cv_kernel(spark, folder):
-    return _cv(_late(spark, folder), "late", FEATURES, LABELS, LINE_KEY, "kernel")
+    return _noisy_folds(spark, folder, "kernel", lambda data, folds: L.cross_validate(lambda k: L.fold_score(
+        "kernel", "classification", L.DEFAULTS["kernel"], data, "seen", FEATURES[:3], k, "accuracy", LABELS, key=LINE_KEY), folds))
 
 
 @query("boosted_tree_count", f"""
