@@ -10,7 +10,7 @@ import numpy as np
 import tiktoken
 
 VOCABULARY = "byte_bpe_50k.json"
-LONG_SPACE = 100_000  # the library's pattern gives up on a run of a million white-space characters
+LONG_SPACE = 256  # the cost of the pattern grows with the square of a run, and it gives up on one of a million
 _SPACE_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
 
 
@@ -47,13 +47,12 @@ def ids_of(text: str, path: str) -> np.ndarray:
     The pattern leaves a run's last character to a visible one that follows, but not at the end or before an added token.
     """
     found, parts, at = encoding(path), [], 0
-    if len(text) >= LONG_SPACE:
-        added = tuple(found.special_tokens_set)
-        for run in _SPACE_RUN.finditer(text):
-            whole = run.end() == len(text) or text.startswith(added, run.end())
-            stop = run.end() if whole else run.end() - 1
-            parts += [found.encode_to_numpy(text[at:run.start()], allowed_special="all"),
-                      np.array(found._encode_single_piece(text[run.start():stop]), np.uint32)]
-            at = stop
+    added = tuple(found.special_tokens_set)
+    for run in _SPACE_RUN.finditer(text):
+        whole = run.end() == len(text) or text.startswith(added, run.end())
+        stop = run.end() if whole else run.end() - 1
+        parts += [found.encode_to_numpy(text[at:run.start()], allowed_special="all"),
+                  np.array(found._encode_single_piece(text[run.start():stop]), np.uint32)]
+        at = stop
     rest = found.encode_to_numpy(text[at:], allowed_special="all")
     return np.concatenate([*parts, rest]) if parts else rest
