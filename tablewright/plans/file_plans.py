@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.plans.base import query, table
 from tablewright.session import shared_folder
 from tablewright.sources import readers, writers
+from tablewright.sources.digests import content_digests
 
 
 def scratch(spark, name, extension):
@@ -87,6 +88,26 @@ def source_fingerprint(spark, folder):
     return readers.fingerprint(spark, f"{path}/*/*.txt").select("sha256", "bytes")
 
 
+@query("content_digest", """
+SELECT sha256(sha256(sha256(v))) AS tree_sha256, count(*)::BIGINT AS files
+FROM (SELECT string_agg(s_name || chr(10), '' ORDER BY s_name) AS v FROM supplier GROUP BY s_nationkey) GROUP BY 1""")
+def content_digest(spark, folder):
+    """The hash over blocks of every file: here each file is one block of one group."""
+    path = scratch(spark, "blocks", "txt")
+    names = table(spark, folder, "supplier").groupBy("s_nationkey").agg(F.array_join(F.sort_array(F.collect_list("s_name")), "\n").alias("value"))
+    names.repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
+    return content_digests(spark, f"{path}/*/*.txt").groupBy("tree_sha256").agg(F.count("*").alias("files"))
+
+
+@query("replaced_table", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber <= 4")
+def replaced_table(spark, folder):
+    """A stored table is replaced by one that is read from it."""
+    path = scratch(spark, "replaced", "parquet")
+    writers.write_table(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), path)
+    writers.write_table(spark.read.parquet(path).where("l_linenumber <= 4"), path)
+    return spark.read.parquet(path)
+
+
 @query("parquet_sink", "SELECT l_orderkey, l_quantity, l_shipdate FROM lineitem")
 def parquet_sink(spark, folder):
     path = scratch(spark, "lines", "parquet")

@@ -173,7 +173,7 @@ def cv_trees(spark, folder):
 
 @query("cv_leafwise", SQL_NOISY_FOLDS.format(name="leafwise"))
 def cv_leafwise(spark, folder):
-    return _boosted_folds(spark, folder, "leafwise", {"learning_rate": 0.5, "max_leaves": 24})
+    return _boosted_folds(spark, folder, "leafwise", {"learning_rate": 0.5, "max_leaves": 12})
 
 
 @query("cv_coded_trees", SQL_NOISY_FOLDS.format(name="boosted_codes"))

@@ -17,29 +17,36 @@ from tablewright.functions.kinds import q
 from tablewright.session import shared_folder
 from tablewright.sources.borders import JsonList, QuotedText, records
 from tablewright.sources.dialects import CP1252_BYTES, CP1252_CHARS, Dialect, dialects
+from tablewright.sources.digests import content_digests
 from tablewright.sources.normalize import REPORT, IngestError, Ingested, blank_tokens, flatten, normalize
+from tablewright.sources.writers import write_table
 
 # Fixed values.
 FORMATS = {"csv": "delimited", "tsv": "delimited", "txt": "delimited", "parquet": "parquet", "json": "json",
            "jsonl": "jsonl"}
 TRUE_FALSE = ("True", "TRUE", "true", "False", "FALSE", "false")
 
-HASHED_BYTES = 1 << 30  # larger files are known by their length and time of change
+HASHED_BYTES = 1 << 30  # larger files are hashed by blocks
 MOST_FIELDS = 20_480  # of a record, or twice those of the header
 _WHOLE_LINE = "__line"
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, bytes, sha256)`` of each file, hashed where it is read.
+    """``(path, bytes, sha256, tree_sha256)`` of each file, hashed where it is read.
 
-    A file is one value to the hash, so files over ``HASHED_BYTES`` are not read: their ``sha256`` is that
-    of length and time of change.
+    Up to ``HASHED_BYTES`` a file is one value to the hash, ``sha256``. A larger one has the hash over its blocks, ``tree_sha256``.
     """
     files = spark.read.format("binaryFile").load(path)
-    small = files.where(F.col("length") <= HASHED_BYTES).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    stamp = F.concat_ws(" ", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
-    large = files.where(F.col("length") > HASHED_BYTES).select("path", F.col("length").alias("bytes"), F.sha2(stamp, 256).alias("sha256"))
-    return small.unionAll(large)
+    small = files.where(F.col("length") <= HASHED_BYTES).select(
+        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("tree_sha256"))
+    large = {r["path"]: r["length"] for r in files.where(F.col("length") > HASHED_BYTES).select("path", "length").collect()}
+    if not large:
+        return small
+    sizes = spark.createDataFrame(list(large.items()), "path string, bytes bigint")
+    same_place = F.regexp_replace("path", "^file:/+", "file:/")  # both readers name a local file, with one slash or three
+    trees = content_digests(spark, list(large)).select(same_place.alias("p"), "tree_sha256")
+    found = sizes.join(trees, same_place == F.col("p"), "left")
+    return small.unionAll(found.select("path", "bytes", F.lit(None).cast("string").alias("sha256"), "tree_sha256"))
 
 
 def _decoded(c: Column, encoding: str) -> Column:
@@ -233,10 +240,10 @@ def ingest(spark: SparkSession, path: str, destination: str | None = None, fmt:
     done = normalize(table)
     sources = fingerprint(spark, path).select(
         F.lit("source").alias("step"), F.col("path").alias("column"),
-        F.concat_ws(" ", F.col("bytes").cast("string"), "sha256").alias("detail"))
+        F.concat_ws(" ", F.col("bytes").cast("string"), F.coalesce("sha256", F.concat(F.lit("tree:"), "tree_sha256"))).alias("detail"))
     report = spark.createDataFrame(notes, REPORT).unionByName(done.report).unionByName(sources)
     if destination:
-        done.table.write.mode("overwrite").option("compression", "zstd").parquet(destination)
+        write_table(done.table, destination)
         return Ingested(spark.read.parquet(destination), report)
     return Ingested(done.table, report)
 

@@ -7,6 +7,7 @@ import pytest
 from tablewright.sources import normalize as N
 from tablewright.sources import readers, writers
 from tablewright.sources.dialects import sniff_delimiter
+from tablewright.sources.digests import content_digests
 
 
 def put(folder, **files):
@@ -168,9 +169,29 @@ def test_fingerprints(spark, tmp_path, monkeypatch):
     path = put(tmp_path, t__csv="a\n1\n")
     assert rows(readers.fingerprint(spark, path).select("bytes", "sha256")) == [(4, hashlib.sha256(b"a\n1\n").hexdigest())]
     monkeypatch.setattr(readers, "HASHED_BYTES", 3)  # as a file that is too large to be one value
-    (large,) = rows(readers.fingerprint(spark, path).select("bytes", "sha256"))
-    assert large[0] == 4 and large[1] != hashlib.sha256(b"a\n1\n").hexdigest()
-    assert rows(readers.fingerprint(spark, path).select("bytes", "sha256")) == [large]
+    (large,) = rows(readers.fingerprint(spark, path).select("bytes", "sha256", "tree_sha256"))
+    block = hashlib.sha256(b"a\n1\n").hexdigest()
+    assert large == (4, None, hashlib.sha256(hashlib.sha256(block.encode()).hexdigest().encode()).hexdigest())
+
+
+@pytest.mark.parametrize("ending", ["", "\n", "\n\n"])
+def test_content_hash_goes_by_content_alone(spark, tmp_path, ending):
+    data = ("\n".join("é" * (i % 50) + "\r" * (i % 3) for i in range(900)) + ending).encode()
+    (tmp_path / "t.bin").write_bytes(data)
+    blocks = [hashlib.sha256(data[i:i + 1_000]).hexdigest() for i in range(0, len(data), 1_000)]
+    groups = [hashlib.sha256("".join(blocks[i:i + 7]).encode()).hexdigest() for i in range(0, len(blocks), 7)]
+    want = hashlib.sha256("".join(groups).encode()).hexdigest()
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    kept = {k: spark.conf.get(k) for k in names}
+    try:
+        for size in (3_001, 100_000):
+            for k in names:
+                spark.conf.set(k, str(size))
+            found = content_digests(spark, str(tmp_path / "t.bin"), 1_000, 7).collect()
+            assert [r["tree_sha256"] for r in found] == [want]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
 
 
 def test_text_sinks(spark, tmp_path):
@@ -182,3 +203,14 @@ def test_text_sinks(spark, tmp_path):
         assert part.read_text(encoding="utf-8") == mark + 'name,v\n"ü, ""x""\ny",\n'
     writers.write_report(frame, str(tmp_path / "report"))
     assert rows(spark.read.json(str(tmp_path / "report"), schema=frame.schema)) == rows(frame)
+
+
+def test_a_stored_table_is_replaced_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    writers.write_table(spark.range(5), path)
+    writers.write_table(spark.read.parquet(path).where("id > 1"), path)  # from itself
+    assert rows(spark.read.parquet(path)) == [(2,), (3,), (4,)]
+    with pytest.raises(Exception, match="on the way"):
+        writers.write_table(spark.range(100).repartition(4).selectExpr("if(id = 77, cast(raise_error('on the way') as bigint), id) AS id"), path)
+    assert rows(spark.read.parquet(path)) == [(2,), (3,), (4,)]
+    assert [p.name for p in tmp_path.iterdir()] == ["t.parquet"]  # nothing is left beside it
