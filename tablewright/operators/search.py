@@ -1,26 +1,32 @@
 """Ranked text search over a corpus DataFrame, keyword routing and rule lookup.
 
-A search touches only the postings of the queries' terms. Frequent terms, which match
-a large part of the corpus, add candidates only while they could still lift a document
-into the top k; for all other documents they are only looked up. The result is exact.
+A search touches only the postings of the queries' terms, which lie in blocks of documents. A block
+that cannot hold one of the k best documents, by the greatest weight of each term in it, is not scored.
+The result is exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.kinds import q
 from tablewright.operators.matching import containing
-from tablewright.session import checkpoint, spread
+from tablewright.session import checkpoint, spread, written
 
 # Fixed values.
 K1, B = 1.5, 0.75
 TOP = 3
 MIN_WORD = 3
+BLOCK_DOCS = 1_024
+QUERY_TERMS = 500_000  # terms, query by query, of one block of queries
 NAME_WEIGHT, KEYWORD_WEIGHT, FIELD_WEIGHT = 10, 3, 1
 
 
@@ -35,12 +41,6 @@ def fields_text(columns: Sequence[str]) -> Column:
     return F.concat_ws(" ", *[F.coalesce(q(c).cast("string"), F.lit("")) for c in columns])
 
 
-def corpus_size(docs: DataFrame, text: Column) -> tuple[int, float]:
-    """Number of documents and their mean length in words."""
-    row = docs.select(F.size(words(text)).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words")).first()
-    return row["docs"], (row["words"] or 0) / max(row["docs"], 1)
-
-
 def idf(documents: int, containing_: Column) -> Column:
     return F.log((documents - containing_ + 0.5) / (containing_ + 0.5) + 1)
 
@@ -61,12 +61,102 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     return exploded.groupBy("query", "term").agg(F.count(F.lit(1)).alias("repeats"))
 
 
-def postings(docs: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
-    """``(doc, length, term, tf)`` for the given terms only."""
-    split = docs.select(q(key).alias("doc"), words(text).alias("w"))
-    exploded = split.select("doc", F.size("w").alias("length"), F.explode("w").alias("term"))
-    wanted = exploded.join(terms.select("term").distinct(), "term", "left_semi")
-    return wanted.groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _posting_blocks(docs: DataFrame, vocabulary: Sequence[str], block_docs: int) -> DataFrame:
+    """The documents (doc, w: their words) in blocks: keys, lengths, and per document the asked terms with their counts.
+
+    A term of very many documents is spread over all blocks. Words are counted in their row: nothing is exploded.
+    """
+    kind = docs.schema["doc"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(list(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {t: i for i, t in enumerate(shared.value)}
+        for batch in batches:
+            for first in range(0, batch.num_rows, block_docs):
+                part = batch.slice(first, block_docs)
+                w = part.column("w")
+                lengths = np.diff(w.offsets.to_numpy())
+                coded = w.flatten().dictionary_encode()
+                known = np.array([number.get(t, -1) for t in coded.dictionary.to_pylist()] or [-1], np.int64)
+                term = known[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+                owner = np.repeat(np.arange(len(lengths)), lengths)[term >= 0]
+                pair, tf = np.unique(owner * len(number) + term[term >= 0], return_counts=True)
+                sizes = np.bincount(pair // max(1, len(number)), minlength=len(lengths))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc")),
+                     *[pa.array([v.tolist()], pa.list_(pa.int32())) for v in (lengths, sizes, pair % max(1, len(number)), tf)]],
+                    ["docs", "lengths", "sizes", "terms", "tf"])
+    return docs.mapInArrow(run, f"docs array<{kind}>, lengths array<int>, sizes array<int>, terms array<int>, tf array<int>")
+
+
+class _Best:
+    """The best k documents of one query so far, by the rounded score and then by document."""
+
+    def __init__(self, k: int):
+        self.k, self.rows = k, []
+
+    @property
+    def bar(self) -> float:
+        return self.rows[-1][2] if len(self.rows) == self.k else 0.0
+
+    def add(self, docs: Sequence, scores: np.ndarray) -> None:
+        fit = np.flatnonzero(scores >= max(self.bar - 1e-8, 1e-300))
+        if len(fit) > 4 * self.k:  # ties with the k-th stay
+            least = np.partition(scores[fit], len(fit) - self.k)[len(fit) - self.k]
+            fit = fit[scores[fit] >= least - 1e-8]
+        new = [(-round(float(scores[i]), 9), (docs[i] is not None, docs[i]), float(scores[i]), docs[i]) for i in fit.tolist()]
+        self.rows = sorted(self.rows + new, key=lambda r: r[:2])[:self.k]
+
+
+def _scored_blocks(index: DataFrame, asked: Sequence[tuple[np.ndarray, np.ndarray]], weight: np.ndarray, mean: float, k: int, prune: bool) -> DataFrame:
+    """``(at, doc, score, read, skipped)``: the best k of every task for each query, and how many blocks it opened for it.
+
+    A block's maximum for a query is the sum of its terms' greatest weights in the block; below the task's k-th score it stays closed.
+    """
+    kind = index.schema["docs"].dataType.elementType.simpleString()
+    shared = index.sparkSession.sparkContext.broadcast((list(asked), weight))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, idfs = shared.value
+        best, read, skipped = [_Best(k) for _ in queries], [0] * len(queries), [0] * len(queries)
+        docs_kind = None
+        for batch in batches:
+            docs_kind = batch.schema.field("docs").type.value_type
+            for r in range(batch.num_rows):
+                docs = batch.column("docs")[r].as_py()
+                lengths, sizes, terms, tf = (np.array(batch.column(c)[r].as_py(), np.int64) for c in ("lengths", "sizes", "terms", "tf"))
+                norm = K1 * (1 - B + B * lengths / (mean or 1.0))
+                part = idfs[terms] * tf * (K1 + 1) / (tf + np.repeat(norm, sizes))
+                most = np.zeros(len(idfs))
+                np.maximum.at(most, terms, part)
+                stops = np.cumsum(sizes)
+                for i, (at, repeats) in enumerate(queries):
+                    bound = float((most[at] * repeats).sum())
+                    if bound <= 0 or (prune and bound < best[i].bar * (1 - 1e-9)):
+                        skipped[i] += 1
+                        continue
+                    read[i] += 1
+                    dense = np.zeros(len(idfs))
+                    dense[at] = repeats
+                    sums = np.concatenate([[0.0], np.cumsum(dense[terms] * part)])
+                    near = np.flatnonzero(sums[stops] - sums[stops - sizes] >= best[i].bar - 1e-6)
+                    if len(near) > 4 * k:
+                        rough = (sums[stops] - sums[stops - sizes])[near]
+                        near = near[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-6]
+                    # Running sums are rough in their last digits: the documents that count are added up on their own.
+                    exact = np.array([(dense[terms[e - z:e]] * part[e - z:e]).sum() for e, z in zip(stops[near].tolist(), sizes[near].tolist())])
+                    best[i].add([docs[d] for d in near.tolist()], exact)
+        rows = [(i, d, s) for i, b in enumerate(best) for _, _, s, d in b.rows]
+        counts = [(i, a, b) for i, (a, b) in enumerate(zip(read, skipped)) if a or b]
+        at, doc, score = list(zip(*rows)) or [()] * 3
+        also, opened, closed = list(zip(*counts)) or [()] * 3
+        if docs_kind is not None:
+            n, m = len(at), len(also)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*at, *also], pa.int32()), pa.concat_arrays([pa.array(doc, docs_kind), pa.nulls(m, docs_kind)]),
+                 pa.array([*score, *[None] * m], pa.float64()), pa.array([*[0] * n, *opened], pa.int64()), pa.array([*[0] * n, *closed], pa.int64())],
+                ["at", "doc", "score", "read", "skipped"])
+    return index.mapInArrow(run, f"at int, doc {kind}, score double, read bigint, skipped bigint")
 
 
 def _top(scores: DataFrame, k: int) -> DataFrame:
@@ -74,50 +164,62 @@ def _top(scores: DataFrame, k: int) -> DataFrame:
 
     Equal documents may differ in the last digits, by the order their parts were added in, so the
     order is by the rounded score and then by document."""
-    best = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "doc")
+    best = Window.partitionBy("at").orderBy(F.round("score", 9).desc(), "doc")
     return scores.filter("score > 0").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def _search_blocks(docs: DataFrame, key: str, text: Column, queries: DataFrame, query_key: str, query_text: str, k: int,
+                   prune: bool, block_docs: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Per block of queries the task's best documents, and the queries by number."""
+    docs = spread(docs.select(q(key).alias("doc"), text.alias("__text")), docs.count())
+    docs = docs.select("doc", words(F.col("__text")).alias("w"))
+    asked = query_terms(queries, query_key, query_text)
+    asked = written(asked.groupBy("query").agg(F.collect_list("term").alias("terms"), F.collect_list("repeats").alias("repeats")), "asked")
+    total = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    blocks, out = math.ceil(total / QUERY_TERMS), []
+    kind = queries.schema[query_key].dataType
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query", "terms"), F.lit(blocks)) == b).collect()  # about QUERY_TERMS terms
+        vocabulary = sorted({t for r in rows for t in r["terms"]})
+        number = {t: i for i, t in enumerate(vocabulary)}
+        index = written(_posting_blocks(docs, vocabulary, block_docs), "posting-blocks")
+        documents, length = index.agg(F.sum(F.size("docs")), F.sum(F.expr("aggregate(lengths, 0L, (a, n) -> a + n)"))).first()
+        if not documents:
+            continue
+        # At most one row per asked term.
+        holding = np.zeros(len(vocabulary))
+        for r in index.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
+            holding[r["t"]] = r["count"]
+        weight = np.log((documents - holding + 0.5) / (holding + 0.5) + 1)
+        pairs = [(np.array([number[t] for t in r["terms"]]), np.array(r["repeats"], float)) for r in rows]
+        names = docs.sparkSession.createDataFrame(
+            [(i, r["query"]) for i, r in enumerate(rows)], T.StructType([T.StructField("n", T.IntegerType()), T.StructField("query", kind)]))
+        out.append((_scored_blocks(index, pairs, weight, length / documents, k, prune), names))
+    return out
+
+
 def bm25(docs: DataFrame, key: str, text: Column, queries: DataFrame, query_key: str, query_text: str,
-         k: int = TOP, prune: bool = True) -> DataFrame:
+         k: int = TOP, prune: bool = True, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """``(query, doc, score, rank)``: the k best documents per query, ties in document order.
 
-    ``prune=False`` scores every document with an asked word; it is there to check the pruned plan by.
+    The asked words' postings are written once, in blocks of documents. ``prune=False`` opens every block; it is there to
+    check the pruned plan by. Queries go through in blocks of bounded size.
     """
-    docs = spread(docs.select(q(key), text.alias("__text")), docs.count())
-    text = F.col("__text")
-    documents, mean = corpus_size(docs, text)
-    asked = checkpoint(query_terms(queries, query_key, query_text))
-    # The corpus is split into words once; everything below reads the postings of the asked words.
-    found = checkpoint(postings(docs, key, text, asked))
-    frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0))
-    weighted = found.join(frequency, "term").select(
-        "doc", "term", (idf(documents, F.col("df")) * F.col("tf") * (K1 + 1) / norm).alias("weight"))
-    demand = asked.join(frequency, "term").select(
-        "query", "term", "repeats", "df",
-        (F.col("repeats") * idf(documents, F.col("df")) * (K1 + 1)).alias("most"))  # tf can at most saturate
-    if not prune:
-        hits = weighted.join(demand, "term")
-        scores = hits.groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("repeats")).alias("score"))
-        return _top(scores, k).select("query", "doc", "score", "rank")
-
-    # Terms from the rarest up. ``rest`` is the most that this and all more frequent terms could add.
-    rarest = Window.partitionBy("query").orderBy("df", "term")
-    onward = rarest.rowsBetween(0, Window.unboundedFollowing)
-    ordered = demand.withColumn("spot", F.row_number().over(rarest)).withColumn("rest", F.sum("most").over(onward))
-    first = weighted.join(ordered.filter("spot = 1"), "term").select(
-        "query", "doc", (F.col("weight") * F.col("repeats")).alias("score"))
-    floor = _top(first, k).groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
-    bar = ordered.join(floor, "query", "left").withColumn(
-        "floor", F.when(F.col("n") >= k, F.col("floor")).otherwise(0.0))
-    # A document that has only terms from here on cannot reach the k-th best partial score.
-    needed = bar.filter(F.col("rest") >= F.col("floor") * (1 - 1e-9))
-    candidates = weighted.join(needed, "term").select("query", "doc").distinct()
-    terms_of = candidates.join(demand.select("query", "term", "repeats"), "query")
-    scores = terms_of.join(weighted, ["doc", "term"]).groupBy("query", "doc").agg(
-        F.sum(F.col("weight") * F.col("repeats")).alias("score"))
-    return _top(scores, k).select("query", "doc", "score", "rank")
+    found = [_top(scores, k).join(F.broadcast(names), F.col("at") == F.col("n")).select("query", "doc", "score", "rank")
+             for scores, names in _search_blocks(docs, key, text, queries, query_key, query_text, k, prune, block_docs)]
+    if not found:
+        empty = docs.select(F.lit(None).cast(queries.schema[query_key].dataType).alias("query"), q(key).alias("doc"))
+        return empty.where("false").select("query", "doc", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    return reduce(DataFrame.unionAll, found)
+
+
+def blocks_opened(docs: DataFrame, key: str, text: Column, queries: DataFrame, query_key: str, query_text: str, k: int = TOP,
+                  block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """``(query, read, skipped)``: for how many blocks of documents the postings were read, and how many their maximum ruled out."""
+    found = [scores.groupBy("at").agg(F.sum("read").alias("read"), F.sum("skipped").alias("skipped")).join(
+        F.broadcast(names), F.col("at") == F.col("n")).select("query", "read", "skipped")
+        for scores, names in _search_blocks(docs, key, text, queries, query_key, query_text, k, True, block_docs)]
+    return reduce(DataFrame.unionAll, found)
 
 
 def search_fields(table: DataFrame, key: str, search_columns: Sequence[str], output_columns: Sequence[str],

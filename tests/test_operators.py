@@ -488,6 +488,20 @@ def test_pruned_search_equals_full_search(spark):
     full = Q.bm25(d, "id", F.col("t"), a, "q", "t", prune=False).select("query", "doc", "rank")
     pruned = Q.bm25(d, "id", F.col("t"), a, "q", "t", prune=True).select("query", "doc", "rank")
     assert sorted(map(tuple, full.collect())) == sorted(map(tuple, pruned.collect()))
+    small = Q.bm25(d, "id", F.col("t"), a, "q", "t", block_docs=8).select("query", "doc", "rank")
+    assert sorted(map(tuple, full.collect())) == sorted(map(tuple, small.collect()))
+
+
+def test_blocks_without_a_good_document_stay_closed(spark):
+    docs = [(i, "common words here " * 2 + ("rare " * 5 if i == 3 else "")) for i in range(600)] + [(None, None), (700, "")]
+    d = spark.createDataFrame(docs, "id bigint, t string").coalesce(1)
+    a = spark.createDataFrame([("x", "rare common"), ("y", "nowhere"), (None, "words"), ("z", None)], "q string, t string")
+    opened = {r["query"]: (r["read"], r["skipped"]) for r in Q.blocks_opened(d, "id", F.col("t"), a, "q", "t", 1, 50).collect()}
+    assert sum(opened["x"]) == 13 and opened["x"][0] <= 2  # the first block holds the rare word, and no other can reach it
+    assert opened["y"] == (0, 13)
+    got = {(r["query"], r["rank"]): r["doc"] for r in Q.bm25(d, "id", F.col("t"), a, "q", "t", 2, block_docs=50).collect()}
+    assert got == {("x", 1): 3, ("x", 2): 0, (None, 1): 0, (None, 2): 1}  # equal scores stand in the documents' order
+    assert Q.bm25(d.where("false"), "id", F.col("t"), a, "q", "t").collect() == []
 
 
 def test_routing_prefers_the_first_of_equals(spark):
