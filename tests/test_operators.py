@@ -421,6 +421,27 @@ def test_neighbours_in_blocks_equal_brute_force(spark):
         assert got[i] == {n for _, n in dist[:5]}
 
 
+def test_far_cells_never_meet(spark):
+    rng = random.Random(16)
+    centres = [[rng.uniform(-50, 50) for _ in range(4)] for _ in range(12)]
+    points = [(i, [c + rng.gauss(0, .3) for c in centres[i % 12]], i % 5) for i in range(900)]
+    points += [(900 + i, [60.0 + i, 0.0, 0.0, 0.0], 1) for i in range(3)]  # alone, far from every pivot
+    df = spark.createDataFrame(points, "id bigint, v array<double>, label int").repartition(4)
+    asked, train = df.filter("id % 9 = 0"), df.filter("id % 9 <> 0")
+    met, every = K.pairs_met(asked, train, "id", "v", "label", 7, 50, pivots=24)
+    assert met < every / 3
+    got = {}
+    for r in K.nearest(asked, train, "id", "v", "label", 7, 50, pivots=24).collect():
+        got.setdefault(r["key"], []).append((r["distance"], r["neighbour"]))
+    others = [p for p in points if p[0] % 9]
+    for i, v, _ in points:
+        if i % 9 == 0:
+            dist = sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(v, p[1]))), p[0]) for p in others)[:7]
+            assert [n for _, n in sorted(got[i])] == [n for _, n in dist]
+    assert K.nearest(asked, train.where("false"), "id", "v", "label").collect() == []
+    assert K.nearest(asked.limit(2), train.limit(3), "id", "v", "label", 7).count() == 6
+
+
 def test_copies_count_as_often_as_they_occur(spark):
     train = spark.createDataFrame([(1, [0.0], 0, 2), (2, [1.0], 1, 9), (3, [5.0], 0, 1)], "id bigint, v array<double>, y int, n bigint")
     asked = spark.createDataFrame([(7, [0.4])], "id bigint, v array<double>")
