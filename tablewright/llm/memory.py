@@ -1,0 +1,26 @@
+"""What a worker holds on to between tasks."""
+
+from __future__ import annotations
+
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker goes on to other tasks, and what an earlier one freed counts until then."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own house
+        pass
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task, which begins and ends with as little memory as it can."""
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+    return lean

@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from tablewright.llm.flat import shingle_sets
 from tablewright.llm.graph import components
 from tablewright.llm.joins import counted
+from tablewright.llm.memory import thrifty
 from tablewright.session import written
 
 WIDTH, THRESHOLD = 4, Fraction(85, 100)
 LOW_BITS = 2  # the filter looks at hashes whose first two bits are 0
 FRAGMENTS = 4
 ENTRIES_PER_FRAGMENT = 1_000_000  # of the filter
-ENTRIES_PER_FLUSH = 1_000_000  # some 100 MB in a worker while they are sorted
+ENTRIES_PER_FLUSH = 500_000  # some 50 MB in a worker while they are sorted
 BLOCK = 1024  # sets compared with as many others in one task
 COLUMNS = 1024  # n-grams per fragment inside such a task
 
@@ -52,7 +53,7 @@ def fingerprints(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
                     pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["key", "n", "low", "v", "w"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, n long, low long, v long, w long")
+    return docs.select(key, text).mapInArrow(thrifty(run), f"key {kind}, n long, low long, v long, w long")
 
 
 def _five(values: np.ndarray) -> bytes:
@@ -203,7 +204,7 @@ def _survivors(docs: DataFrame, sets: DataFrame, text: str, key: str, width: int
     slack = F.col("n") - F.ceil(F.col("n") * limit.numerator / limit.denominator)
     sums = sets.agg(F.coalesce(F.sum("low"), F.lit(0)).alias("low")).first()
     fragments = min(1 << 20, max(8, math.ceil(sums["low"] / ENTRIES_PER_FRAGMENT)))
-    packed = docs.select(text).mapInArrow(_pack(fragments, width), _PACKED)
+    packed = docs.select(text).mapInArrow(thrifty(_pack(fragments, width)), _PACKED)
     shared = packed.groupBy("fragment").applyInArrow(_count_shared, "v long, shared long")
     shared = shared.groupBy("v").agg(F.sum("shared").alias("shared"))
     # A set of so few n-grams that one more already breaks the threshold has equal sets as its only links.
@@ -213,7 +214,7 @@ def _survivors(docs: DataFrame, sets: DataFrame, text: str, key: str, width: int
     kept = written(kept.select(F.col("key").alias("__key")), "survivors")
     # Texts stay where they are while the keys are few enough for every task.
     texts = docs.join(counted(kept), docs[key] == F.col("__key"), "left_semi").select(text)
-    return written(texts.mapInArrow(_sets(width), "v long, n long, grams array<bigint>").dropDuplicates(["v"]), "sets")
+    return written(texts.mapInArrow(thrifty(_sets(width)), "v long, n long, grams array<bigint>").dropDuplicates(["v"]), "sets")
 
 
 def _ordered(survivors: DataFrame, limit: Fraction) -> DataFrame:
