@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import blobs
@@ -17,10 +17,12 @@ from tablewright.llm.text import LETTERS, LOWERED, whole
 from tablewright.session import written
 
 KEYS_PER_SHARD = 200_000
+LEAST_SHARDS = 16
 BROADCAST_BYTES = 64_000_000
-ROWS_PER_TASK = 1_000_000  # of one shard, where filters are too large to broadcast
+ROWS_PER_TASK = 1_000_000  # keys of one shard, where filters are too large to broadcast
 BITS_PER_KEY, PROBES = 10, 7
 MOST_LEVELS = 64
+VERDICTS = ("block", "allow")
 _U = np.uint64
 
 
@@ -48,13 +50,29 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(whole(url), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def longest_rule(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """Name and verdict of the longest rule that fits the host or a domain above it and begins the path; else null."""
-    found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for r in sorted(rules, key=lambda r: len(r.name)):
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        found = F.when(fits, F.struct(F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"))).otherwise(found)
-    return found
+def shapes_of(rules: DataFrame) -> list[tuple[int, int]]:
+    """How many labels the rules' hosts have and how many characters their paths: each pair that occurs, once.
+
+    As many as there are distinct pairs, however long the list of rules is.
+    """
+    labels = F.size(F.split("host", r"\.")).alias("labels")
+    return sorted((r["labels"], r["length"]) for r in rules.select(labels, F.length("path").alias("length")).distinct().collect())
+
+
+def candidates(host: Column, path: Column, shapes: Sequence[tuple[int, int]]) -> Column:
+    """The names of all rules of these shapes that would fit: ``size``, ``wide``, ``host``, ``path``; longest first.
+
+    A host or path that is shorter than a shape stands for itself, which fits as well. Of equal lengths the longer host comes first.
+    """
+    def one(shape: Column) -> Column:
+        above = F.call_function("substring_index", host, F.lit("."), -shape["labels"])
+        begin = F.substring(path, F.lit(1), shape["length"])
+        return F.struct((F.length(above) + F.length(begin)).alias("size"), F.length(above).alias("wide"), above.alias("host"), begin.alias("path"))
+
+    if not shapes:
+        return F.array().cast("array<struct<size:int,wide:int,host:string,path:string>>")
+    each = F.array(*[F.struct(F.lit(n).alias("labels"), F.lit(length).alias("length")) for n, length in shapes])
+    return F.sort_array(F.array_distinct(F.transform(each, one)), asc=False)
 
 
 def _bits(h: np.ndarray, g: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -100,8 +118,8 @@ def is_listed(levels: Sequence[np.ndarray], h: np.ndarray, g: np.ndarray) -> np.
     return answer
 
 
-def key_hashes(host: Column, path: Column) -> tuple[Column, Column]:
-    return F.xxhash64(host, path), F.xxhash64(path, F.lit("|"), host)
+def key_hashes(verdict: Column, host: Column, path: Column) -> tuple[Column, Column]:
+    return F.xxhash64(verdict, host, path), F.xxhash64(path, F.lit("|"), host, verdict)
 
 
 def build_cascade(keys: DataFrame, shards: int) -> DataFrame:
@@ -121,68 +139,96 @@ def _levels(row) -> list[np.ndarray]:
     return blobs.split(row["bits"], ["u1"] * row["levels"])
 
 
+def _answers(h: np.ndarray, g: np.ndarray, shards: int, filters: dict[int, list[np.ndarray]]) -> np.ndarray:
+    """Whether each key is listed."""
+    shard = (h.view(np.int64) % shards).astype(np.int64)
+    out = np.zeros(len(h), bool)
+    for s in np.unique(shard).tolist():
+        if s in filters:
+            mine = np.flatnonzero(shard == s)
+            out[mine] = is_listed(filters[s], h[mine], g[mine])
+    return out
+
+
 def probe(rows: DataFrame, cascade: DataFrame, shards: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``rows`` (with __h and __g) and whether each one's key is listed, as ``__listed``.
+    """``rows`` (with __h and __g, arrays of key hashes) and the place of the first listed key of each, as ``__place``; else null.
 
-    The filters go to every task while they are small; else the rows of each shard meet its filters,
-    a shard of many rows dealt over several tasks with a copy of the filters each.
+    The filters go to every task while they are small; else the keys of each shard meet its filters,
+    a shard of many keys dealt over several tasks with a copy of the filters each, and only the places of listed
+    keys come back to the rows.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", __listed boolean"
     size = cascade.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
-
-    def answer(columns: dict, table, filters: dict) -> pa.Array:
-        h, g = (columns[c].to_numpy(zero_copy_only=False).view(np.uint64) for c in ("__h", "__g"))
-        shard = (h.view(np.int64) % shards).astype(np.int64)
-        out = np.zeros(len(h), bool)
-        for s in np.unique(shard).tolist():
-            if s in filters:
-                mine = np.flatnonzero(shard == s)
-                out[mine] = is_listed(filters[s], h[mine], g[mine])
-        return pa.array(out)
-
     if size <= broadcast_bytes:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", __place int"
         held = rows.sparkSession.sparkContext.broadcast({r["shard"]: (r["levels"], r["bits"]) for r in cascade.collect()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filters = {s: blobs.split(bits, ["u1"] * n) for s, (n, bits) in held.value.items()}
             for batch in batches:
-                columns = {n: batch.column(n) for n in ("__h", "__g")}
-                yield pa.RecordBatch.from_arrays([*batch.columns, answer(columns, batch, filters)], [*batch.schema.names, "__listed"])
+                h, g = batch.column("__h"), batch.column("__g")
+                sizes = np.diff(h.offsets.to_numpy())
+                begin = np.concatenate([[0], np.cumsum(sizes)])
+                listed = _answers(*(c.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in (h, g)), shards, filters)
+                hits = np.flatnonzero(listed)
+                row = np.searchsorted(begin, hits, side="right") - 1
+                row, first = np.unique(row, return_index=True)  # hits are in order, so the first is the smallest
+                place, missing = np.zeros(len(sizes), np.int32), np.ones(len(sizes), bool)
+                place[row], missing[row] = hits[first] - begin[row], False
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, mask=missing)], [*batch.schema.names, "__place"])
         return rows.mapInArrow(run, schema)
 
+    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    each = rows.select("__row", F.posexplode(F.arrays_zip("__h", "__g")).alias("__place", "k")).select("__row", "__place", "k.*")
     shard = F.pmod("__h", F.lit(shards)).cast("int")
-    most = rows.groupBy(shard.alias("s")).count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+    most = each.groupBy(shard.alias("s")).count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
     parts = math.ceil(most / ROWS_PER_TASK)
-    dealt = rows.withColumns({"__shard": shard, "__part": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")})
+    dealt = each.withColumns({"__shard": shard, "__part": F.pmod(F.xxhash64("__row"), F.lit(parts)).cast("int")})
     copies = cascade.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         filters = {r["shard"]: _levels(r) for r in right.to_pylist()}
-        left = left.drop_columns(["__shard", "__part"])
-        return left.append_column("__listed", answer({n: left.column(n) for n in ("__h", "__g")}, left, filters))
-    return dealt.groupBy("__shard", "__part").cogroup(copies.groupBy("shard", "__part")).applyInArrow(meet, schema)
+        h, g = (left.column(n).to_numpy().view(np.uint64) for n in ("__h", "__g"))
+        return left.select(["__row", "__place"]).filter(pa.array(_answers(h, g, shards, filters)))
+    hits = dealt.groupBy("__shard", "__part").cogroup(copies.groupBy("shard", "__part")).applyInArrow(meet, "__row long, __place int")
+    first = hits.groupBy("__row").agg(F.min("__place").alias("__place"))
+    return rows.join(first, "__row", "left").drop("__row")
+
+
+def rule_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """Rules as a table of ``verdict`` (block or allow), ``host`` and ``path``."""
+    if isinstance(rules, DataFrame):
+        return rules.select("verdict", "host", "path")
+    return spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
 
 
-def judge(pages: DataFrame, url: str = "url", rules: Sequence[Rule] = RULES, broadcast_bytes: int = BROADCAST_BYTES,
+def judge(pages: DataFrame, url: str = "url", rules: Sequence[Rule] | DataFrame = RULES, broadcast_bytes: int = BROADCAST_BYTES,
           keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
-    The keys are all distinct hosts and paths of the table, the listed ones those whose longest rule
-    blocks. The cascade is built over all of them and so is exact for each; every page is judged by
-    probing it. A null url, or one without ://, has an empty host and path, which no rule fits and no
-    list holds: it is allowed. Repeated rows are judged alike, an empty table gives no rows, and columns
+    A page asks for every rule that would fit it: its host or a domain above it, the beginning of its path, and a verdict. These
+    questions of all pages are the universe of keys, the rules are the listed ones, and the cascade over both answers each question
+    exactly. The longest rule found decides (of one name with both verdicts, block). Rules are a list or a table; their number costs nothing in
+    the plan. A page without a rule is allowed: also a null url, or one without ://, with empty host and path.
+    Repeated rows are judged alike, an empty table gives no rows, without rules all pages are allowed, and columns
     of ``pages`` with one of the four names are replaced.
     """
     added = ("host", "path", "rule", "verdict")
     given = [F.col(f"`{c}`") for c in pages.columns if c not in added]
     split = pages.select(*given, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    split = split.withColumn("__rule", longest_rule(F.col("host"), F.col("path"), rules))
-    h, g = key_hashes(F.col("host"), F.col("path"))
-    split = split.select("*", h.alias("__h"), g.alias("__g"))
-    listed = F.coalesce(F.col("__rule.verdict") == "block", F.lit(False))
-    keys = written(split.groupBy(F.col("__h").alias("h"), F.col("__g").alias("g")).agg(F.max(listed).alias("listed")), "keys")
-    shards = max(1, math.ceil(keys.count() / keys_per_shard))
+    listed = rule_table(pages.sparkSession, rules)
+    shapes = shapes_of(listed)
+    fits = candidates(F.col("host"), F.col("path"), shapes)
+
+    def hashes(which: int) -> Column:
+        return F.flatten(F.transform(fits, lambda c: F.array(*[key_hashes(F.lit(v), c["host"], c["path"])[which] for v in VERDICTS])))
+    asked = split.select(*given, "host", "path", hashes(0).alias("__h"), hashes(1).alias("__g"))
+    h, g = key_hashes(F.col("verdict"), F.col("host"), F.col("path"))
+    universe = asked.select(F.explode(F.arrays_zip("__h", "__g")).alias("k")).select(F.col("k.__h").alias("h"), F.col("k.__g").alias("g"), F.lit(False).alias("listed"))
+    universe = universe.union(listed.select(h, g, F.lit(True)))
+    keys = written(universe.groupBy("h", "g").agg(F.max("listed").alias("listed")), "keys")
+    shards = max(LEAST_SHARDS, math.ceil(keys.count() / keys_per_shard))
     cascade = written(build_cascade(keys, shards), "cascade")
-    rows = split.select(*given, "host", "path", F.col("__rule.rule").alias("rule"), "__h", "__g")
-    judged = probe(rows, cascade, shards, broadcast_bytes)
-    return judged.withColumn("verdict", F.when(F.col("__listed"), "block").otherwise("allow")).drop("__h", "__g", "__listed")
+    judged = probe(asked, cascade, shards, broadcast_bytes).drop("__h", "__g")
+    found = F.get(fits, F.floor(F.col("__place") / len(VERDICTS)).cast("int"))
+    verdict = F.coalesce(F.get(F.array(*map(F.lit, VERDICTS)), F.pmod("__place", F.lit(len(VERDICTS)))), F.lit("allow"))
+    return judged.withColumns({"rule": F.concat(found["host"], found["path"]), "verdict": verdict}).drop("__place")

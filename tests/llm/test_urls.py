@@ -60,3 +60,36 @@ def test_order_of_keys_does_not_matter():
     order = np.array(draw.sample(range(3000), 3000))
     a, b = urls.build_levels(h, h, listed), urls.build_levels(h[order], h[order], listed[order])
     assert all((x == y).all() for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("bound", [urls.BROADCAST_BYTES, 0])
+def test_many_rules(spark, bound):
+    draw = random.Random(8)
+    labels = ["a", "b", "c", "é", "net", "org"]
+    rules = {}
+    while len(rules) < 100_000:
+        host = ".".join(draw.choice(labels) + str(draw.randrange(30)) for _ in range(draw.randrange(1, 5)))
+        path = "/" + "".join(draw.choice("xyzé/") for _ in range(draw.choice([0, 1, 2, 5])))
+        rules[host, path] = draw.choice(["block", "allow"])
+    names = list(rules)
+    pages = []
+    for i in range(3000):
+        host, path = draw.choice(names)
+        pages.append((i, "http://" + draw.choice(["", "w.", "w", "a1.b2."]) + host + path + draw.choice(["", "x", "/tail?q", "\u00e9#z"])))
+    table = spark.createDataFrame([(v, h, p) for (h, p), v in rules.items()], "verdict string, host string, path string")
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules=table, broadcast_bytes=bound).collect()}
+    assert len(got) == len(pages)
+    for key, url in pages:
+        host, path, _, _ = plain(url)
+        parts = host.split(".")
+        above = [".".join(parts[i:]) for i in range(len(parts))]
+        fits = [(len(a) + n, len(a), a, path[:n]) for a in above for n in range(len(path) + 1) if (a, path[:n]) in rules]
+        best = max(fits, default=None)
+        assert (got[key]["rule"], got[key]["verdict"]) == ((best[2] + best[3], rules[best[2:]]) if best else (None, "allow"))
+
+
+def test_no_rules_and_one_name_with_both_verdicts(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, None)], "page_id long, url string")
+    assert {(r["rule"], r["verdict"]) for r in urls.judge(pages, rules=[]).collect()} == {(None, "allow")}
+    both = [urls.Rule("allow", "net", "/"), urls.Rule("block", "net", "/")]
+    assert {(r["page_id"], r["rule"], r["verdict"]) for r in urls.judge(pages, rules=both).collect()} == {(1, "net/", "block"), (2, None, "allow")}
