@@ -29,8 +29,8 @@ from tablewright.session import written
 WIDTH, THRESHOLD = 4, Fraction(85, 100)
 LOW_BITS = 2  # the filter looks at hashes whose first two bits are 0
 FRAGMENTS = 4
-ENTRIES_PER_FRAGMENT = 1_000_000  # of the filter
-ENTRIES_PER_FLUSH = 1_000_000  # some 100 MB in a worker while they are sorted
+ENTRIES_PER_FRAGMENT = 400_000  # of the filter
+ENTRIES_PER_FLUSH = 400_000  # some 40 MB in a worker while they are sorted
 BLOCK = 1024  # sets compared with as many others in one task
 COLUMNS = 1024  # n-grams per fragment inside such a task
 
@@ -76,6 +76,8 @@ def _pack(fragments: int, width: int):
     """
     def flush(hashes: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, owner = np.concatenate(hashes), np.concatenate(owners)
+        hashes.clear()
+        owners.clear()
         order = np.argsort(h)
         ranked, owned = h[order], owner[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(h) else np.zeros(0, int)
@@ -123,7 +125,7 @@ def _pack(fragments: int, width: int):
                 held += len(hashes[-1])
                 if held >= ENTRIES_PER_FLUSH:
                     yield from flush(hashes, owners)
-                    hashes, owners, held, seen = [], [], 0, set()
+                    held, seen = 0, set()
         if held:
             yield from flush(hashes, owners)
     return run
