@@ -42,6 +42,16 @@ def test_patterns_of_whole_table_and_odd_texts(spark):
     assert secrets.learn(both.limit(0)) is None
 
 
+def test_words_over_the_border_of_two_texts():
+    """A keyword that two neighbours make together takes no letter from one that the second holds."""
+    keywords = ["password", "passwd", "secret", "token", "api_key", "apikey"]
+    texts = [t for a in keywords for b in keywords for cut in range(len(a)) for t in (a[:cut], f"{b}=abcdefgh")]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    (out,) = secrets._scan(None)(iter([batch]))
+    for text, spans in zip(texts, out.column(1).to_pylist()):
+        assert [(s["start"], s["kind"], s["stop"]) for s in spans] == plain(text)
+
+
 def test_registered_digest(spark):
     rows = entry.queries()["op8_secret_scan"](spark, FOLDER).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
