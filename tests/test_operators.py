@@ -47,6 +47,18 @@ def test_large_quantiles_are_exact(skewed):
     assert a["x"] == pytest.approx(b["x"]) and a["y"] == pytest.approx(b["y"])
 
 
+def test_quantiles_take_one_sketch_per_column(spark, skewed, monkeypatch):
+    """However many ranks are wanted: a sketch per rank made a pass cost some hundred aggregates per row."""
+    calls, sketch = [], F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: calls.append(a) or sketch(*a))
+    shares = [i / 16 for i in range(17)]
+    large = O.quantiles(skewed, ["x", "y"], shares, small=10, bracket_values=40)
+    small = O.quantiles(skewed, ["x", "y"], shares)
+    a, b = (skewed.agg(*[m[c].alias(c) for c in ("x", "y")]).first() for m in (large, small))
+    assert a["x"] == pytest.approx(b["x"]) and a["y"] == pytest.approx(b["y"])
+    assert len(calls) <= 4  # the two columns, and what is still too wide in a second round
+
+
 def test_large_running_totals_agree(skewed):
     counts = skewed.groupBy(F.col("k") % 3, "x").count().toDF("g", "x", "n")
     small = O.running_totals(counts, [F.col("x")], {"upto": F.col("n")}, ["g"])
