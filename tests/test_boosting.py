@@ -103,3 +103,21 @@ def test_weights_constant_targets_and_no_rows(spark):
     w = np.where(np.arange(200) < 100, 1.0, 0.0)
     weighted = B.boost(table(spark, x, y, w=w), 3, B.Settings(depth=2, least_curvature=1.0), 2)[0]
     assert weighted.base == pytest.approx(y[:100].mean())
+
+
+@pytest.mark.parametrize("logistic", [False, True])
+def test_rows_of_equal_bins_are_one_cell(spark, logistic):
+    """Ten copies of every row in other tasks are as many cells as one, and their trees are those of ten times the weight."""
+    x, y = planted(400)
+    y = (y > 2).astype(float) if logistic else y
+    held = np.arange(len(y)) % 5 == 0
+    copies = table(spark, np.tile(x, (10, 1)), np.tile(y, 10), np.tile(held, 10), w=np.full(4_000, 2.0))
+    edges = B.bin_edges(copies, 3)
+    count = B.to_cells(copies, edges, 3, False).count()
+    assert count == B.to_cells(table(spark, x, y, held), edges, 3, False).count() <= 400
+    assert count < B.to_cells(copies, edges, 3, True).count() < 4_000
+    settings = B.Settings(logistic=logistic, depth=3, learning_rate=.3)
+    many = B.boost(copies, 3, settings, 6, patience=None)[0]
+    one = B.boost(table(spark, x, y, held, w=np.full(400, 20.0)), 3, settings, 6, patience=None)[0]
+    assert many.edges == one.edges and many.raw(x) == pytest.approx(one.raw(x)) and many.losses == pytest.approx(one.losses)
+    assert many.trees[0].rows[0] == 10 * one.trees[0].rows[0]
