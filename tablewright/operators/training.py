@@ -97,8 +97,10 @@ def sweep(df: DataFrame, target: str, task: str, candidates: Sequence[str] = ("b
         raise TaskError("No model could be trained: " + "; ".join(f"{r[0]}: {r[4]}" for r in log))
     best = max(scores, key=lambda n: sum(scores[n]) / len(scores[n]))
     start = sum(scores[best]) / len(scores[best])
-    found = tuning.search(best, lambda params, k: one(best, params, k), folds, rows // folds, models.DEFAULTS[best],
-                          start, tuning_budget, tuning_seconds, tuning.noise(scores[best]))
+    with models.FoldScores(best, task, data, target, features, folds, metric, labels, balanced, key, max_trees=max_trees,
+                           neighbour_rows=neighbour_rows) as fold_scores:
+        found = tuning.search(best, fold_scores, folds, rows // folds, models.DEFAULTS[best],
+                              start, tuning_budget, tuning_seconds, tuning.noise(scores[best]))
     params = {**models.DEFAULTS[best], **found.params}
     final = models.fit(best, task, params, train, target, features, labels, balanced, key, max_trees=max_trees, neighbour_rows=neighbour_rows)
 

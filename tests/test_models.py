@@ -1,6 +1,7 @@
 """Model candidates: invariants on planted data, tuning rules, and round trips."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -240,3 +241,25 @@ def test_settings_are_whole_and_in_range(name):
 def test_noise_shrinks_with_folds():
     assert tuning.noise([3.0, 5.0]) == pytest.approx(2 ** -0.5)
     assert tuning.noise([3.0, 5.0] * 8) == pytest.approx(0.25)
+
+
+def test_fits_of_a_search_share_the_rows_of_their_folds(people, monkeypatch):
+    data = S.with_folds(people.select(*FEATURES, "smoker", "id"), "smoker", ["id"], folds=2)
+    made = []
+    fit = L.Encoder.fit
+    monkeypatch.setattr(L.Encoder, "fit", lambda *a: made.append(a) or fit(*a))
+    features = [c for c in FEATURES if c != "smoker"]
+    with L.FoldScores("linear", "classification", data, "smoker", features, 2, "accuracy", ["no", "yes"], key=["id"]) as shared:
+        got = [shared({"strength": s}, k) for s in (0.01, 10.0) for k in (0, 1)]
+    assert len(made) == 2
+    assert got == [L.fold_score("linear", "classification", {"strength": s}, data, "smoker", features, k, "accuracy", ["no", "yes"], key=["id"])
+                   for s in (0.01, 10.0) for k in (0, 1)]
+
+
+def test_trials_side_by_side_keep_to_the_budget():
+    def slow(settings, fold):
+        time.sleep(0.02 * (1 + settings["strength"] % 3))
+        return 0.4
+    found = tuning.search("linear", slow, 5, 50, {"strength": 1.0}, 0.4, budget=4, parallelism=4)
+    assert ends(found) == [(5, "whole")] * 4
+    assert [t.origin for t in found.trials] == ["listed"] * 3 + ["drawn"]
