@@ -263,3 +263,12 @@ def test_trials_side_by_side_keep_to_the_budget():
     found = tuning.search("linear", slow, 5, 50, {"strength": 1.0}, 0.4, budget=4, parallelism=4)
     assert ends(found) == [(5, "whole")] * 4
     assert [t.origin for t in found.trials] == ["listed"] * 3 + ["drawn"]
+
+
+def test_a_forest_never_reads_all_rows_in_one_task(people, monkeypatch):
+    parts = []
+    fit = L.RandomForestClassifier.fit
+    monkeypatch.setattr(L, "FOREST_TASK_ROWS", 100, raising=False)
+    monkeypatch.setattr(L.RandomForestClassifier, "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()) or fit(self, df))
+    fitted = L.fit("forest", "classification", L.DEFAULTS["forest"], people.coalesce(1), "smoker", ["charges", "age"], ["no", "yes"], max_trees=3)
+    assert parts == [6] and L.importances(fitted).first()["feature"] == "charges"
