@@ -5,13 +5,15 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.session import rows_per_batch
 from tablewright.sources.normalize import IngestError
 
 # Fixed values.
@@ -67,21 +69,55 @@ def _records(lines: Sequence[str]) -> list[str]:
 
 
 def _look(delimiter: str | None):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        records = [r for r in _records(group.sort_values("at")["raw"].tolist()) if r.strip()]
+    """Delimiter and header of each file from its first lines; of the other lines nothing is kept.
+
+    Whole lines as far as the sniffed text goes, and on while a quote that the first record opened is not closed. The
+    lines of a file follow each other.
+    """
+    def found(file: str, lines: list[str]) -> pa.RecordBatch:
+        records = [r for r in _records(lines) if r.strip()]
         room, sniffed = SNIFF_CHARS, []
         for record in records:
             if room <= 0:
                 break
             sniffed.append(record[:room].replace("\n", " "))
             room -= len(record)
-        found = delimiter or sniff_delimiter(sniffed)
+        mark = delimiter or sniff_delimiter(sniffed)
         # The first record is read whole, however wide the table is.
-        names = next(csv.reader(io.StringIO(records[0]), delimiter=found), []) if records else []
-        return pd.DataFrame({"file": [group["file"].iloc[0]], "delimiter": [found], "header": [names]})
+        names = next(csv.reader(io.StringIO(records[0]), delimiter=mark), []) if records else []
+        return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([mark]), pa.array([names], pa.list_(pa.string()))], ["file", "delimiter", "header"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, lines, chars, quotes, closed = None, [], 0, 0, False
+        for batch in batches:
+            for name, values in _by_file(batch):
+                if name != file:
+                    if file is not None:
+                        yield found(file, lines)
+                    file, lines, chars, quotes, closed = name, [], 0, 0, False
+                for value in values:
+                    if closed and (len(lines) >= HEAD_LINES or chars >= SNIFF_CHARS):
+                        break
+                    lines.append(value.as_py().decode("latin-1"))
+                    chars += len(lines[-1])
+                    quotes += lines[-1].count('"')
+                    closed = closed or (quotes % 2 == 0 and chars > 0)
+        if file is not None:
+            yield found(file, lines)
     return run
 
 
+def _by_file(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
+    """The lines of a batch, file by file."""
+    if not batch.num_rows:
+        return
+    files = batch.column("file").dictionary_encode()
+    codes = files.indices.to_numpy()
+    edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield files.dictionary[int(codes[a])].as_py(), batch.column("value").slice(a, b - a)
+
+
 def _lines(spark: SparkSession, paths) -> DataFrame:
     lines = spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
@@ -100,18 +136,12 @@ def dialects(spark: SparkSession, paths, delimiter: str | None = None) -> list[D
         F.count_if(~F.is_valid_utf8("value")).alias("bad"),
         F.count_if(F.col("raw").rlike(CP1252_UNDEFINED)).alias("undefined"),
         F.count_if((F.length("raw") - F.length(F.replace("raw", F.lit('"'), F.lit("")))) % 2 == 1).alias("open"))
-    heads = lines.where("block = 0").withColumn("at", F.monotonically_increasing_id())
-    # Whole lines as far as the sniffed text goes, and on while a quote that the first record opened is not closed.
-    quotes = F.length("raw") - F.length(F.replace("raw", F.lit('"'), F.lit("")))
-    in_file = Window.partitionBy("file").orderBy("at")
-    heads = heads.withColumns({"n": F.row_number().over(in_file), "upto": F.sum(F.length("raw")).over(in_file), "quotes": F.sum(quotes).over(in_file)})
-    closed = F.coalesce(F.max(((F.col("quotes") % 2 == 0) & (F.col("upto") > 0)).cast("int")).over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
-    heads = heads.withColumn("closed", closed)
-    sniffed = (F.col("n") <= HEAD_LINES) & (F.col("upto") - F.length("raw") < SNIFF_CHARS)
-    heads = heads.where(sniffed | ~F.col("closed")).select("file", "at", "raw")
-    looked = heads.groupBy("file").applyInPandas(_look(delimiter), "file string, delimiter string, header array<string>")
+    heads = lines.where("block = 0").select("file", F.col("value").cast("binary").alias("value"))
+    looked = heads.mapInArrow(_look(delimiter), "file string, delimiter string, header array<string>")
     groups: dict[tuple, list[str]] = {}
-    for r in tested.join(looked, "file").collect():
+    with rows_per_batch(spark, HEAD_LINES):
+        found = tested.join(looked, "file").collect()
+    for r in found:
         encoding = "utf-8" if not r["bad"] else "latin-1" if r["undefined"] else "cp1252"
         names = tuple(_decoded(n, encoding) for n in r["header"])
         if names:

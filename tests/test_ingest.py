@@ -2,10 +2,11 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 
+from tablewright.sources import dialects, readers, writers
 from tablewright.sources import normalize as N
-from tablewright.sources import readers, writers
 from tablewright.sources.dialects import sniff_delimiter
 from tablewright.sources.digests import content_digests
 
@@ -214,3 +215,15 @@ def test_a_stored_table_is_replaced_whole_or_not_at_all(spark, tmp_path):
         writers.write_table(spark.range(100).repartition(4).selectExpr("if(id = 77, cast(raise_error('on the way') as bigint), id) AS id"), path)
     assert rows(spark.read.parquet(path)) == [(2,), (3,), (4,)]
     assert [p.name for p in tmp_path.iterdir()] == ["t.parquet"]  # nothing is left beside it
+
+
+def test_dialects_look_at_the_first_lines_alone(spark, tmp_path):
+    """Later lines are passed by where they are read; a null would fail if it were looked at."""
+    path = put(tmp_path, a__csv='"x\n' + "y\n" * 3_000 + '",b\n' + "1,2\n" * 3_000, b__csv="a;b\n" + "1;2,0\n" * 3_000)
+    wide = ("x\n" + "y\n" * 3_000, "b")
+    assert [(d.delimiter, d.header) for d in dialects.dialects(spark, path)] == [(",", wide), (";", ("a", "b"))]
+    lines = [b"a;b"] + [b"1;2,0"] * (dialects.HEAD_LINES - 1) + [None] * 5_000
+    batches = [pa.RecordBatch.from_arrays([pa.array(["f"] * 100), pa.array(lines[i:i + 100])], ["file", "value"]) for i in range(0, 6_000, 100)]
+    batches.append(pa.RecordBatch.from_arrays([pa.array(["g"]), pa.array([b"c,d"])], ["file", "value"]))
+    found = [b.to_pylist()[0] for b in dialects._look(None)(iter(batches))]
+    assert found == [{"file": "f", "delimiter": ";", "header": ["a", "b"]}, {"file": "g", "delimiter": ",", "header": ["c", "d"]}]
