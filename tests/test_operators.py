@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -574,3 +575,18 @@ def test_curves_keep_all_classes(spark):
     long = M.one_vs_rest(df, "label", "scores", names)
     steps = M.score_steps(long, F.col("is_class"), F.col("class_score"), F.col("class"))
     assert {r[0] for r in M.roc_points(steps).select("class").distinct().collect()} == set(names)
+
+
+def test_rows_travel_once_per_block_not_once_per_cell(spark):
+    """Cells side by side share a block, and the result of many small cells is that of brute force, with ties by key."""
+    assert K._grouped([3, 4, 0, 9, 2, 1], 8) == ([0, 0, 0, 1, 2, 2], [1, 2, 1])
+    rng = np.random.default_rng(8)
+    points = rng.integers(0, 4, (1_200, 5)).astype(np.float32)
+    df = spark.createDataFrame([(i, p.tolist(), i % 3) for i, p in enumerate(points)], "id bigint, v array<float>, label int").repartition(4)
+    got = {}
+    for r in K.nearest(df.filter("id % 6 = 0"), df.filter("id % 6 <> 0"), "id", "v", "label", 7, pivots=40).collect():
+        got.setdefault(r["key"], []).append((r["distance"], r["neighbour"]))
+    others = [i for i in range(1_200) if i % 6]
+    for i in range(0, 1_200, 6):
+        away = np.sqrt(((points[others].astype(float) - points[i]) ** 2).sum(1)).tolist()
+        assert sorted(got[i]) == sorted(zip(away, others))[:7]
