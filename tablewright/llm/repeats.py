@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import blobs
-from tablewright.llm.flat import chunks, mix, range_hash, rolling
+from tablewright.llm.flat import Powers, chunks, mix, range_hash, rolling
 from tablewright.llm.suffixes import suffix_array
 from tablewright.session import written
 
@@ -35,6 +35,7 @@ NULL_KEY = np.int64(2 ** 63 - 1)  # a null key is larger than all others
 ANCHOR_BYTES = 8_000_000  # of text per owner task of anchors
 TEXT_BYTES = 16_000_000  # of text per owner task of documents
 ENTRIES_PER_FLUSH = 4_000_000
+CHUNK = 1 << 17  # bytes whose windows are hashed at once, so that the arrays stay in a core's cache
 HOT_CONTEXTS = 20_000  # contexts of one anchor beyond which its windows are dealt over several tasks
 _U = np.uint64
 
@@ -59,18 +60,21 @@ def _runs(data: np.ndarray, edges: np.ndarray):
     if n < WINDOW:
         return nothing
     sums = rolling(data)
-    place = np.arange(n - GRAM + 1)
-    gram = range_hash(sums, place, place + GRAM)
-    least = (gram & _U(0xFFFFFFFF00000000)) | place.astype(np.uint64)
+    # A hash of each 25-byte string, in whose place its own position stands below the upper half.
+    least = sums[GRAM:] - sums[:-GRAM]
+    least *= Powers.upto(n)[1][:len(least)]
+    least &= _U(0xFFFFFFFF00000000)
+    least |= np.arange(len(least), dtype=np.uint64)
     reach = 1
     while reach < SPAN:
         step = min(reach, SPAN - reach)
         least = np.minimum(least[:-step], least[step:])
         reach += step
-    text = np.repeat(np.arange(len(edges) - 1), np.diff(edges))[:len(least)]
-    inside = place[:len(least)] + WINDOW <= edges[1:][text]
+    inside = np.ones(len(least), bool)
+    for end in edges[1:].tolist():  # no window starts in the last bytes of a text; of a short one they reach into those of the text before
+        inside[max(end - WINDOW + 1, 0):end] = False
     begins = inside.copy()
-    begins[1:] &= (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+    begins[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
     first = np.flatnonzero(begins)
     if not len(first):
         return nothing
@@ -79,7 +83,20 @@ def _runs(data: np.ndarray, edges: np.ndarray):
     count = np.flatnonzero(ends) + 1 - first
     anchor = (least[first] & _U(0xFFFFFFFF)).astype(np.int64)
     context = mix(range_hash(sums, first, first + count + WINDOW - 1) + (anchor - first).astype(np.uint64))
-    return text[first], first, count, anchor, mix(gram[anchor] ^ _U(0x5851F42D4C957F2D)), context & _U((1 << 48) - 1)
+    gram = range_hash(sums, anchor, anchor + GRAM)
+    text = np.searchsorted(edges, first, side="right") - 1
+    return text, first, count, anchor, mix(gram ^ _U(0x5851F42D4C957F2D)), context & _U((1 << 48) - 1)
+
+
+def _ordered(key: np.ndarray, *ties: np.ndarray) -> np.ndarray:
+    """Rows in the order of their keys, those of equal keys in the order of the ties."""
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    tied = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+    if len(tied):
+        rows = order[tied]
+        order[tied] = rows[np.lexsort((*[t[rows] for t in reversed(ties)], key[rows]))]
+    return order
 
 
 def _keys(column: pa.Array) -> np.ndarray:
@@ -102,7 +119,7 @@ def _verdicts(doc: np.ndarray, context: np.ndarray, windows: np.ndarray, buckets
 def _find(anchor_buckets: int, doc_buckets: int):
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         anchor, context, doc = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((doc, context, anchor))
+        order = _ordered(anchor ^ (context << _U(16)), context, doc)
         a, c, d = anchor[order], context[order], doc[order]
         begins = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
         least = d[np.flatnonzero(begins)][np.cumsum(begins) - 1]
@@ -119,7 +136,7 @@ def _find(anchor_buckets: int, doc_buckets: int):
         held, entries = [], 0
         for batch in batches:
             keys = _keys(batch.column(0))
-            for row, _, data, edges in chunks(batch.column(1)):
+            for row, _, data, edges in chunks(batch.column(1), CHUNK):
                 text, _, _, _, anchor, context = _runs(data, edges)
                 held.append([anchor, context, keys[row + text]])
                 entries += len(text)
@@ -137,7 +154,7 @@ def _settle(doc_buckets: int, hot: int):
         anchor, context, owners, sizes = blobs.gather(found, _ENTRY)
         # Only the anchor's low 40 bits travel; the bucket is part of the grouping already.
         anchor, context, doc = blobs.wide(anchor, 5), blobs.wide(context, 6), np.repeat(owners, sizes)
-        order = np.lexsort((doc, context, anchor))
+        order = _ordered((anchor << _U(24)) | (context >> _U(24)), context, doc)
         anchor, context, doc = anchor[order], context[order], doc[order]
         new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         begins = new_anchor | np.concatenate([[True], context[1:] != context[:-1]])
@@ -180,7 +197,7 @@ def _documents(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         keys, lengths, data = blobs.split(blob, ["<i8", "<i8", "u1"])
         edges = np.concatenate([[0], np.cumsum(lengths)])
         column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
-        for row, stop, part, cut in chunks(column):
+        for row, stop, part, cut in chunks(column, CHUNK):
             yield keys[row:stop], part, cut
 
 
@@ -247,27 +264,27 @@ def _supply(anchor_buckets: int):
 def repeated_windows(contexts: list[tuple[int, int, bytes]]) -> list[int]:
     """For each (document, windows, symbols) of one anchor: the windows, as bits, that a smaller document has too."""
     text = b"\x01".join(symbols for _, _, symbols in contexts) + b"\x00"
-    owner, at = {}, 0
+    owner, at = [-1] * len(text), 0  # a window's context and place in it, as one number
     for number, (_, windows, symbols) in enumerate(contexts):
-        for w in range(windows):
-            owner[at + w] = (number, w)
+        owner[at:at + windows] = range(number * SPAN, number * SPAN + windows)
         at += len(symbols) + 1
     out, run, last = [0] * len(contexts), [], None
 
     def close() -> None:
-        least = min(contexts[n][0] for n, _ in run)
-        for n, w in run:
-            if contexts[n][0] > least:
-                out[n] |= 1 << w
+        least = min(contexts[k // SPAN][0] for k in run)
+        for k in run:
+            if contexts[k // SPAN][0] > least:
+                out[k // SPAN] |= 1 << k % SPAN
 
     for i in suffix_array(text):
-        if i in owner:
+        if owner[i] >= 0:
             window = text[i:i + SPAN]
-            if window != last:
+            if window == last:
+                run.append(owner[i])
+            else:
                 if len(run) > 1:
                     close()
-                run, last = [], window
-            run.append(owner[i])
+                run, last = [owner[i]], window
     if len(run) > 1:
         close()
     return out
@@ -297,13 +314,18 @@ def lost_windows(doc: np.ndarray, data: np.ndarray, edges: np.ndarray, pair: np.
     """Which bytes of a chunk some lost window covers."""
     text, first, count, _, _, context = _runs(data, edges)
     hit, at = _lookup(_pair(doc[text], context), pair)
-    starts = np.zeros(len(data) + 1, np.int64)
+    every = (_U(1) << count[hit].astype(np.uint64)) - _U(1)
+    mine = masks[at].astype(np.uint64) & every
+    edge = np.zeros(len(data) + 1, np.int32)  # runs, and windows of one place in theirs, start at different bytes
+    whole = hit[mine == every]
+    edge[first[whole]] += 1
+    edge[first[whole] + count[whole] + WINDOW - 1] -= 1
+    some = np.flatnonzero(mine != every)
     for w in range(SPAN):
-        these = hit[(w < count[hit]) & (masks[at] >> w & 1 > 0)]
-        starts[first[these] + w] = 1
-    sums = np.cumsum(starts)
-    before = np.concatenate([np.zeros(WINDOW, np.int64), sums])[:len(data)]
-    return sums[:len(data)] > before
+        these = hit[some[mine[some] >> _U(w) & _U(1) > 0]]
+        edge[first[these] + w] += 1
+        edge[first[these] + w + WINDOW] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def _cut(with_text: bool):

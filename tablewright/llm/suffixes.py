@@ -23,51 +23,73 @@ def suffix_array(text: bytes) -> list[int]:
     previous = [-1] * n
     taken = bytearray(n)
     group = [0] * n
-    members: list[list[int]] = []
+    members: list[list[int]] = []  # some may have moved on
+    alive: list[int] = []  # how many have not
     length: list[int] = []
     above: list[int] = []  # the group just higher, and just lower, in order
     below: list[int] = []
-    first: list[list[int]] = [[] for _ in range(256)]
+    first: dict[int, list[int]] = {}
     for i, c in enumerate(text):
-        first[c].append(i)
-    for found in first:
-        if found:
-            g = len(members)
-            for i in found:
-                group[i] = g
-            members.append(found)
-            length.append(1)
-            below.append(g - 1)
-            above.append(g + 1)
+        if c in first:
+            first[c].append(i)
+        else:
+            first[c] = [i]
+    for c in sorted(first):
+        found, g = first[c], len(members)
+        for i in found:
+            group[i] = g
+        members.append(found)
+        alive.append(len(found))
+        length.append(1)
+        below.append(g - 1)
+        above.append(g + 1)
     above[-1] = -1
     top = current = len(members) - 1
     while current >= 0:
-        own = [i for i in members[current] if group[i] == current]
-        members[current] = own
-        for i in own:
-            taken[i] = 1
         size = length[current]
-        moved: dict[tuple[int, int], list[int]] = {}
-        last, times = -1, 0
-        for i in own:
+        if alive[current] == 1:  # most groups, towards the end
+            own = members[current]
+            i = own[0] if len(own) == 1 else next(i for i in own if group[i] == current)
+            members[current] = [i]
+            taken[i] = 1
             p = i - 1
             while p >= 0 and taken[p]:
                 p = previous[p]
             previous[i] = p
-            if p == last:
-                times += 1
-            else:
-                if last >= 0:
-                    moved.setdefault((times, group[last]), []).append(last)
-                last, times = p, 1
-        if last >= 0:
-            moved.setdefault((times, group[last]), []).append(last)
-        for times, g in sorted(moved, reverse=True):
+            moved = {(1, group[p]): [p]} if p >= 0 and alive[group[p]] > 1 else {}
+            if p >= 0 and not moved:
+                length[group[p]] += size
+        else:
+            own = [i for i in members[current] if group[i] == current]
+            members[current] = own
+            for i in own:
+                taken[i] = 1
+            moved = {}
+            last, times = -1, 0
+            for i in own:
+                p = i - 1
+                while p >= 0 and taken[p]:
+                    p = previous[p]
+                previous[i] = p
+                if p == last:
+                    times += 1
+                else:
+                    if last >= 0:
+                        moved.setdefault((times, group[last]), []).append(last)
+                    last, times = p, 1
+            if last >= 0:
+                moved.setdefault((times, group[last]), []).append(last)
+        for times, g in sorted(moved, reverse=True) if len(moved) > 1 else moved:
             found = moved[times, g]
+            if len(found) == alive[g]:  # all that are left of a group move up where they are
+                length[g] += times * size
+                continue
             new = len(members)
             for i in found:
                 group[i] = new
             members.append(found)
+            alive[g] -= len(found)
+            alive.append(len(found))
             length.append(length[g] + times * size)
             higher = above[g]
             above.append(higher)

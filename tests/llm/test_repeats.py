@@ -3,9 +3,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
-from tablewright.llm import repeats
+from tablewright.llm import flat, repeats
 from tablewright.llm.suffixes import suffix_array
 
 
@@ -77,3 +78,26 @@ def test_windows_of_one_anchor(spark):
     assert repeats.repeated_windows([(7, 1, b"a" * 26)]) == [0]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.remove_repeats(empty).collect() == []
+
+
+def test_only_anchors_and_contexts_are_hashed_in_full(monkeypatch):
+    """Each window of each text is in one run; the costly mixing is for the runs, not for every byte."""
+    draw, mixed, mix = random.Random(5), [], flat.mix
+    for module in (flat, repeats):
+        monkeypatch.setattr(module, "mix", lambda h: mixed.append(len(h)) or mix(h))
+    sizes = [0, 49, 0, 50, 51, 3, 1, 48, 30_000, 0, *[draw.randrange(160) for _ in range(300)], 0, 49]
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.array([draw.choice(b"abcdefgh ") for _ in range(edges[-1])], np.uint8)
+    text, first, count, anchor, _, _ = repeats._runs(data, edges)
+    assert np.bincount(text, count, len(sizes)).tolist() == [max(n - 49, 0) for n in sizes]
+    assert (edges[text] <= first).all() and (first + count + 49 <= edges[text + 1]).all()
+    assert (first + count - 1 <= anchor).all() and (anchor + 25 <= first + 50).all()
+    assert sum(mixed) < len(data)
+
+
+def test_order_with_ties():
+    draw = np.random.default_rng(2)
+    for n in (0, 1, 2, 500):
+        key, a, b = draw.integers(0, 60, n).astype(np.uint64), draw.integers(0, 3, n), draw.integers(-5, 5, n)
+        order, want = repeats._ordered(key, a, b), np.lexsort((b, a, key))
+        assert sorted(order.tolist()) == list(range(n)) and all((x[order] == x[want]).all() for x in (key, a, b))
