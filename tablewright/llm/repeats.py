@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tablewright.llm import blobs
 from tablewright.llm.flat import Powers, chunks, mix, range_hash, rolling
 from tablewright.llm.suffixes import suffix_array
-from tablewright.session import written
+from tablewright.session import rows_per_batch, written
 
 WINDOW, GRAM = 50, 25
 SPAN = WINDOW - GRAM + 1  # 25-byte strings in a window, windows in a run at most, symbols of a window in a suffix array
@@ -34,7 +34,8 @@ ALL = (1 << SPAN) - 1
 NULL_KEY = np.int64(2 ** 63 - 1)  # a null key is larger than all others
 ANCHOR_BYTES = 8_000_000  # of text per owner task of anchors
 TEXT_BYTES = 16_000_000  # of text per owner task of documents
-ENTRIES_PER_FLUSH = 4_000_000
+ENTRIES_PER_FLUSH = 2_000_000  # some 180 MB while they are sorted and dealt
+TEXTS_PER_BATCH = 1_000
 CHUNK = 1 << 17  # bytes whose windows are hashed at once, so that the arrays stay in a core's cache
 HOT_CONTEXTS = 20_000  # contexts of one anchor beyond which its windows are dealt over several tasks
 _U = np.uint64
@@ -119,6 +120,7 @@ def _verdicts(doc: np.ndarray, context: np.ndarray, windows: np.ndarray, buckets
 def _find(anchor_buckets: int, doc_buckets: int):
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         anchor, context, doc = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         order = _ordered(anchor ^ (context << _U(16)), context, doc)
         a, c, d = anchor[order], context[order], doc[order]
         begins = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
@@ -126,6 +128,7 @@ def _find(anchor_buckets: int, doc_buckets: int):
         lost = (d > least) & np.concatenate([[True], begins[1:] | (d[1:] != d[:-1])])
         rows = [(b, 1, x) for b, _, x in _verdicts(d[lost], c[lost], np.full(int(lost.sum()), ALL), doc_buckets)]
         sent = np.sort(order[begins])  # in the order of the documents
+        del order, a, c, d, begins, least, lost
         for b, (x, y, z) in blobs.by_bucket(_anchor_spot(anchor[sent], anchor_buckets), [anchor[sent], context[sent], doc[sent]], anchor_buckets):
             start = np.flatnonzero(np.concatenate([[True], z[1:] != z[:-1]]))
             rows.append((b, 0, blobs.join([
@@ -142,7 +145,7 @@ def _find(anchor_buckets: int, doc_buckets: int):
                 entries += len(text)
                 if entries >= ENTRIES_PER_FLUSH:
                     yield from flush(held)
-                    held, entries = [], 0
+                    entries = 0
         if entries:
             yield from flush(held)
     return run
@@ -368,11 +371,14 @@ def remove_repeats(
     found = docs.mapInArrow(_find(anchors, owners), _PACKED)
     # Entries (kind 0) carry anchor buckets; verdicts that a task reached alone (kind 1) carry document buckets.
     settled = found.groupBy("kind", "bucket").applyInArrow(_settle_or_pass(owners, hot_contexts), _PACKED)
-    settled = written(settled, "settled")
+    with rows_per_batch(docs.sparkSession, TEXTS_PER_BATCH):
+        settled = written(settled, "settled")
     packed = docs.mapInArrow(_texts(owners), _PACKED)
     asked = settled.where("kind = 1")
     contexts = packed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_supply(anchors), _PACKED)
-    compared = written(contexts.groupBy("bucket").applyInArrow(_compare(owners), _PACKED), "compared")
+    # Few bytes are much work here, so partitions are not left to their size; of twice as many as buckets few hold several.
+    compared = contexts.repartition(2 * anchors, "bucket").groupBy("bucket").applyInArrow(_compare(owners), _PACKED)
+    compared = written(compared, "compared")
     verdicts = settled.where("kind = 0").union(compared)
     schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     cut = packed.groupBy("bucket").cogroup(verdicts.groupBy("bucket")).applyInArrow(_cut(with_text), schema)

@@ -101,3 +101,14 @@ def test_order_with_ties():
         key, a, b = draw.integers(0, 60, n).astype(np.uint64), draw.integers(0, 3, n), draw.integers(-5, 5, n)
         order, want = repeats._ordered(key, a, b), np.lexsort((b, a, key))
         assert sorted(order.tolist()) == list(range(n)) and all((x[order] == x[want]).all() for x in (key, a, b))
+
+
+def test_suffix_arrays_are_spread_over_tasks(spark, monkeypatch):
+    """The buckets of contexts keep tasks of their own, however few bytes they are."""
+    parts, written = {}, repeats.written
+    monkeypatch.setattr(repeats, "ANCHOR_BYTES", 20_000)
+    monkeypatch.setattr(repeats, "written", lambda df, name: parts.update({name: df.rdd.getNumPartitions()}) or written(df, name))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    size = sum(len((r["text"] or "").encode()) for r in docs.collect())
+    check(docs.repartition(4))
+    assert parts["compared"] >= size // 20_000
