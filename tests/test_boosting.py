@@ -121,3 +121,39 @@ def test_rows_of_equal_bins_are_one_cell(spark, logistic):
     one = B.boost(table(spark, x, y, held, w=np.full(400, 20.0)), 3, settings, 6, patience=None)[0]
     assert many.edges == one.edges and many.raw(x) == pytest.approx(one.raw(x)) and many.losses == pytest.approx(one.losses)
     assert many.trees[0].rows[0] == 10 * one.trees[0].rows[0]
+
+
+@pytest.mark.parametrize("settings", [B.Settings(depth=4, learning_rate=.3), B.Settings(logistic=True, leaves=7, depth=7, subsample=.7, column_share=.7, learning_rate=.3)])
+def test_a_model_in_one_task_is_the_one_of_passes(spark, monkeypatch, settings):
+    """The same trees and losses either way, early stop included, and no job per level where the cells are few."""
+    x, y = planted(900)
+    y = (y > 2).astype(float) if settings.logistic else y
+    held = np.arange(len(y)) % 5 == 0
+    rows = table(spark, x, y, held).union(table(spark, x[:400], y[:400], model=2))
+    passes = B.boost(rows, 3, settings, {0: 60, 2: 4}, patience=4, trees_per_write=3, cells_per_task=0)
+    mixed = B.boost(rows, 3, settings, {0: 60, 2: 4}, patience=4, cells_per_task=B.to_cells(table(spark, x[:400], y[:400]), B.bin_edges(rows, 3), 3, settings.subsample < 1).count())
+    monkeypatch.setattr(B, "_ask", lambda *a: pytest.fail("a pass over all blocks"))
+    tasks = B.boost(rows, 3, settings, {0: 60, 2: 4}, patience=4)
+    for found in (mixed, tasks):
+        for m in (0, 2):
+            assert [(t.feature, t.cut, t.rows) for t in found[m].trees] == [(t.feature, t.cut, t.rows) for t in passes[m].trees]
+            assert found[m].raw(x) == pytest.approx(passes[m].raw(x)) and found[m].losses == pytest.approx(passes[m].losses)
+    assert len(tasks[2].trees) == 4 and 0 < len(tasks[0].trees) < 60
+
+
+def test_scores_looked_up_by_bins_are_those_of_the_trees(spark):
+    x, y = planted(600)
+    fitted = B.boost(table(spark, x, y), 3, B.Settings(depth=3, learning_rate=.3), 5)[0]
+    scorer = B._Scorer(fitted)
+    assert [scorer(x).tolist() for _ in range(40)] == [fitted.raw(x).tolist()] * 40
+    assert scorer.known is not None and len(scorer.known) == scorer.kinds
+
+
+def test_features_of_few_values_need_no_quantiles(spark, monkeypatch):
+    x, y = planted(600)
+    rows = table(spark, x, y)
+    asked = []
+    quantiles = B.F.percentile_approx
+    monkeypatch.setattr(B.F, "percentile_approx", lambda c, *a: asked.append(c) or quantiles(c, *a))
+    edges = B.bin_edges(rows, 3)[0]
+    assert edges[0] == sorted(set(x[:, 0]))[:-1] and edges[2] == sorted(set(x[:, 2]))[:-1] and len(edges[1]) == 63 and len(asked) == 1
