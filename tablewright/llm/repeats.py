@@ -293,21 +293,53 @@ def repeated_windows(contexts: list[tuple[int, int, bytes]]) -> list[int]:
     return out
 
 
+def shared_stretches(group: np.ndarray, doc: np.ndarray, windows: np.ndarray, starts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The context, first window and number of windows of every stretch of windows that another document of the group may have too.
+
+    Equal windows have equal hashes, so that a window whose hash no other document has is equal to none, and needs no place in a suffix array.
+    """
+    if not len(windows):
+        return (np.zeros(0, np.int64),) * 3
+    places = len(symbols) - SPAN + 1
+    h = np.zeros(places, np.uint64)
+    for j in range(SPAN):
+        h *= _U(0x9E3779B97F4A7C15)
+        h += symbols[j:j + places]
+    context = np.repeat(np.arange(len(windows)), windows)
+    window = np.arange(len(context)) - np.repeat(np.cumsum(windows) - windows, windows)
+    name = mix(h[starts[context] + window] ^ mix(group.astype(np.uint64))[context])
+    order = np.argsort(name)
+    ranked, owner = name[order], doc[context[order]]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+    kept = np.zeros(len(context), bool)
+    kept[order] = np.repeat(several, np.diff(np.append(first, len(order))))
+    before = np.concatenate([[False], kept[:-1]]) & (window > 0)
+    after = np.concatenate([kept[1:] & (window[1:] > 0), [False]])
+    begin, end = np.flatnonzero(kept & ~before), np.flatnonzero(kept & ~after)
+    return context[begin], window[begin], end - begin + 1
+
+
 def _compare(doc_buckets: int):
     def run(table: pa.Table) -> pa.Table:
         anchor, part, doc, context, start, windows, sizes, symbols = blobs.gather(table.column("data").to_pylist(), _CONTEXT)
         context = blobs.wide(context, 6)
-        stops = np.cumsum(sizes)
         order = np.lexsort((context, doc, part, anchor))
         a, p = anchor[order], part[order]
-        edges = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (p[1:] != p[:-1]), [True]]))
+        group = np.zeros(len(order), np.int64)
+        group[order] = np.cumsum(np.concatenate([[False], (a[1:] != a[:-1]) | (p[1:] != p[:-1])])[:len(order)])
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
         whole, masks = symbols.tobytes(), np.zeros(len(anchor), np.uint32)
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            mine = order[lo:hi]
-            if hi - lo > 1:
-                found = repeated_windows([(int(doc[i]), int(windows[i]), whole[int(stops[i]) - int(sizes[i]):int(stops[i])]) for i in mine])
-                for i, mask in zip(mine.tolist(), found):
-                    masks[i] = mask << int(start[i])
+        at, window, count = shared_stretches(group, doc, windows.astype(np.int64), starts, symbols)
+        by = np.argsort(group[at], kind="stable")
+        at, window, count = at[by], window[by], count[by]
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(group[at]) > 0, [True]])) if len(at) else np.zeros(1, int)
+        begin, owner, shift = starts[at] + window, doc[at].tolist(), (window + start[at]).tolist()
+        begin, end, at, count = begin.tolist(), (begin + count + SPAN - 1).tolist(), at.tolist(), count.tolist()
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            found = repeated_windows([(owner[k], count[k], whole[begin[k]:end[k]]) for k in range(lo, hi)])
+            for k, mask in zip(range(lo, hi), found):
+                masks[at[k]] |= np.uint32(mask << shift[k])
         lost = masks > 0
         return pa.Table.from_batches([_rows(_verdicts(doc[lost], context[lost], masks[lost], doc_buckets))])
     return run
